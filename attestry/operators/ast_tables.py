@@ -95,7 +95,7 @@ def _walk(body):
         yield (
             me, parent, depth, role, pos, k, _as_text(op), _as_text(name),
             _as_text(receiver.get("v")) if type(receiver) is dict else None,
-            get("label"), None if type(value) is dict else _as_text(value), pruned, under_index, leading == "doc",
+            get("label"), None if type(value) is dict else _as_text(value), None if value is None else type(value).__name__, pruned, under_index, leading == "doc",
             leading is True and not starts_with_doc,
         )
         children = [(key, c) for key, c in node.items() if type(c) is dict or (type(c) is list and c)]

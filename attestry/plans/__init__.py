@@ -1,0 +1,6 @@
+"""The registered queries and the SQL they are checked against."""
+
+from attestry.plans import ast  # noqa: F401
+from attestry.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

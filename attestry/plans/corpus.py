@@ -107,7 +107,7 @@ def nodes(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) ->
 
 WITH_LINES = """
   lines AS (
-    SELECT doc_id, lang AS module, i - 1 AS i, list_filter(string_split(ls[i], ' '), w -> w <> '') AS ws
+    SELECT doc_id, lang AS module, i - 1 AS i, [w FOR w IN string_split(ls[i], ' ') IF w <> ''] AS ws
     FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS ls,
                  unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
   )"""

@@ -7,7 +7,7 @@ FUNCTION_JSON = (
 )
 NODES = (
     "module STRING, fn STRING, node_id INT, parent_id INT, depth INT, role STRING, pos INT, k STRING, op STRING, "
-    "name STRING, recv STRING, label STRING, v STRING, under_pruned BOOLEAN, under_set_index BOOLEAN, "
+    "name STRING, recv STRING, label STRING, v STRING, v_type STRING, under_pruned BOOLEAN, under_set_index BOOLEAN, "
     "is_doc BOOLEAN, body_root BOOLEAN"
 )
 VAL = "kind STRING, v STRING"
@@ -21,14 +21,15 @@ DUALS = (
     "other_value BIGINT, mem_bytes BIGINT"
 )
 PROBLEMS = (
-    "sample_id STRING, spec STRING, impl STRING, pbt_code STRING, pbt_sample_name STRING, "
-    "pbt_repo STRUCT<name: STRING, url: STRING>, is_canonical BOOLEAN, num_theorems INT, "
+    "sample_id STRING, id STRING, spec STRING, `Spec.lean` STRING, impl STRING, `Impl.lean` STRING, pbt_code STRING, "
+    "pbt_sample_name STRING, pbt_repo STRUCT<name: STRING, url: STRING>, is_canonical BOOLEAN, num_theorems INT, "
     "implementation_level STRING, actually_invokes_given BOOLEAN, _corrupt STRING"
 )
 THEOREMS = (
     "problem_id STRING, name STRING, statement STRING, binders ARRAY<STRUCT<names: STRING, type: STRING>>, "
-    "hyps ARRAY<STRING>, conclusion STRING, lhs STRING, rel STRING, rhs STRING, idents ARRAY<STRING>, "
-    "has_sorry BOOLEAN, analyzed BOOLEAN, reason STRING"
+    "hyps ARRAY<STRING>, unequal ARRAY<STRUCT<lhs: STRING, rhs: STRING>>, conclusion STRING, lhs STRING, rel STRING, "
+    "rhs STRING, idents ARRAY<STRING>, subjects ARRAY<STRING>, stubs ARRAY<STRING>, spec_axioms ARRAY<STRING>, "
+    "has_sorry BOOLEAN, sorries INT, analyzed BOOLEAN, reason STRING"
 )
 RECORDS = (
     "artifact STRING, artifact_sha256 STRING, parser_version STRING, exporter STRING, exporter_sha256 STRING, "
