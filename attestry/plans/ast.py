@@ -153,7 +153,7 @@ def fn_stats(spark, sf):
 @query(
     "b_class_fields",
     f"""WITH {WITH_FUNCS}, touched AS (
-      SELECT f.module, 'C' || (doc_id % 97) AS cls, w.id AS field FROM funcs f
+      SELECT f.module, 'C' || (f.doc_id % 97) AS cls, w.id AS field FROM funcs f
       LEFT JOIN words w ON w.doc_id = f.doc_id AND NOT (w.n >= {HOLE_LENGTH}) AND w.n % 7 = 5)
     SELECT module, cls, coalesce(string_agg(DISTINCT field, ',' ORDER BY field), '') AS fields FROM touched GROUP BY ALL""",
 )
