@@ -233,7 +233,7 @@ def resolve_module(paths: DataFrame, modules: DataFrame, path: str = "path") ->
 
     Dropping every segment never happens: the empty path would answer for any import.
     """
-    segments = F.filter(F.split(path, "/", -1), lambda s: s != "")
+    segments = F.filter(F.split("path", "/", -1), lambda s: s != "")
     clean = paths.select(F.col(path).alias("path")).distinct().withColumn("clean", F.array_join(segments, "/"))
     suffixes = clean.where(F.col("clean") != "").select(
         "path", F.posexplode(names.path_suffixes(F.col("clean"))).alias("dropped", "suffix")
