@@ -27,6 +27,7 @@ CONFIGS = [
 CONFIG_SCHEMA = (
     "config STRING, is_signed BOOLEAN, bits INT, on_overflow STRING, on_shift STRING, neg_shift STRING, rounding STRING"
 )
+CONFIG_FIELDS = ["config", "is_signed", "bits", "on_overflow", "on_shift", "neg_shift", "rounding"]
 CASTS = {
     "cast:i8": (True, 8), "cast:u8": (False, 8), "cast:i16": (True, 16), "cast:u16": (False, 16),
     "cast:i32": (True, 32), "cast:u32": (False, 32), "cast:i64": (True, 64), "cast:u64": (False, 64),
@@ -39,7 +40,12 @@ def configs(spark: SparkSession) -> DataFrame:
 
 
 def whole(value) -> Column:
-    return (F.lit(value) if isinstance(value, int) else value).cast(INT)
+    return (F.lit(str(value)) if isinstance(value, int) else value).cast(INT)
+
+
+def let(value: Column, body) -> Column:
+    """Binds a value used several times below, so that expressions do not double with every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 # 2**126 is the largest power of two below 10**38.
@@ -48,71 +54,81 @@ MAX_POWER = 126
 
 def power_of_two(exponent: Column) -> Column:
     """Exact 2**exponent for 0..126, NULL beyond."""
-    table = F.array(*[F.lit(str(2**i)).cast(INT) for i in range(MAX_POWER + 1)])
-    return F.when((exponent >= 0) & (exponent <= MAX_POWER), F.try_element_at(table, exponent.cast("int") + 1))
+    n = exponent.cast("int")
+    high = F.when(n < 63, whole(1)).when(n < 126, whole(2**63)).otherwise(whole(2**126))
+    return F.when((exponent >= 0) & (exponent <= MAX_POWER), (_shifted_one(n % 63).cast(INT) * high).cast(INT))
+
+
+def _shifted_one(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), n)
 
 
 def floored_mod(a: Column, m: Column) -> Column:
     """Remainder with the sign of the divisor. `pmod` is not this: it gives 1 for (7, -3) where -2 is right."""
-    r = (a % m).cast(INT)
-    return F.when((r != 0) & (F.signum(r) != F.signum(m)), (r + m).cast(INT)).otherwise(r)
+    return (((a % m).cast(INT) + m).cast(INT) % m).cast(INT)
+
+
+def _result(outcome, value=None, reason=None) -> Column:
+    value = F.lit(None) if value is None else value
+    return F.struct(
+        F.lit(outcome).alias("outcome"), value.cast(INT).alias("value"), F.lit(reason).cast("string").alias("reason")
+    ).cast(RESULT)
+
+
+def _ok(value: Column) -> Column:
+    """`ok`, or `unrepresentable` where the value went beyond 38 digits."""
+    return F.struct(
+        F.when(value.isNull(), "unrepresentable").otherwise("ok").alias("outcome"), value.cast(INT).alias("value"),
+        F.lit(None).cast("string").alias("reason"),
+    ).cast(RESULT)
 
 
 class Machine:
     """The operations of one configuration, whose fields are columns (or literals) of the row."""
 
     def __init__(self, is_signed=None, bits=None, on_overflow=None, on_shift=None, neg_shift=None, rounding=None):
-        self.is_signed = F.col("is_signed") if is_signed is None else is_signed
-        self.bits = F.col("bits") if bits is None else bits
-        self.on_overflow = F.col("on_overflow") if on_overflow is None else on_overflow
-        self.on_shift = F.col("on_shift") if on_shift is None else on_shift
-        self.neg_shift = F.col("neg_shift") if neg_shift is None else neg_shift
-        self.rounding = F.col("rounding") if rounding is None else rounding
+        field = lambda given, name: F.col(name) if given is None else given
+        self.is_signed, self.bits = field(is_signed, "is_signed"), field(bits, "bits")
+        self.on_overflow, self.on_shift = field(on_overflow, "on_overflow"), field(on_shift, "on_shift")
+        self.neg_shift, self.rounding = field(neg_shift, "neg_shift"), field(rounding, "rounding")
         self.unbounded = self.is_signed.isNull()
-        self.modulus = power_of_two(self.bits)
-        self.half = power_of_two(self.bits - 1)
+        by_bits = lambda f: F.when(self.bits == 32, whole(f(32))).when(self.bits == 64, whole(f(64))).when(
+            self.bits == 16, whole(f(16))
+        ).when(self.bits == 8, whole(f(8)))
+        self.modulus = by_bits(lambda n: 2**n)
+        # Half the modulus for signed types, nothing for unsigned: the distance of the lowest value from zero.
+        self.offset = F.when(self.is_signed, by_bits(lambda n: 2 ** (n - 1))).otherwise(whole(0))
 
     @staticmethod
     def fixed(is_signed: bool, bits: int) -> "Machine":
         none = F.lit(None).cast("string")
-        return Machine(F.lit(is_signed), F.lit(bits), none, none, none, none)
+        machine = Machine(F.lit(is_signed), F.lit(bits), none, none, none, none)
+        machine.modulus, machine.offset = whole(2**bits), whole(2 ** (bits - 1) if is_signed else 0)
+        return machine
 
     def in_range(self, x: Column) -> Column:
-        low = F.when(self.is_signed, -self.half).otherwise(whole(0))
-        high = F.when(self.is_signed, self.half).otherwise(self.modulus)
-        return self.unbounded | ((x >= low) & (x < high))
+        moved = (x + self.offset).cast(INT)
+        return self.unbounded | moved.between(whole(0), (self.modulus - 1).cast(INT))
 
     def wrap(self, x: Column) -> Column:
-        r = floored_mod(x, self.modulus)
-        signed = F.when(r >= self.half, (r - self.modulus).cast(INT)).otherwise(r)
-        return F.when(self.unbounded, x).when(self.is_signed, signed).otherwise(r)
-
-    @staticmethod
-    def _result(outcome, value=None, reason=None) -> Column:
-        value = F.lit(None) if value is None else value
-        return F.struct(
-            F.lit(outcome).alias("outcome"), value.cast(INT).alias("value"),
-            F.lit(reason).cast("string").alias("reason"),
-        ).cast(RESULT)
-
-    def ok(self, value: Column) -> Column:
-        return F.when(value.isNull(), self._result("unrepresentable")).otherwise(self._result("ok", value))
+        wrapped = (floored_mod((x + self.offset).cast(INT), self.modulus) - self.offset).cast(INT)
+        return F.when(self.unbounded, x).otherwise(wrapped)
 
     def _by_policy(self, policy: Column, wrapped: Column, reason: str) -> Column:
         return (
-            F.when(policy == "undefined", self._result("ub", reason=reason))
-            .when(policy == "trap", self._result("trap", reason=reason))
+            F.when(policy == "undefined", _result("ub", reason=reason))
+            .when(policy == "trap", _result("trap", reason=reason))
             .otherwise(wrapped)
         )
 
     def finish(self, exact: Column) -> Column:
         """An exact result put through the overflow policy; unsigned always wraps."""
-        wrapped = self.ok(self.wrap(exact))
-        return (
-            F.when(exact.isNull(), self._result("unrepresentable"))
-            .when(self.in_range(exact), self.ok(exact))
-            .when(~self.is_signed, wrapped)
-            .otherwise(self._by_policy(self.on_overflow, wrapped, "signed integer overflow"))
+        return let(
+            exact,
+            lambda x: F.when(
+                F.coalesce(~self.in_range(x) & self.is_signed, F.lit(False)),
+                self._by_policy(self.on_overflow, _ok(self.wrap(x)), "signed integer overflow"),
+            ).otherwise(_ok(self.wrap(x))),
         )
 
     def add(self, a, b):
@@ -127,51 +143,57 @@ class Machine:
     def neg(self, a):
         return self.finish((-a).cast(INT))
 
-    def _divide(self, a, b):
-        b = F.nullif(b, whole(0))
-        rest = F.when(self.rounding == "floor", floored_mod(a, b)).otherwise((a % b).cast(INT))
-        return F.try_divide((a - rest).cast(INT), b).cast(INT), rest
+    def _divide(self, a, b, use):
+        """`use(quotient, remainder)` under the configured rounding; the divisor is not zero in there."""
+        divisor = F.nullif(b, whole(0))
+        rest = F.when(self.rounding == "floor", floored_mod(a, divisor)).otherwise((a % divisor).cast(INT))
+        done = let(rest, lambda r: use(F.try_divide((a - r).cast(INT), divisor).cast(INT), r))
+        return F.when(b == 0, _result("divZero")).otherwise(done)
 
     def div(self, a, b):
-        quotient, _ = self._divide(a, b)
-        return F.when(b == 0, self._result("divZero")).otherwise(self.finish(quotient))
+        return self._divide(a, b, lambda q, r: self.finish(q))
 
     def mod(self, a, b):
         """Overflow is tested on the quotient: INT_MIN % -1 is a fault although its remainder 0 is in range."""
-        quotient, rest = self._divide(a, b)
-        wrapped = self.ok(self.wrap(rest))
-        fits = self.in_range(quotient) | ~F.coalesce(self.is_signed, F.lit(True))
-        policy = self._by_policy(self.on_overflow, wrapped, "remainder with overflowing quotient")
-        return F.when(b == 0, self._result("divZero")).when(fits, wrapped).otherwise(policy)
+
+        def use(q, r):
+            wrapped = _ok(self.wrap(r))
+            overflows = F.coalesce(~self.in_range(q) & self.is_signed, F.lit(False))
+            return F.when(
+                overflows, self._by_policy(self.on_overflow, wrapped, "remainder with overflowing quotient")
+            ).otherwise(wrapped)
+
+        return self._divide(a, b, use)
 
     def _shift(self, k, shifted) -> Column:
         """`shifted(count)` under the count policy. Spark's own shifts mask the count silently."""
         in_width = (k >= 0) & (self.unbounded | (k < self.bits))
         masked = F.when(self.unbounded, whole(0)).otherwise(floored_mod(k, F.nullif(self.bits, F.lit(0)).cast(INT)))
-        reason = "shift count out of range"
-        return F.when(in_width, shifted(k)).otherwise(self._by_policy(self.on_shift, shifted(masked), reason))
+        count = F.when(in_width, k).when(self.on_shift == "wrap", masked)
+        fault = self._by_policy(self.on_shift, _result("ub"), "shift count out of range")
+        return let(count, lambda n: F.when(n.isNull(), fault).otherwise(shifted(n)))
 
     def shl(self, a, k):
         return self._shift(k, lambda n: self.finish(F.try_multiply(a, power_of_two(n)).cast(INT)))
 
-    def _floor_shift(self, a, n):
-        divisor = power_of_two(n)
-        exact = F.try_divide((a - floored_mod(a, divisor)).cast(INT), divisor).cast(INT)
+    @staticmethod
+    def _floor_shift(a, n):
+        exact = let(power_of_two(n), lambda d: F.try_divide((a - floored_mod(a, d)).cast(INT), d).cast(INT))
         return F.when(n > MAX_POWER, F.when(a < 0, whole(-1)).otherwise(whole(0))).otherwise(exact)
 
     def shr(self, a, k, logical: bool = False):
         policy = F.lit("logical") if logical else self.neg_shift
-        zero_filled = F.when(
-            self.unbounded, self._result("ub", reason="logical right shift of an unbounded negative value")
-        )
+        negative = a < 0
 
         def shifted(n):
-            arithmetic = self.ok(self.wrap(self._floor_shift(a, n)))
-            pattern = floored_mod(a, self.modulus)
+            pattern = F.when(negative & (policy == "logical"), floored_mod(a, self.modulus)).otherwise(a)
             return (
-                F.when((a >= 0) | (policy == "arithmetic"), arithmetic)
-                .when(policy == "logical", zero_filled.otherwise(self.ok(self.wrap(self._floor_shift(pattern, n)))))
-                .otherwise(self._result("ub", reason="right shift of a negative value"))
+                F.when(negative & (policy == "undefined"), _result("ub", reason="right shift of a negative value"))
+                .when(
+                    negative & (policy == "logical") & self.unbounded,
+                    _result("ub", reason="logical right shift of an unbounded negative value"),
+                )
+                .otherwise(let(pattern, lambda p: _ok(self.wrap(self._floor_shift(p, n)))))
             )
 
         return self._shift(k, shifted)
@@ -182,10 +204,10 @@ class Machine:
         x, y = word.wrap(a).cast("bigint"), word.wrap(b).cast("bigint")
         bits = {"&": x.bitwiseAND(y), "|": x.bitwiseOR(y), "^": x.bitwiseXOR(y)}[op].cast(INT)
         too_wide = self.unbounded & ~(word.in_range(a) & word.in_range(b))
-        return F.when(too_wide, self._result("unrepresentable")).otherwise(self.ok(self.wrap(bits)))
+        return F.when(too_wide, _result("unrepresentable")).otherwise(_ok(self.wrap(bits)))
 
     def invert(self, a):
-        return self.ok(self.wrap((-a - 1).cast(INT)))
+        return _ok(self.wrap((-a - 1).cast(INT)))
 
 
 def apply_int(op: Column, a: Column, b: Column, machine: Machine | None = None) -> Column:
@@ -195,7 +217,7 @@ def apply_int(op: Column, a: Column, b: Column, machine: Machine | None = None)
         "+": m.add(a, b), "-": m.sub(a, b), "*": m.mul(a, b), "/": m.div(a, b), "//": m.div(a, b), "%": m.mod(a, b),
         "&": m.bitwise("&", a, b), "|": m.bitwise("|", a, b), "^": m.bitwise("^", a, b), "<<": m.shl(a, b),
         ">>": m.shr(a, b), ">>>": m.shr(a, b, logical=True), "neg": m.neg(a), "~": m.invert(a),
-        **{name: m.ok(Machine.fixed(*spec).wrap(a)) for name, spec in CASTS.items()},
+        **{name: _ok(Machine.fixed(*spec).wrap(a)) for name, spec in CASTS.items()},
     }
     chosen = F
     for name, result in table.items():
