@@ -10,6 +10,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestry.functions import names
 from attestry.operators.ledger import percent, tally
@@ -82,7 +83,7 @@ def _shapes_clash(a, b) -> bool:
     return False
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(value: pd.Series, base: pd.Series) -> pd.Series:
     def one(text, shift):
         if text is None:
@@ -95,7 +96,7 @@ def canonical_json(value: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([one(t, s) for t, s in zip(value, base)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _compare_nested(expected: pd.Series, actual: pd.Series, base: pd.Series) -> pd.Series:
     def one(left, right, shift):
         if left is None or right is None:
@@ -322,7 +323,7 @@ WIDTH_TYPES = r"\b(long|size_t|ssize_t|uintptr_t|intptr_t|ptrdiff_t|off_t|time_t
 C_DEFINITION = r"^[A-Za-z_][\w \t\*]*?\b(\w+)\s*\([^;{]*\)\s*\{"
 
 
-@F.pandas_udf("array<struct<fn: string, text: string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("fn", T.StringType()), T.StructField("text", T.StringType())])))
 def _c_definitions(texts: pd.Series) -> pd.Series:
     import re
 
