@@ -7,12 +7,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry import rules, schemas
 from attestry.functions import names
-from attestry.session import inline
 
 KEY = ["module", "fn"]
 
@@ -61,7 +60,9 @@ def _decode(text: str):
 
 
 def _as_text(value):
-    return value if value is None or type(value) is str else json.dumps(value)
+    if value is None or type(value) is str:
+        return value
+    return str(value) if type(value) is int else json.dumps(value)
 
 
 def _walk(body):
@@ -120,25 +121,25 @@ def _flatten_batches(columns: list[str]):
     picked = [(c, _WALK_COLUMNS.index(c), _ARROW_TYPES[_NODE_TYPES[c]]) for c in columns]
 
     def emit(heads, rows):
-        owner = pa.array(np.repeat(np.arange(len(heads)), [h[2] for h in heads]))
-        arrays = [pa.array([h[i] for h in heads], type=pa.string()).take(owner) for i in (0, 1)]
-        by_column = list(zip(*rows))
-        arrays += [pa.array(by_column[i], type=t) for _, i, t in picked]
-        return pa.RecordBatch.from_arrays(arrays, names=KEY + columns)
+        owners = np.repeat(np.arange(len(heads)), [h[2] for h in heads])
+        keys = [pa.array([h[i] for h in heads], type=pa.string()) for i in (0, 1)]
+        for start in range(0, len(rows), _ROWS_PER_BATCH):
+            by_column = list(zip(*rows[start : start + _ROWS_PER_BATCH]))
+            owner = pa.array(owners[start : start + _ROWS_PER_BATCH])
+            arrays = [k.take(owner) for k in keys] + [pa.array(by_column[i], type=t) for _, i, t in picked]
+            yield pa.RecordBatch.from_arrays(arrays, names=KEY + columns)
 
     def flatten(batches):
         heads, rows = [], []
         for batch in batches:
             for module, fn, body in zip(*(c.to_pylist() for c in batch.columns)):
-                heads.append([module, fn, 0])
-                for node in _walk(_decode(body)):
-                    rows.append(node)
-                    heads[-1][2] += 1
-                    if len(rows) >= _ROWS_PER_BATCH:
-                        yield emit(heads, rows)
-                        heads, rows = [[module, fn, 0]], []
-        if rows:
-            yield emit(heads, rows)
+                before = len(rows)
+                rows.extend(_walk(_decode(body)))
+                heads.append((module, fn, len(rows) - before))
+                if len(rows) >= _ROWS_PER_BATCH:
+                    yield from emit(heads, rows)
+                    heads, rows = [], []
+        yield from emit(heads, rows)
 
     return flatten
 
@@ -361,7 +362,3 @@ def name_kinds(functions: DataFrame) -> DataFrame:
     return functions.select("module", "name", kind.alias("kind")).where(F.col("kind").isNotNull()).select(
         "module", "name", "kind.file", "kind.qualname", "kind.is_method"
     )
-
-
-def rule_table(spark: SparkSession, mapping: dict[str, str], key: str, value: str) -> DataFrame:
-    return inline(spark, list(mapping.items()), f"{key} STRING, {value} STRING")

@@ -146,15 +146,17 @@ def provenance_summary(audited: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def diff_corpora(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Functions only in one of two corpora, or in both with other bodies: (module, name, change)."""
-    hashed = lambda df, c: df.groupBy("module", "name").agg(
-        F.md5(F.array_join(F.sort_array(F.collect_list(F.sha2("body", 256))), ",")).alias(c)
-    )
+    """Functions only in one of two corpora, or in both with other bodies: (module, name, change).
+
+    Bodies are compared as counted digests, so a name with many copies stays a few rows.
+    """
+    digests = lambda df, c: df.groupBy("module", "name", F.sha2("body", 256).alias("h")).agg(F.count("*").alias(c))
+    paired = digests(a, "na").join(digests(b, "nb"), ["module", "name", "h"], "full_outer")
     change = (
-        F.when(F.col("hb").isNull(), "only_first").when(F.col("ha").isNull(), "only_second")
-        .when(F.col("ha") != F.col("hb"), "body_differs").otherwise("same")
+        F.when(F.count("nb") == 0, "only_first").when(F.count("na") == 0, "only_second")
+        .when(F.count_if(~F.col("na").eqNullSafe(F.col("nb"))) > 0, "body_differs").otherwise("same")
     )
-    return hashed(a, "ha").join(hashed(b, "hb"), ["module", "name"], "full_outer").select("module", "name", change.alias("change"))
+    return paired.groupBy("module", "name").agg(change.alias("change"))
 
 
 def diff_summary(changes: DataFrame) -> DataFrame:

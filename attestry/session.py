@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Runtime settings the operators rely on. Every many-to-one join here keeps its many side on the left, so
 # the skew reader may split a hot key (a third of all calls naming `len`, say) over many tasks.
@@ -60,15 +59,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
-# A small side may be broadcast only up to this many rows; past it the join is left to shuffle.
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a rule table after checking its size; a user may bring one that is not small."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A fixed rule table as a local relation."""
     return spark.createDataFrame(rows, schema)
