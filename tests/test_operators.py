@@ -226,3 +226,28 @@ def test_evidence_unreadable_is_missing(spark, tmp_path):
     (tmp_path / "mutation.json").write_text("{oops")
     got = {r.kind: (r.present, r.subject_module) for r in corpora.read_evidence(spark, str(tmp_path), ["M"]).collect()}
     assert len(got) == 9 and got["ledger"] == (True, "M") and got["mutation"] == (False, None)
+
+
+def test_corpus_diff_counts_copies(spark):
+    schema = "module STRING, name STRING, body STRING"
+    a = spark.createDataFrame([("M", "same", "1"), ("M", "same", "1"), ("M", "fewer", "1"), ("M", "fewer", "1"), ("M", "gone", "1"), ("M", "edited", "1")], schema)
+    b = spark.createDataFrame([("M", "same", "1"), ("M", "same", "1"), ("M", "fewer", "1"), ("M", "new", "1"), ("M", "edited", "2")], schema)
+    got = dict(rows(integrity.diff_corpora(a, b), "name", "change"))
+    assert got == {"same": "same", "fewer": "body_differs", "gone": "only_first", "new": "only_second", "edited": "body_differs"}
+
+
+def test_reach_follows_cycles_to_a_fixpoint(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "e")], "src STRING, dst STRING")
+    reached = graph.reach(edges, spark.createDataFrame([("a",), ("d",)], "root STRING"))
+    assert rows(reached, "root", "decl") == [("a", "a"), ("a", "b"), ("a", "c"), ("d", "d"), ("d", "e")]
+    claims = spark.createDataFrame([("a", "c"), ("a", "e")], "root STRING, impl STRING")
+    assert rows(graph.depends_on(reached, claims), "impl", "status") == [("c", "DEPENDS"), ("e", "VACUOUS")]
+
+
+def test_provenance_with_nothing_to_check_is_not_a_pass(spark):
+    artifacts = spark.createDataFrame([], "artifact STRING, sha256 STRING")
+    records = spark.createDataFrame([], "artifact STRING, artifact_sha256 STRING, parser_version STRING, exporter STRING, exporter_sha256 STRING, source_path STRING, source_revision STRING, command STRING, schema_version INT, unreadable BOOLEAN, recorded_artifact STRING")
+    baseline = spark.createDataFrame([], "artifact STRING, artifact_sha256 STRING, reason STRING")
+    exporters = spark.createDataFrame([], "exporter STRING, sha256 STRING")
+    audited = integrity.audit_provenance(artifacts, records, baseline, exporters, "v1")
+    assert integrity.provenance_summary(audited).first()["outcome"] == "NOTHING_CHECKED"
