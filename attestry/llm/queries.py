@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attestry.llm import exact_dedup, pii
+from attestry.llm import exact_dedup, pii, secrets
 from attestry.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,46 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def _sql_spans(kind: int, pattern: str, group: int) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""SELECT doc_id, owner, repo, {kind} AS kind, string_split_regex(text, '{pattern}') AS gap,
+        regexp_extract_all(text, '{pattern}') AS whole, regexp_extract_all(text, '{pattern}', {group}) AS val FROM t"""
+
+
+OP2_SQL = f"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, coalesce(lang, '') AS repo FROM documents),
+    m AS ({_sql_spans(0, secrets.ASSIGN, 2)} UNION ALL {_sql_spans(1, secrets.ACCESS, 0)}
+        UNION ALL {_sql_spans(2, secrets.HEX, 0)} UNION ALL {_sql_spans(3, secrets.MIXED, 0)}),
+    i AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM m WHERE len(whole) > 0),
+    x AS (SELECT doc_id, owner, repo, kind, val[i] AS val, len(whole[i]) AS n,
+        CAST(list_sum(list_transform(gap[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda g: len(g))), 0) AS BIGINT) AS s
+        FROM i),
+    base AS (SELECT * FROM x WHERE kind = 0 AND len(val) >= 12 OR kind IN (1, 2)),
+    cand AS (SELECT * FROM base UNION ALL
+        SELECT * FROM x WHERE kind = 3 AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[0-9]')
+        AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s < x.s + x.n AND x.s < b.s + b.n)),
+    held AS (SELECT val, count(DISTINCT owner) >= {secrets.WIDE_OWNERS} OR count(DISTINCT owner || chr(0) || repo) >= {secrets.WIDE_REPOS} AS copied
+        FROM cand GROUP BY val),
+    judged AS (SELECT c.*, copied, NOT copied AND len(list_distinct(string_split(c.val, ''))) >= {secrets.MIN_DISTINCT}
+        AND NOT regexp_matches(c.val, '{secrets.PLACEHOLDER}') AS live,
+        ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || s || ':' || (s + n) AS span
+        FROM cand c JOIN held USING (val)),
+    per AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+        string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3 OR live) AS spans,
+        count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied FROM judged GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+    FROM t LEFT JOIN per USING (doc_id)
+    """
+
+
+@_query("op2_secrets", OP2_SQL)
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An owner is a source; its repositories are the languages it publishes in."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.find_secrets(docs, docs["source"], docs["lang"])
+
+
 @_query("op10_pii")
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
