@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from attestry.session import tune
 
 # Bytes of text that travel to a Python worker at once; a single row may be larger.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
 
 
