@@ -6,10 +6,7 @@ or two common ones: a set is indexed under each rare shingle of its prefix and u
 set has too many pairs; it is indexed under its common shingles one by one, and sets whose partners may be long or short are
 indexed both ways.
 
-Equal sets are one class. Within an index entry, all classes are first verified against the smallest one; that joins groups of
-near copies without looking at their pairs. What is left are entries whose classes lie in several components: small entries give
-the pairs across components, large ones are worked off by a few pivots at a time until nothing is left across components. Every
-link that could join two components is verified exactly, so the components are those of all links.
+Equal sets are one class. Candidates become components as `linking` says; verification compares whole sets.
 """
 
 from __future__ import annotations
@@ -18,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.common import prepare, texts, written
-from attestry.llm.components import components
+from attestry.llm.linking import SMALL_KEY, linked, shared_keys
 from attestry.llm.shingles import BASE, WIDTH, digest, mixed, shingle_sets
 
 PERCENT = 80
@@ -32,8 +29,6 @@ MAX_COMMON = 1 << 18
 # In a batch of rows, shingles of fewer classes than this are not reported to the count of common ones.
 LEAST_IN_BATCH = 3
 PAIRED_SIZE = 300
-SMALL_ENTRY = 128
-PIVOTS = 8
 ONE = np.uint64(1)
 NO_ID = -(2**63)
 # Up to so many ids are sent to every task instead of shuffling the texts.
@@ -126,8 +121,8 @@ def _alike(a: Column, b: Column, shared: Column, percent: int) -> Column:
 
 
 class _Join:
-    def __init__(self, rows: DataFrame, width: int, percent: int, common_share: float, paired: int, small: int):
-        self.rows, self.width, self.percent, self.paired, self.small = rows, width, percent, paired, small
+    def __init__(self, rows: DataFrame, width: int, percent: int, common_share: float, paired: int):
+        self.rows, self.width, self.percent, self.paired = rows, width, percent, paired
         census = written(rows.mapInArrow(_census(width), "doc_id long, cls long, n long, token long, cnt long"))
         self.docs = census.filter("token IS NULL").select("doc_id", "cls", "n")
         total = self.docs.count()
@@ -143,9 +138,7 @@ class _Join:
         """(key, cls, least) of the keys under which several classes stand."""
         shared = self.rows.sparkSession.sparkContext.broadcast(self.common)
         raw = self.rows.mapInArrow(_index(shared, self.width, self.percent, self.paired), "key long, cls long")
-        of_key = Window.partitionBy("key")
-        ends = raw.withColumn("least", F.min("cls").over(of_key)).withColumn("most", F.max("cls").over(of_key))
-        return written(ends.filter("least <> most").select("key", "cls", "least"))
+        return shared_keys(raw)
 
     def sized(self, pairs: DataFrame) -> DataFrame:
         """Adds na and nb; keeps pairs whose sizes allow a link."""
@@ -169,21 +162,6 @@ class _Join:
         return written(both.filter(_alike(F.size("sa"), F.size("sb"), shared, self.percent)).select("a", "b"))
 
 
-def _open(index: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, cls, root, size) of the keys whose classes lie in several components."""
-    of_key = Window.partitionBy("key")
-    labelled = index.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    ends = labelled.withColumn("low", F.min("root").over(of_key)).withColumn("high", F.max("root").over(of_key)).withColumn("size", F.count("*").over(of_key))
-    return ends.filter("low <> high").select("key", "cls", "root", "size")
-
-
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b) for each common key, of classes in different components."""
-    right = right.select("key", F.col("cls").alias("b"), F.col("root").alias("other"))
-    both = left.join(right, "key").filter("cls <> b AND root <> other")
-    return both.select("key", F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b"))
-
-
 def similarity_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -192,7 +170,7 @@ def similarity_components(
     percent: int = PERCENT,
     common_share: float = COMMON_SHARE,
     paired: int = PAIRED_SIZE,
-    small: int = SMALL_ENTRY,
+    small: int = SMALL_KEY,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each input row, repeated rows included.
 
@@ -202,31 +180,20 @@ def similarity_components(
     """
     prepare(docs.sparkSession)
     rows = texts(docs, id_col, text_col)
-    work = _Join(rows, width, percent, common_share, paired, small)
+    work = _Join(rows, width, percent, common_share, paired)
     index = work.index()
     work.load(index)
-    # A star around the smallest class of each key. Which of its pairs are verified is free: later steps verify what is still open.
-    star = index.filter("cls <> least").groupBy(F.col("least").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("shared"))
-    links = work.verified(work.sized(star).filter("20 * shared >= least(na, nb)"))
-    roots = components(links)
-    rest = written(_open(index, roots))
-    few = rest.filter(F.col("size") <= work.small)
-    many = rest.filter(F.col("size") > work.small).select("key", "cls")
-    # A pair that shares a large entry is looked at there; the others must share enough single shingles, or a pair of common ones.
-    odd = F.count_if(F.col("key") % 2 != 0)
-    pairs = work.sized(_pairs(few, few).groupBy("a", "b").agg((F.count("*") / 2).alias("shared"), odd.alias("odd")))
-    outside = lambda n: F.floor(F.col(n) * percent / 100) - 1  # noqa: E731  shingles outside the prefix, or one more
+    # Shared prefix shingles of a pair: at least those it needs beyond the shingles outside the prefix. A shared pair of common
+    # shingles may stand for any number of them, a single one for none.
+    outside = lambda n: F.floor(F.col(n) * percent / 100) - 1
     need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)) - F.greatest(outside("na"), outside("nb")) - 2
-    links = links.unionByName(work.verified(pairs.filter((F.col("odd") > 0) | (F.col("shared") >= need)).select("a", "b")))
-    roots = components(links)
-    while not (still := written(_open(many, roots))).isEmpty():
-        place = F.dense_rank().over(Window.partitionBy("key").orderBy("cls"))
-        turn = written(still.withColumn("place", place))
-        pivots = turn.filter(F.col("place") <= PIVOTS)
-        found = work.verified(work.sized(_pairs(pivots, turn).select("a", "b").distinct()))
-        many = written(turn.filter(F.col("place") > PIVOTS).select("key", "cls"))
-        links = written(links.unionByName(found))
-        roots = components(links)
+    roots = linked(
+        index,
+        lambda pairs: work.verified(work.sized(pairs)),
+        lambda star: work.sized(star).filter("20 * shared >= least(na, nb)"),
+        lambda pairs: work.sized(pairs).filter((F.col("odd") > 0) | (F.col("shared") >= need)),
+        small,
+    )
     rooted = written(work.docs.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root")))
     least = written(rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")))
     out = rooted.filter("root IS NOT NULL").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
