@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import exact_dedup, language_id, line_dedup, ngram_join, packing, pii, secrets, toxicity
+from attestry.llm import decontamination, exact_dedup, language_id, line_dedup, ngram_join, packing, pii, secrets, toxicity
 from attestry.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,25 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+OP5_SQL = r"""
+    WITH t AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+    w AS (SELECT side, id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM t),
+    s AS (SELECT DISTINCT side, id, array_to_string(ws[i:i + 4], ' ') AS s
+        FROM (SELECT side, id, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS i FROM w WHERE len(ws) > 0)),
+    n AS (SELECT id, count(*) AS n FROM s WHERE side = 1 GROUP BY id)
+    SELECT d.id AS doc_id, b.id AS item_id, n.n AS n_item, count(*) AS n_shared
+    FROM s d JOIN s b ON d.side = 0 AND b.side = 1 AND d.s = b.s JOIN n ON n.id = b.id
+    GROUP BY d.id, b.id, n.n HAVING 100 * count(*) >= 80 * n.n
+    """
+
+
+@_query("op5_decontamination", OP5_SQL)
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with each benchmark item that it contains."""
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item", "n_shared")
+
+
 OP6_SQL = r"""
     WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
