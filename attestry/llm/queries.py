@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import decontamination, exact_dedup, language_id, line_dedup, ngram_join, packing, pii, secrets, toxicity
+from attestry.llm import decontamination, exact_dedup, language_id, line_dedup, lm_scoring, ngram_join, packing, pii, secrets, toxicity
 from attestry.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,32 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(table(spark, sf_dir, "documents"))
 
 
+OP7_SQL = r"""
+    WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+    c AS (SELECT w, count(*) AS n FROM t GROUP BY w),
+    v AS (SELECT w FROM c WHERE n >= 1e-4 * (SELECT count(*) FROM t)),
+    x AS (SELECT doc_id, i, coalesce(v.w, '') AS c FROM t LEFT JOIN v USING (w)),
+    g AS (SELECT doc_id, i, c, lag(c) OVER d AS b, lag(c, 2) OVER d AS a FROM x WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+    n1 AS (SELECT c, count(*) AS n FROM g GROUP BY c),
+    n2 AS (SELECT b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY b, c),
+    n3 AS (SELECT a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY a, b, c),
+    s AS (SELECT g.doc_id, CASE
+            WHEN n3.n >= 2 THEN n3.n / h2.n::DOUBLE
+            WHEN n2.n >= 2 THEN n2.n / h1.n::DOUBLE * CASE WHEN g.a IS NULL THEN 1 ELSE 0.4 END
+            ELSE n1.n / (SELECT count(*) FROM t)::DOUBLE * CASE WHEN g.b IS NULL THEN 1 WHEN g.a IS NULL THEN 0.4 ELSE 0.4 * 0.4 END END AS p
+        FROM g JOIN n1 ON n1.c = g.c LEFT JOIN n1 h1 ON h1.c = g.b LEFT JOIN n2 ON n2.b = g.b AND n2.c = g.c
+        LEFT JOIN n2 h2 ON h2.b = g.a AND h2.c = g.b LEFT JOIN n3 ON n3.a = g.a AND n3.b = g.b AND n3.c = g.c),
+    m AS (SELECT doc_id, avg(ln(p)) AS mean_log FROM s GROUP BY doc_id)
+    SELECT w.doc_id, len(w.ws) AS n_words, round(m.mean_log, 6) AS mean_log FROM w LEFT JOIN m USING (doc_id)
+    """
+
+
+@_query("op7_lm_scoring", OP7_SQL)
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents")).withColumn("mean_log", F.round("mean_log", 6))
+
+
 @_query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
