@@ -21,7 +21,8 @@ from attestry.llm.common import prepare, pylist_batches, texts, worker_cache, wr
 SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 8192
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
+SIGNS = ".,!?;:|%*#$()"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -29,9 +30,10 @@ PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Encoder:
     """Ids of a text as bytes (little-endian, 32 bits an id).
 
-    This vocabulary drops white space and no token spans it, so the ids of a text are those of its parts between blanks and line
-    ends; ids of parts seen before are kept, in two generations of bounded size. A text in which a special token is spelled out
-    goes to the tokenizer whole.
+    This vocabulary drops white space and lower-cases, and takes runs of letters apart from runs of other signs. So the ids of a
+    text are those of its parts between blanks and line ends, and those of a word with signs behind it are the word's and the
+    signs'. Ids of parts seen before are kept, in two generations of bounded size. Latin-1 texts, which the normalisation leaves
+    alone, are lower-cased first. A text in which a special token is spelled out goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -46,23 +48,42 @@ class Encoder:
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _learn(self, parts: set[str]) -> None:
+        """Makes `young` hold all of `parts`."""
+        young, old = self.young, self.old
+        split = []
+        missing = set()
+        for p in parts:
+            if p in old:
+                young[p] = old[p]
+                continue
+            word = p.rstrip(SIGNS)
+            if word != p and word.isalpha() and word.lower().isalpha():
+                split.append((p, word, p[len(word) :]))
+                missing.update(w for w in split[-1][1:] if w not in young)
+            else:
+                missing.add(p)
+        again = [p for p in missing if p in old]
+        young.update((p, old[p]) for p in again)
+        fresh = list(missing.difference(again))
+        for at in range(0, len(fresh), 10_000):
+            some = fresh[at : at + 10_000]
+            young.update(zip(some, self._encode(some)))
+        young.update((p, young[w] + young[signs]) for p, w, signs in split)
+
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self._encode([text])[0]
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
         parts = text.replace("\n", " ").split(" ")
-        young, old = self.young, self.old
-        new = {p for p in parts if p not in young}
-        if new:
-            again = [p for p in new if p in old]
-            young.update((p, old[p]) for p in again)
-            new.difference_update(again)
-            fresh = list(new)
-            for at in range(0, len(fresh), 10_000):
-                some = fresh[at : at + 10_000]
-                young.update(zip(some, self._encode(some)))
-        out = b"".join(map(young.__getitem__, parts))
-        if len(young) > CACHED_WORDS:
-            self.old, self.young = young, {"": b""}
+        self._learn({p for p in parts if p not in self.young})
+        out = b"".join(map(self.young.__getitem__, parts))
+        if len(self.young) > CACHED_WORDS:
+            self.old, self.young = self.young, {"": b""}
         return out
 
 
