@@ -23,6 +23,7 @@ from attestry.llm.grams import coded, counted, slices, words_of
 ORDERS = (1, 2, 3)
 PROFILE_SIZE = 400
 UNKNOWN = "und"
+MIN_SCORE = 0.25
 
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -104,3 +105,22 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), mod.alias("mod"))
     profiles = train(rows.filter("mod <> 2").select("text", "lang"))
     return predict(rows.select("doc_id", "text", F.coalesce(F.col("mod") == 2, F.lit(False)).alias("held_out")), profiles)
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose text has a language: not `und`, and a score of at least `min_score`.
+
+    A language without a profile shares next to no n-gram with those that have one and scores close to 0; texts of a known language,
+    one word long or full of noise, stay well above. Learns as `identify` does; if nothing could be learnt, no row is kept.
+    """
+    prepare(docs.sparkSession)
+    rows = docs.select(docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), remainder(docs[id_col].cast("long"), 4).alias("mod"))
+    profiles = train(rows.filter("mod <> 2").select("text", "lang"))
+    at = docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [profiles.predict(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import prepare, texts, written
+from attestry.llm.common import prepare, written
 from attestry.llm.linking import linked, shared_keys
 
 SHINGLE = 8
@@ -72,19 +72,15 @@ def line_components(lines: DataFrame, width: int, percent: int, sketch: int, ban
     return linked(index, verified)
 
 
-def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, sketch: int = SKETCH, band: int = BAND
-) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped), one row for each input row: the text without lines that an earlier one stands for.
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, key, text_hash, text): whole rows as a struct, so that no column of theirs can clash."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    return docs.select(row, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
-    Two lines are linked if 100 * common shingles >= percent * all shingles of both. Of each component the first line by document
-    id (null last) and place stays. Blank lines are neither counted nor dropped; lines up to `width` characters are only equal or
-    different. A text whose lines are all dropped is empty. Null text counts as empty. Rows that repeat an id and a text are one
-    document and each get its result; rows of one id with several texts are ordered by a hash of the text. An empty table gives
-    an empty result; of extra columns none is read.
-    """
-    prepare(docs.sparkSession)
-    rows = texts(docs, id_col, text_col).select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("text_hash"))
+
+def dropped_lines(rows: DataFrame, width: int = SHINGLE, percent: int = PERCENT, sketch: int = SKETCH, band: int = BAND) -> DataFrame:
+    """(key, text_hash, gone): places of the lines that an earlier one stands for, for texts that have some."""
     lines = lines_of(rows)
     roots = line_components(lines, width, percent, sketch, band)
     places = written(lines.select("key", "text_hash", "pos", "cls").distinct())
@@ -92,13 +88,25 @@ def dedup_lines(
     order = F.struct((F.col("key") == NO_ID).alias("none"), "key", "text_hash", "pos")
     firsts = written(placed.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first"))
     dropped = placed.join(firsts, "root").filter(order != F.col("first"))
-    per_text = dropped.groupBy("key", "text_hash").agg(F.collect_list("pos").alias("gone"))
-    out = rows.join(per_text, ["key", "text_hash"], "left").withColumn("lines", F.split("text", "\n", -1))
+    return written(dropped.groupBy("key", "text_hash").agg(F.collect_list("pos").alias("gone")))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, all columns as they are but the text, which lacks the lines that an earlier one stands for; then
+    _n_lines, _n_dropped (long).
+
+    Two lines are linked if 100 * common shingles >= percent * all shingles of both. Of each component the first line by document
+    id (null last) and place stays. Blank lines are neither counted nor dropped; lines up to `width` characters are only equal or
+    different. A text whose lines are all dropped is empty. Null text counts as empty, and becomes it. Rows that repeat an id and
+    a text are one document and each get its result; rows of one id with several texts are ordered by a hash of the text. An empty
+    table gives an empty result; no other column than id and text is read.
+    """
+    prepare(docs.sparkSession)
+    rows = keyed(docs, id_col, text_col)
+    gone = dropped_lines(rows.drop("row"), **options)
+    out = rows.join(gone, ["key", "text_hash"], "left").withColumn("lines", F.split("text", "\n", -1))
     kept = F.filter("lines", lambda line, i: ~F.array_contains("gone", i))
     counted = F.size(F.filter("lines", lambda line: line.rlike(r"\S")))
-    return out.select(
-        "doc_id",
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        counted.cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    new_text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    columns = [new_text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return out.select(*columns, counted.cast("long").alias("_n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_n_dropped"))

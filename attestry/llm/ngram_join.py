@@ -36,7 +36,7 @@ SENT_IDS = 1_000_000
 
 
 def _census(width: int):
-    """Of each batch: (doc_id, cls, n) of its texts, and (token, cnt) of the shingles that several of its classes share."""
+    """Of each batch: (doc_id, text_hash, cls, n) of its texts, and (token, cnt) of the shingles that several of its classes share."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,13 +54,14 @@ def _census(width: int):
             a, b = batch.num_rows, int(keep.sum())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([batch.column(0).cast(pa.int64()), none(b)]),
+                    pa.concat_arrays([batch.column(0), none(b)]),
+                    pa.concat_arrays([batch.column(2), none(b)]),
                     pa.concat_arrays([pa.array(classes, pa.int64()), none(b)]),
                     pa.concat_arrays([pa.array(sizes, pa.int64()), none(b)]),
                     pa.concat_arrays([none(a), pa.array(token[keep])]),
                     pa.concat_arrays([none(a), pa.array(cnt[keep].astype(np.int64))]),
                 ],
-                names=["doc_id", "cls", "n", "token", "cnt"],
+                names=["doc_id", "text_hash", "cls", "n", "token", "cnt"],
             )
 
     return rows
@@ -123,8 +124,8 @@ def _alike(a: Column, b: Column, shared: Column, percent: int) -> Column:
 class _Join:
     def __init__(self, rows: DataFrame, width: int, percent: int, common_share: float, paired: int):
         self.rows, self.width, self.percent, self.paired = rows, width, percent, paired
-        census = written(rows.mapInArrow(_census(width), "doc_id long, cls long, n long, token long, cnt long"))
-        self.docs = census.filter("token IS NULL").select("doc_id", "cls", "n")
+        census = written(rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_census(width), "doc_id long, text_hash long, cls long, n long, token long, cnt long"))
+        self.docs = census.filter("token IS NULL").select("doc_id", "text_hash", "cls", "n")
         total = self.docs.count()
         counts = census.filter("token IS NOT NULL").groupBy("token").agg(F.sum("cnt").alias("cnt"))
         hot = counts.filter(F.col("cnt") >= common_share * total).orderBy(F.desc("cnt"), "token").limit(MAX_COMMON).toArrow()
@@ -149,8 +150,7 @@ class _Join:
     def load(self, index: DataFrame) -> None:
         """Shingle sets of the classes that stand in the index, one text each."""
         wanted = written(index.select("cls").distinct().join(self.classes, "cls").select("cls", "doc_id"))
-        ids = wanted.select("doc_id").distinct()
-        ids = F.broadcast(ids) if wanted.count() <= SENT_IDS else ids
+        ids = _sent(written(wanted.select("doc_id").distinct()))
         found = self.rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(self.width), "cls long, shingles array<long>")
         self.sets = written(found.dropDuplicates(["cls"]))
 
@@ -162,6 +162,26 @@ class _Join:
         return written(both.filter(_alike(F.size("sa"), F.size("sb"), shared, self.percent)).select("a", "b"))
 
 
+def _rooted(rows: DataFrame, width: int, percent: int, common_share: float, paired: int, small: int) -> DataFrame:
+    """(doc_id, text_hash, n, root) of `rows` (doc_id, text); root is null without words, else one class of the component."""
+    work = _Join(rows, width, percent, common_share, paired)
+    index = work.index()
+    work.load(index)
+    # Shared prefix shingles of a pair: at least those it needs beyond the shingles outside the prefix. A shared pair of common
+    # shingles may stand for any number of them, a single one for none.
+    outside = lambda n: F.floor(F.col(n) * percent / 100) - 1
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)) - F.greatest(outside("na"), outside("nb")) - 2
+    roots = linked(
+        index,
+        lambda pairs: work.verified(work.sized(pairs)),
+        lambda star: work.sized(star).filter("20 * shared >= least(na, nb)"),
+        lambda pairs: work.sized(pairs).filter((F.col("odd") > 0) | (F.col("shared") >= need)),
+        small,
+    )
+    found = work.docs.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    return written(found.select("doc_id", "text_hash", "n", F.coalesce("root", "cls").alias("root")))
+
+
 def similarity_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -176,25 +196,38 @@ def similarity_components(
 
     component_id is the smallest id reachable by links. Null text counts as empty; a row without words has 0 shingles and is alone.
     Null ids don't count for the smallest id; a component of null ids only has null. An empty table gives an empty result; of
-    extra columns none is read. `paired` and `small` choose between ways of equal result.
+    extra columns none is read. `common_share`, `paired` and `small` choose between ways of equal result.
     """
     prepare(docs.sparkSession)
-    rows = texts(docs, id_col, text_col)
-    work = _Join(rows, width, percent, common_share, paired)
-    index = work.index()
-    work.load(index)
-    # Shared prefix shingles of a pair: at least those it needs beyond the shingles outside the prefix. A shared pair of common
-    # shingles may stand for any number of them, a single one for none.
-    outside = lambda n: F.floor(F.col(n) * percent / 100) - 1
-    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)) - F.greatest(outside("na"), outside("nb")) - 2
-    roots = linked(
-        index,
-        lambda pairs: work.verified(work.sized(pairs)),
-        lambda star: work.sized(star).filter("20 * shared >= least(na, nb)"),
-        lambda pairs: work.sized(pairs).filter((F.col("odd") > 0) | (F.col("shared") >= need)),
-        small,
-    )
-    rooted = written(work.docs.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root")))
+    rooted = _rooted(texts(docs, id_col, text_col), width, percent, common_share, paired, small)
     least = written(rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")))
     out = rooted.filter("root IS NOT NULL").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return out.unionByName(rooted.filter("root IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs`, all columns as they are, of which each component keeps one: that of the smallest id, null last.
+
+    Of rows that repeat an id and a text one stays; of several texts of that id, the one with the smallest hash. Rows without
+    words are all kept. An empty table gives an empty result; no other column than id and text is read.
+    """
+    prepare(docs.sparkSession)
+    rooted = _rooted(texts(docs, id_col, text_col), width, percent, COMMON_SHARE, PAIRED_SIZE, SMALL_KEY).filter("root IS NOT NULL")
+    rooted = rooted.withColumn("key", F.coalesce("doc_id", F.lit(NO_ID)))
+    order = F.struct((F.col("key") == NO_ID).alias("none"), "key", "text_hash")
+    counted = written(rooted.groupBy("root", "key", "text_hash").agg(F.count("*").alias("m")))
+    first = written(counted.groupBy("root").agg(F.min(order).alias("first"), F.sum("m").alias("all")).filter("all > 1").select("root", "first"))
+    judged = written(counted.join(first, "root").select("key", "text_hash", (order == F.col("first")).alias("stays"), "m"))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    key, text_hash = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    rows = docs.select(row, key.alias("key"), text_hash.alias("text_hash"))
+    gone = judged.filter("NOT stays OR m > 1").select("key", "text_hash")
+    out = rows.join(_sent(gone), ["key", "text_hash"], "left_anti")
+    again = judged.filter("stays AND m > 1").select("key", "text_hash")
+    if not again.isEmpty():
+        out = out.unionByName(rows.join(_sent(again), ["key", "text_hash"], "left_semi").dropDuplicates(["key", "text_hash"]).select("row", "key", "text_hash"))
+    return out.select("row.*")
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
