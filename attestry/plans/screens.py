@@ -67,7 +67,7 @@ def _screened(spark, sf):
 
 
 def _problem_statuses(spark, sf):
-    return specs.problem_status(_screened(spark, sf), _problems(spark, sf).drop("spec", "impl"))
+    return specs.problem_status(_screened(spark, sf))
 
 
 @query(
@@ -99,7 +99,7 @@ def problem_status(spark, sf):
 @query(
     "h_screen_summary",
     f"""WITH {_TH} SELECT count(*) AS problems_seen, count(*) FILTER (status = 'not_analyzed') AS problems_not_analyzed, count(*) FILTER (status = 'flagged') AS problems_flagged,
-      count(*) FILTER (status = 'clean_static') AS problems_clean_static, CAST(sum(found) AS BIGINT) AS theorems_seen, CAST(sum(analyzed) AS BIGINT) AS theorems_analyzed, CAST(sum(flagged) AS BIGINT) AS theorems_flagged,
+      count(*) FILTER (status = 'clean_static') AS problems_clean_static, count(*) FILTER (status <> 'not_analyzed') AS problems_analyzed, CAST(sum(found - analyzed) AS BIGINT) AS theorems_not_analyzed, CAST(sum(found) AS BIGINT) AS theorems_seen, CAST(sum(analyzed) AS BIGINT) AS theorems_analyzed, CAST(sum(flagged) AS BIGINT) AS theorems_flagged,
       CAST(sum(sorries) AS BIGINT) AS sorry_placeholders, count(*) FILTER (is_canonical) AS canonical_problems, count(*) FILTER (is_canonical AND status = 'flagged') AS canonical_flagged, count(DISTINCT repo) AS distinct_repos FROM pb""",
 )
 def screen_summary(spark, sf):
@@ -109,10 +109,12 @@ def screen_summary(spark, sf):
 @query(
     "h_checks_fired",
     f"""WITH {_TH}, x AS (SELECT problem_id, split_part(unnest(fs), ':', 1) AS "check" FROM sc)
-    SELECT "check", count(DISTINCT problem_id) AS problems, count(*) AS theorems FROM x GROUP BY ALL""",
+    SELECT c."check", count(DISTINCT problem_id) AS problems, count(problem_id) AS theorems
+    FROM (SELECT unnest(['dependency_vacuity', 'opaque_subject', 'trivial_conclusion', 'reflexive_conclusion', 'unsatisfiable_hypotheses', 'empty_quantification', 'no_sorry_obligation']) AS "check") c
+    LEFT JOIN x USING ("check") GROUP BY ALL""",
 )
 def checks_fired(spark, sf):
-    return specs.checks_fired(_problem_statuses(spark, sf)).where("theorems > 0")
+    return specs.checks_fired(_problem_statuses(spark, sf))
 
 
 @query(

@@ -178,6 +178,22 @@ theorem d : True := trivial
     }
 
 
+def test_spec_screen_has_no_caps(spark):
+    blocks = " ".join(f"∀ (x{k} : Nat)," for k in range(20))
+    texts = [
+        f"theorem deep : {blocks} True := by sorry",
+        "theorem range (x : Nat) (h : 2000000000 < x) (k : x < 3000000000) : f x = 1 := by sorry",
+        "theorem none (x : Nat) (h : 2000000000 < x) (k : x < 2000000001) : f x = 1 := by sorry",
+    ]
+    problems = spark.createDataFrame([("same", t, "def f (n : Nat) : Nat := n", "r", True, None) for t in texts], "problem_id STRING, spec STRING, impl STRING, repo STRING, is_canonical BOOLEAN, claims_invokes_impl BOOLEAN")
+    screened = specs.screen(specs.split_theorems(problems))
+    got = {r.name: sorted(x["check"] for x in r.findings) for r in screened.collect()}
+    assert got == {"deep": ["dependency_vacuity", "trivial_conclusion"], "range": [], "none": ["unsatisfiable_hypotheses"]}
+    statuses = specs.problem_status(screened)
+    assert sorted((r.theorems_found, r.status) for r in statuses.collect()) == [(1, "clean_static"), (1, "flagged"), (1, "flagged")]
+    assert specs.screen_summary(statuses).first().problems_analyzed == 3
+
+
 def test_escapes_in_comments_and_strings_do_not_count(spark):
     text = 'def a := "sorry"\n-- sorry\n/- sorry /- sorry -/ sorry -/ theorem t := by sorry\n\naxiom x : Nat\n'
     found = specs.escape_sweep(spark.createDataFrame([("a.lean", text)], "path STRING, text STRING"))
