@@ -571,27 +571,20 @@ def unique_ident(functions: DataFrame, limit: int = 120) -> DataFrame:
 # ------------------------------------------------------------------ reachability and axioms
 
 
-def reach(edges: DataFrame, roots: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """All (root, decl) with decl reachable from root, the root included.
 
-    A frontier join per round; each round only the new pairs are joined on, and lineage is cut by a reliable
-    checkpoint, so a lost executor recomputes one round and not all.
+    A frontier join per round, until a round finds nothing. Each round's new pairs are checkpointed once and never written
+    again; what was seen is the union of the frontiers.
     """
     step = edges.select(F.col("src").alias("decl"), "dst").distinct()
-    seen = roots.select(F.col("root"), F.col("root").alias("decl")).distinct()
-    frontier = seen
-    for _ in range(max_rounds):
-        new = (
-            frontier.join(step, "decl")
-            .select("root", F.col("dst").alias("decl"))
-            .distinct()
-            .join(seen, ["root", "decl"], "left_anti")
-        )
-        frontier = cut_lineage(new)
+    frontier = seen = roots.select(F.col("root"), F.col("root").alias("decl")).distinct()
+    while True:
+        found = frontier.join(step, "decl").select("root", F.col("dst").alias("decl")).distinct()
+        frontier = cut_lineage(found.join(seen, ["root", "decl"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = cut_lineage(seen.unionByName(frontier))
-    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+        seen = seen.unionByName(frontier)
 
 
 def depends_on(reached: DataFrame, claims: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from attestry.functions.numeric import INT
 
 LAWS = "fn STRING, law STRING, testified BIGINT, counterexamples BIGINT, holes BIGINT, uncovered BIGINT"
 MIN_DOMAIN = 3
-MAX_FIELDS = 6
 
 
 def int_payload(value):
@@ -160,17 +159,13 @@ def law_commutes(obs: DataFrame) -> DataFrame:
     return _partner_law(obs, "commutes", wanted, expected, F.size("args") >= 2)
 
 
-def law_projects(obs: DataFrame, max_fields: int = MAX_FIELDS) -> DataFrame:
-    """Result equals a field of the receiver, for the first fields by name; obs carries fields MAP<STRING,STRING>."""
-    fields = (
-        obs.select("fn", F.explode(F.map_keys("fields")).alias("field"))
-        .distinct()
-        .withColumn("r", F.row_number().over(Window.partitionBy("fn").orderBy("field")))
-        .where(F.col("r") <= max_fields)
-        .groupBy("fn")
-        .agg(F.collect_list("field").alias("proposed"))
-    )
-    tested = obs.join(fields, "fn").select("fn", "tag", "value", "fields", F.explode("proposed").alias("field"))
+def law_projects(obs: DataFrame, max_fields: int | None = None) -> DataFrame:
+    """Result equals a field of the receiver, for all fields or the first by name; obs carries fields MAP<STRING,STRING>."""
+    fields = obs.select("fn", F.explode(F.map_keys("fields")).alias("field")).distinct()
+    if max_fields is not None:
+        place = F.row_number().over(Window.partitionBy("fn").orderBy("field"))
+        fields = fields.withColumn("r", place).where(F.col("r") <= max_fields).drop("r")
+    tested = obs.join(fields, "fn").select("fn", "tag", "value", "fields", "field")
     holds = (F.col("tag") == "val") & (F.col("value") == F.try_element_at("fields", F.col("field")))
     return tested.groupBy("fn", "field").agg(
         F.count("*").alias("testified"),
@@ -214,10 +209,10 @@ def refute(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("status", status).withColumn("reason", reason)
 
 
-def argument_reads(functions: DataFrame, nodes: DataFrame, first: int = 2) -> DataFrame:
-    """Does the body read each of the first parameters? Any node whose value is the parameter's name counts."""
+def argument_reads(functions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Does the body read its first, its first two, all of its parameters? Any node whose value is the parameter's name counts."""
     params = functions.select(
-        "module", F.col("name").alias("fn"), F.posexplode(F.slice("params", F.lit(1), first)).alias("at", "v")
+        "module", F.col("name").alias("fn"), F.posexplode("params").alias("at", "v")
     )
     read = nodes.where(F.col("v").isNotNull()).select("module", "fn", "v")
     hit = params.join(read, ["module", "fn", "v"], "left_semi").withColumn("reads", F.lit(True))
@@ -226,6 +221,7 @@ def argument_reads(functions: DataFrame, nodes: DataFrame, first: int = 2) -> Da
         .groupBy("module", "fn")
         .agg(
             F.bool_and(F.when(F.col("at") == 0, F.coalesce("reads", F.lit(False)))).alias("reads_first"),
+            F.bool_and(F.when(F.col("at") <= 1, F.coalesce("reads", F.lit(False)))).alias("reads_first_two"),
             F.bool_and(F.coalesce("reads", F.lit(False))).alias("reads_all"),
         )
     )

@@ -12,10 +12,11 @@ from attestry.plans.registry import query, table
 
 # ---- E: line items as recorded cases, the same line items with rows removed and values changed as answers
 
-_ID = "l_orderkey * 1000000 + l_partkey * 10 + l_linenumber"
+_ID = "CAST(l_orderkey AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || '-' || CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)"
+_ORDER = "CAST(split_part(case_id, '-', 1) AS BIGINT)"
 _CASES = f"""base AS (
     SELECT {_ID} AS case_id, CAST(l_linenumber AS BIGINT) AS ln, CAST(l_partkey AS BIGINT) AS pk, CAST(l_suppkey AS VARCHAR) AS fn,
-           l_returnflag AS origin, count(*) OVER (PARTITION BY {_ID}) AS copies FROM lineitem),
+           l_returnflag AS origin FROM lineitem),
   verdicts AS (
     SELECT case_id, fn, origin,
       CASE WHEN pk % 13 = 0 THEN 'no-answer' WHEN pk % 13 = 1 THEN 'unparsable' WHEN pk % 13 = 2 THEN 'field:x' WHEN pk % 13 = 3 THEN 'outOfFuel'
@@ -23,17 +24,15 @@ _CASES = f"""base AS (
            WHEN pk % 13 = 5 AND ln % 3 = 0 THEN 'exception-payload-unmodelled' END AS reason,
       CASE WHEN pk % 13 = 5 AND ln % 3 = 1 THEN 'agree' WHEN pk % 13 = 5 THEN 'diverge' WHEN pk % 13 = 6 THEN 'diverge'
            WHEN pk % 13 = 7 AND ln = 2 THEN 'diverge' ELSE 'agree' END AS judged
-    FROM base WHERE copies = 1),
+    FROM base),
   v AS (SELECT case_id, fn, origin, CASE WHEN reason IS NOT NULL THEN 'inconclusive' ELSE judged END AS verdict, reason FROM verdicts)"""
 
 
 def _base(spark, sf):
-    lines = table(spark, sf, "lineitem").select(
+    return table(spark, sf, "lineitem").select(
         F.expr(_ID).alias("case_id"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("pk"),
         F.col("l_suppkey").cast("string").alias("fn"), F.col("l_returnflag").alias("origin"),
     )
-    once = lines.groupBy("case_id").count().where("count = 1").drop("count")
-    return lines.join(once, "case_id", "left_semi")
 
 
 def _cases(spark, sf):
@@ -116,7 +115,7 @@ def conformance_rate(spark, sf):
 
 # Customers as functions: those holding line-item verdicts have one status, the rest are blocked by what is known of them.
 _STATUS = f"""{_CASES}, few AS (SELECT 'm.py:<module>.' || c_custkey AS fn, c_custkey AS k FROM customer),
-  vv AS (SELECT 'm.py:<module>.' || (case_id % 97 * 5) AS fn, verdict, reason, case_id FROM v WHERE verdict = 'inconclusive' OR case_id % 97 < 20),
+  vv AS (SELECT 'm.py:<module>.' || ({_ORDER} % 97 * 5) AS fn, verdict, reason, case_id FROM v WHERE verdict = 'inconclusive' OR {_ORDER} % 97 < 20),
   a AS (SELECT fn, bool_or(verdict <> 'inconclusive') AS compared,
           string_agg(DISTINCT split_part(reason, ':', 1), ', ' ORDER BY split_part(reason, ':', 1)) FILTER (reason <> 'unparsable') AS labels FROM vv GROUP BY fn),
   st AS (SELECT f.fn, CASE WHEN a.compared THEN 'compared'
@@ -135,8 +134,8 @@ def _statuses(spark, sf):
         F.col("c_custkey").cast("string").alias("short"), F.when(F.col("c_custkey") % 6 == 1, "takes a float").otherwise("no instance").alias("reason")
     ).select(F.concat(F.lit("<module>."), "short").alias("tail"), "reason", "short")
     why = why.select(F.col("short").alias("name"), "reason")
-    verdicts = _verdicts(spark, sf).where("verdict = 'inconclusive' OR case_id % 97 < 20").withColumn(
-        "fn", F.concat(F.lit("m.py:<module>."), F.col("case_id") % 97 * 5)
+    verdicts = _verdicts(spark, sf).where(f"verdict = 'inconclusive' OR {_ORDER} % 97 < 20").withColumn(
+        "fn", F.concat(F.lit("m.py:<module>."), F.expr(_ORDER) % 97 * 5)
     )
     return conformance.function_status(customers, customers.where("c_custkey % 7 = 0"), verdicts, why)
 
@@ -244,7 +243,7 @@ def width_sensitive(spark, sf):
 
 _EXEC = f"""x AS (SELECT CAST(l_suppkey AS VARCHAR) AS fn, CASE WHEN l_returnflag = 'A' THEN 'test-suite' ELSE 'random' END AS origin,
       CASE WHEN l_linenumber = 7 THEN NULL WHEN l_suppkey % 3 = 0 AND l_linenumber = 6 THEN 'hole' WHEN l_linenumber = 5 AND l_quantity > 45 THEN 'outOfFuel' WHEN l_suppkey % 11 = 5 THEN NULL ELSE 'val' END AS tag
-    FROM lineitem QUALIFY count(*) OVER (PARTITION BY {_ID}) = 1),
+    FROM lineitem),
   per AS (SELECT fn, count(*) AS cases, count(tag) AS answered, count(*) FILTER (tag = 'val') AS ok, count(*) FILTER (tag = 'hole') AS holes, count(*) FILTER (tag = 'outOfFuel') AS fuel,
       count(*) FILTER (tag IS NULL) AS no_answer, count(*) FILTER (origin = 'test-suite') AS real_cases, count(*) FILTER (tag = 'hole' AND origin = 'test-suite') AS real_holes,
       count(*) FILTER (tag = 'hole' AND origin <> 'test-suite') AS synth_holes FROM x GROUP BY fn),
@@ -256,8 +255,7 @@ _EXEC = f"""x AS (SELECT CAST(l_suppkey AS VARCHAR) AS fn, CASE WHEN l_returnfla
 
 def _execution(spark, sf):
     rows = table(spark, sf, "lineitem").withColumn("case_id", F.expr(_ID))
-    once = rows.groupBy("case_id").count().where("count = 1").drop("count")
-    cases = rows.join(once, "case_id", "left_semi").select(
+    cases = rows.select(
         "case_id", F.col("l_suppkey").cast("string").alias("fn"), F.when(F.col("l_returnflag") == "A", "test-suite").otherwise("random").alias("origin"),
         F.array(F.col("l_partkey").cast("string")).alias("args"), "l_linenumber", "l_quantity", "l_suppkey",
     )
@@ -302,12 +300,12 @@ def staleness(spark, sf):
     "e_quota_sample",
     """WITH d AS (SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, round(value) ORDER BY event_id) = 1),
     r AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 8)
-    SELECT event_id, user_id FROM r ORDER BY md5(event_id || ':20260819'), event_id LIMIT 600""",
+    SELECT event_id, user_id FROM r""",
 )
 def quota_sample(spark, sf):
-    """A sampling operator: at most 8 distinct inputs per user in order of arrival, 600 in all."""
+    """A sampling operator: at most 8 distinct inputs per user in order of arrival."""
     events = table(spark, sf, "events").withColumn("rounded", F.round("value"))
-    kept = conformance.quota_sample(events, 8, 600, key="user_id", order="event_id", identity=["event_type", "rounded"])
+    kept = conformance.quota_sample(events, 8, key="user_id", order="event_id", identity=["event_type", "rounded"])
     return kept.select("event_id", "user_id")
 
 
@@ -462,7 +460,7 @@ def body_laws(spark, sf):
 @query(
     "f_argument_reads",
     f"""WITH {WITH_FUNCS}, r AS (SELECT doc_id, bool_or(m % 5 = 4 OR (n < {HOLE_LENGTH} AND (n % 7 IN (4, 5) OR (n % 7 <> 3 AND id = 'self')))) AS reads FROM words GROUP BY doc_id)
-    SELECT module, name AS fn, coalesce(reads, false) AS reads_first, coalesce(reads, false) AS reads_all FROM funcs LEFT JOIN r USING (doc_id)""",
+    SELECT module, name AS fn, coalesce(reads, false) AS reads_first, coalesce(reads, false) AS reads_first_two, coalesce(reads, false) AS reads_all FROM funcs LEFT JOIN r USING (doc_id)""",
 )
 def argument_reads(spark, sf):
     return laws.argument_reads(corpus.functions(spark, sf), corpus.nodes(spark, sf, ["v"]))

@@ -40,11 +40,13 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, memory: str = "
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary one only where none is named."""
+    """Reliable checkpoint in the folder the cluster names; a temporary one only in local mode, where none is named."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="attestry-checkpoint-"))
     return df.checkpoint(eager=True)
 

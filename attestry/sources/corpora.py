@@ -39,7 +39,7 @@ def read_functions(spark: SparkSession, glob: str) -> DataFrame:
 def corpus_errors(spark: SparkSession, glob: str) -> DataFrame:
     """Files that are not a JSON array of functions, or hold none: neither may pass for a corpus."""
     files = spark.read.format("binaryFile").load(glob).select(
-        "path", F.ltrim(F.decode(F.substring("content", 1, 256), "UTF-8")).startswith("[").alias("is_array")
+        "path", F.decode("content", "UTF-8").rlike(r"^\uFEFF?\s*\[").alias("is_array")
     )
     found = read_functions(spark, glob).groupBy(F.col("source_path").alias("path")).agg(
         F.count_if(F.col("name").isNotNull() & F.col("_corrupt").isNull()).alias("functions"),
