@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from attestry import rules, schemas
 from attestry.functions import names
 
-KEY = ["module", "fn"]
+# A function is a place in its corpus; the name is a label, and two functions may share it.
+KEY = ["module", "fn", "fn_pos"]
 
 _TOKEN = re.compile(r'[{}\[\],:]|"(?:[^"\\]|\\.)*"|[^\s{}\[\],:"]+')
 _ROWS_PER_BATCH = 20_000
@@ -111,6 +112,12 @@ def _walk(body):
                 push((child, me, depth + 1, key, 0, below_pruned, below_index, lead))
 
 
+def identified(functions: DataFrame, *columns: str) -> DataFrame:
+    """The key of each function, its place from `pos` (0 where a table has none), and the named columns."""
+    pos = F.col("pos") if "pos" in functions.columns else F.lit(0)
+    return functions.select("module", F.col("name").alias("fn"), pos.cast("bigint").alias("fn_pos"), *columns)
+
+
 _ARROW_TYPES = {"STRING": pa.string(), "INT": pa.int32(), "BOOLEAN": pa.bool_()}
 _NODE_TYPES = dict(c.strip().split(" ") for c in schemas.NODES.split(","))
 _WALK_COLUMNS = list(_NODE_TYPES)[2:]
@@ -121,8 +128,8 @@ def _flatten_batches(columns: list[str]):
     picked = [(c, _WALK_COLUMNS.index(c), _ARROW_TYPES[_NODE_TYPES[c]]) for c in columns]
 
     def emit(heads, rows):
-        owners = np.repeat(np.arange(len(heads)), [h[2] for h in heads])
-        keys = [pa.array([h[i] for h in heads], type=pa.string()) for i in (0, 1)]
+        owners = np.repeat(np.arange(len(heads)), [h[3] for h in heads])
+        keys = [pa.array([h[i] for h in heads], type=t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]
         for start in range(0, len(rows), _ROWS_PER_BATCH):
             by_column = list(zip(*rows[start : start + _ROWS_PER_BATCH]))
             owner = pa.array(owners[start : start + _ROWS_PER_BATCH])
@@ -132,10 +139,10 @@ def _flatten_batches(columns: list[str]):
     def flatten(batches):
         heads, rows = [], []
         for batch in batches:
-            for module, fn, body in zip(*(c.to_pylist() for c in batch.columns)):
+            for *key, body in zip(*(c.to_pylist() for c in batch.columns)):
                 before = len(rows)
                 rows.extend(_walk(_decode(body)))
-                heads.append((module, fn, len(rows) - before))
+                heads.append((*key, len(rows) - before))
                 if len(rows) >= _ROWS_PER_BATCH:
                     yield from emit(heads, rows)
                     heads, rows = [], []
@@ -151,8 +158,8 @@ def flatten_ast(functions: DataFrame, columns: list[str] | None = None) -> DataF
     scan below; `session.spread` a corpus read from too few splits.
     """
     columns = columns or _WALK_COLUMNS
-    schema = ", ".join(f"{c} {_NODE_TYPES[c]}" for c in KEY + columns)
-    bodies = functions.where(F.col("body").isNotNull()).select("module", F.col("name").alias("fn"), "body")
+    schema = ", ".join(["module STRING, fn STRING, fn_pos BIGINT", *(f"{c} {_NODE_TYPES[c]}" for c in columns)])
+    bodies = identified(functions.where(F.col("body").isNotNull()), "body")
     return bodies.mapInArrow(_flatten_batches(columns), schema)
 
 
@@ -167,8 +174,8 @@ def extract_holes(nodes: DataFrame, unlabelled: str = "<unlabelled>") -> DataFra
 
 
 def hole_free(functions: DataFrame, holes: DataFrame) -> DataFrame:
-    holed = holes.select("module", F.col("fn").alias("name"))
-    return functions.join(holed, ["module", "name"], "left_anti")
+    holed = holes.select("module", F.col("fn").alias("name"), F.col("fn_pos").alias("pos")).distinct()
+    return functions.join(holed, [c for c in ("module", "name", "pos") if c in functions.columns], "left_anti")
 
 
 def extract_calls(nodes: DataFrame, strict_compat: bool = True) -> DataFrame:

@@ -159,9 +159,9 @@ def call_closed(hole_free: DataFrame, calls: DataFrame, resolved: DataFrame) ->
     """Hole-free functions all of whose calls resolve on the path each call takes."""
     unresolved = resolved.where(~F.col("resolved"))
     leaking = calls.join(unresolved, ["module", "is_method", "callee"], "left_semi").select(
-        "module", F.col("fn").alias("name")
+        "module", F.col("fn").alias("name"), *([F.col("fn_pos").alias("pos")] if "fn_pos" in calls.columns else [])
     )
-    return hole_free.join(leaking, ["module", "name"], "left_anti")
+    return hole_free.join(leaking, [c for c in leaking.columns if c in hole_free.columns], "left_anti")
 
 
 def resolve_calls_by_scan(

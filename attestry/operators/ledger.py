@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestry import rules
 from attestry.functions import names
 from attestry.operators import ast_tables, graph
+from attestry.operators.ast_tables import KEY
 
 
 def percent(part, whole) -> Column:
@@ -51,9 +52,9 @@ def coverage_ledger(
     # One pass over the nodes: each function's counts travel on its first call, so nothing is read twice.
     called = (
         ast_tables.fn_facts(nodes)
-        .select("module", "fn", *counts, F.posexplode_outer("calls").alias("at", "c"))
+        .select(*KEY, *counts, F.posexplode_outer("calls").alias("at", "c"))
         .select(
-            "module", "fn", "c.is_method", "c.callee",
+            *KEY, "c.is_method", "c.callee",
             *[F.when(F.coalesce("at", F.lit(0)) == 0, F.col(c)).otherwise(0).alias(c) for c in counts],
         )
         .join(index, ["module", "callee"], "left")
@@ -65,15 +66,15 @@ def coverage_ledger(
         F.col("is_method"), F.col("is_name"), F.col("suffix_count"), F.col("callee").isin(names_known) & python
     )
     from_bodies = called.select(
-        "module", "fn", zero("n_fn"), *counts, (F.col("callee").isNotNull() & ~answered).alias("leaks")
+        *KEY, zero("n_fn"), *counts, (F.col("callee").isNotNull() & ~answered).alias("leaks")
     )
-    listed = functions.select(
-        "module", F.col("name").alias("fn"), F.lit(1).cast("bigint").alias("n_fn"), *[zero(c) for c in counts],
+    listed = ast_tables.identified(functions).select(
+        *KEY, F.lit(1).cast("bigint").alias("n_fn"), *[zero(c) for c in counts],
         F.lit(False).alias("leaks"),
     )
     per_fn = (
         listed.unionByName(from_bodies)
-        .groupBy("module", "fn")
+        .groupBy(*KEY)
         .agg(*[F.sum(c).alias(c) for c in ["n_fn", *counts]], F.bool_or("leaks").alias("leaks"))
     )
     free = F.col("holes") == 0
@@ -95,8 +96,8 @@ def coverage_ledger(
 
 def language_matrix(functions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per corpus: leading extension, dialect, functions, nodes (matrix convention), holes and both rates."""
-    stats = ast_tables.fn_stats(nodes).select("module", "fn", "matrix_nodes", "holes")
-    per_fn = functions.select("module", F.col("name").alias("fn")).join(stats, ["module", "fn"], "left")
+    stats = ast_tables.fn_stats(nodes).select(*KEY, "matrix_nodes", "holes")
+    per_fn = ast_tables.identified(functions).join(stats, KEY, "left")
     rolled = per_fn.groupBy("module").agg(
         F.count("*").alias("functions"),
         F.coalesce(F.sum("matrix_nodes"), F.lit(0)).alias("nodes"),
@@ -135,18 +136,12 @@ def corpus_shape(functions: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def hole_sites(holes: DataFrame, functions: DataFrame | None = None, k: int = 5, by: list[str] | None = None) -> DataFrame:
-    """Per label: occurrences and the first k distinct functions in corpus order.
-
-    Needs `pos` (corpus order) on the holes, or on `functions` to take it from.
-    """
+def hole_sites(holes: DataFrame, k: int = 5, by: list[str] | None = None) -> DataFrame:
+    """Per label: occurrences and the first k functions in corpus order, which `fn_pos` of the holes is."""
     by = by or ["module"]
-    if functions is not None:
-        order = functions.select("module", F.col("name").alias("fn"), "pos")
-        holes = holes.join(order, ["module", "fn"], "left")
-    per_fn = holes.groupBy(*by, "label", "fn").agg(F.count("*").alias("c"), F.min("pos").alias("pos"))
+    per_fn = holes.groupBy(*by, "label", "fn", "fn_pos").agg(F.count("*").alias("c"))
     totals = per_fn.groupBy(*by, "label").agg(F.sum("c").alias("occurrences"), F.count("*").alias("n_functions"))
-    w = Window.partitionBy(*by, "label").orderBy("pos", "fn")
+    w = Window.partitionBy(*by, "label").orderBy("fn_pos", "fn")
     first = (
         per_fn.withColumn("r", F.row_number().over(w))
         .where(F.col("r") <= k)
@@ -184,13 +179,14 @@ def stage_table(stages: DataFrame, stage_names: list[str]) -> DataFrame:
 
 def empty_body_split(survivors: DataFrame, nodes: DataFrame) -> DataFrame:
     """Survivors whose body does nothing against the rest; a body never seen is its own class."""
-    empty = nodes.groupBy("module", "fn").agg(
+    key = [c for c in KEY if c in survivors.columns]
+    empty = nodes.groupBy(*key).agg(
         F.bool_and(F.coalesce("k", F.lit("")).isin("skip", "seq")).alias("empty")
     )
     kind = F.when(F.col("empty").isNull(), "no_body").when(F.col("empty"), "empty").otherwise("substantive")
     return (
-        survivors.select("module", "fn")
-        .join(empty, ["module", "fn"], "left")
+        survivors.select(*key)
+        .join(empty, key, "left")
         .groupBy("module", kind.alias("body"))
         .agg(F.count("*").alias("n"))
     )

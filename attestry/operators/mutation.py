@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.operators.ast_tables import KEY, identified
+
 # Swaps stay inside a class of operators so the mutant is a behavioural bug, not a syntax error.
 BINOP_SWAPS = {
     "+": "-", "-": "+", "*": "+", "/": "*", "%": "/", "<": "<=", "<=": "<", ">": ">=", ">=": ">", "==": "!=",
@@ -35,8 +37,8 @@ def _mutant(op, old, new, when):
 
 def _alternates(nodes: DataFrame, functions: DataFrame) -> DataFrame:
     """Per function the two first names and two first fields in it: one of the two differs from any given one."""
-    key = ["module", "fn"]
-    params = functions.select("module", F.col("name").alias("fn"), F.posexplode("params").alias("at", "name")).select(
+    key = KEY
+    params = identified(functions, "params").select(*key, F.posexplode("params").alias("at", "name")).select(
         *key, "name", F.lit("name").alias("pool"), (F.col("at") - 1_000_000).cast("bigint").alias("at")
     )
     kind = F.when(F.col("k") == "name", "name").when(F.col("k").isin("field", "setField"), "field")
@@ -88,7 +90,7 @@ def generate_mutants(nodes: DataFrame, functions: DataFrame) -> DataFrame:
         )
     )
     return (
-        nodes.join(_alternates(nodes, functions), ["module", "fn"], "left")
+        nodes.join(_alternates(nodes, functions), KEY, "left")
         .select("module", F.col("fn").alias("decl"), "node_id", F.explode(rewrites).alias("m"))
         .select("module", "decl", "node_id", "m.op", "m.before", "m.after")
     )

@@ -10,6 +10,7 @@ from attestry.operators import ast_tables, graph, ledger
 from attestry.plans import corpus
 from attestry.plans.corpus import HOLE_LENGTH, WITH_FUNCS, WITH_LINES, WITH_WORDS
 from attestry.plans.registry import query, table
+from attestry.session import cut_lineage
 
 _LEDGER = ast_tables.LEDGER_COLUMNS
 _HOLE = f"n >= {HOLE_LENGTH}"
@@ -294,10 +295,10 @@ def class_defines(spark, sf):
 
 def _closure(spark, sf, resolver):
     functions = corpus.functions(spark, sf).select("module", "name")
-    facts = ast_tables.fn_facts(corpus.nodes(spark, sf, _LEDGER))
+    facts = cut_lineage(ast_tables.fn_facts(corpus.nodes(spark, sf, _LEDGER)))  # read three times, flattened once
     calls = ast_tables.calls_of(facts)
-    free = facts.where("holes = 0").select("module", F.col("fn").alias("name"))
-    return graph.call_closed(free, calls, resolver(calls, functions))
+    free = facts.where("holes = 0").select("module", F.col("fn").alias("name"), F.col("fn_pos").alias("pos"))
+    return graph.call_closed(free, calls, resolver(calls, functions)).select("module", "name")
 
 
 @query(
@@ -384,7 +385,7 @@ def corpus_shape(spark, sf):
 )
 def hole_sites(spark, sf):
     found = ast_tables.extract_holes(corpus.nodes(spark, sf, ["node_id", "k", "label"]))
-    sites = ledger.hole_sites(found, corpus.functions(spark, sf))
+    sites = ledger.hole_sites(found)
     return sites.withColumn("sites", F.array_join("sites", " "))
 
 

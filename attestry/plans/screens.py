@@ -521,7 +521,7 @@ def argument_edges(spark, sf):
 )
 def assumptions(spark, sf):
     found = ast_tables.extract_holes(corpus.nodes(spark, sf, ["node_id", "k", "label"]))
-    sites = ledger.hole_sites(found, corpus.functions(spark, sf))
+    sites = ledger.hole_sites(found)
     return A.assumptions(sites).select("module", "id", "label", "count")
 
 

@@ -178,6 +178,19 @@ theorem d : True := trivial
     }
 
 
+def test_functions_that_share_a_name(spark):
+    bodies = [json.dumps(RET({"k": "hole", "label": "x"})), json.dumps(RET({"k": "int", "v": 1})), json.dumps(RET({"k": "call", "f": "nowhere"}))]
+    fs = spark.createDataFrame([("m", "f", "a.py", ["p"], b, i) for i, b in enumerate(bodies)], "module STRING, name STRING, file STRING, params ARRAY<STRING>, body STRING, pos BIGINT")
+    nodes = ast_tables.flatten_ast(fs)
+    row = ledger.coverage_ledger(fs, nodes).first()
+    assert (row.functions, row.holes, row.hole_free, row.verifiable_core) == (3, 1, 2, 1)
+    matrix = ledger.language_matrix(fs, nodes).first()
+    assert (matrix.functions, matrix.holes, matrix.hole_free) == (3, 1, 2)
+    holes = ast_tables.extract_holes(nodes)
+    assert [(r.occurrences, r.n_functions) for r in ledger.hole_sites(holes).collect()] == [(1, 1)]
+    assert [r.pos for r in ast_tables.hole_free(fs, holes).orderBy("pos").collect()] == [1, 2]
+
+
 def test_spec_screen_has_no_caps(spark):
     blocks = " ".join(f"∀ (x{k} : Nat)," for k in range(20))
     texts = [
