@@ -40,16 +40,22 @@ def classify_effects(
     )
 
 
-def fanout(calls: DataFrame, key: list[str] | None = None, callee: str = "callee") -> DataFrame:
-    """Distinct resolved callees per function and their count."""
+def fanout(calls: DataFrame, key: list[str] | None = None, callee: str = "callee", functions: DataFrame | None = None) -> DataFrame:
+    """Distinct resolved callees per function and their count; with `functions` (its key), also of those that call nothing."""
     key = key or ["module", "fn"]
-    return (
+    found = (
         calls.where(F.col(callee).isNotNull())
         .select(*key, callee)
         .distinct()
         .groupBy(*key)
         .agg(F.sort_array(F.collect_list(callee)).alias("callees"), F.count("*").alias("fanout"))
     )
+    if functions is None:
+        return found
+    none = F.array().cast("array<string>")
+    return functions.select(*key).join(found, key, "left").select(
+        *key, F.coalesce("callees", none).alias("callees"), F.coalesce("fanout", F.lit(0)).alias("fanout")
+    )
 
 
 def priority_score(stats: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -637,16 +643,14 @@ def axiom_histogram(decls: DataFrame) -> DataFrame:
 def resolve_root(rel_paths: DataFrame, candidate_roots: DataFrame, files: DataFrame, given: str) -> DataFrame:
     """Root under which most relative paths exist; the given one is kept on ties.
 
-    candidate_roots is a short list of directories in order of preference: (root, rank).
+    candidate_roots(root, rank) are directories in order of preference. Every folder above a file is looked up among them.
     """
-    wanted = rel_paths.select("rel").distinct()
-    roots = candidate_roots.agg(F.collect_list(F.struct("rank", "root")).alias("roots"))
-    tried = wanted.join(F.broadcast(roots)).select("rel", F.explode("roots").alias("r")).select(
-        "rel", "r.rank", "r.root", F.concat_ws("/", "r.root", "rel").alias("path")
-    )
-    hits = tried.join(files.select("path").distinct(), "path", "left_semi").groupBy("root", "rank").agg(
-        F.count("*").alias("hits")
-    )
+    parts, joined = F.split("path", "/", -1), lambda *a: F.array_join(F.slice("parts", *a), "/")
+    above = files.select("path").distinct().select(parts.alias("parts")).where(F.size("parts") > 1)
+    above = above.select("parts", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("n"))
+    split = above.select(joined(F.lit(1), F.col("n")).alias("root"), joined(F.col("n") + 1, F.size("parts")).alias("rel"))
+    found = split.join(candidate_roots, "root").join(rel_paths.select("rel").distinct(), "rel", "left_semi")
+    hits = found.groupBy("root", "rank").agg(F.count("*").alias("hits"))
     order = F.struct(F.col("hits"), (F.col("root") == given).alias("is_given"), (-F.col("rank")).alias("r"))
     return hits.agg(F.max_by("root", order).alias("root"), F.max("hits").alias("hits")).select(
         F.coalesce("root", F.lit(given)).alias("root"), F.coalesce("hits", F.lit(0)).alias("hits")

@@ -162,34 +162,39 @@ def attribute_errors(diagnostics: DataFrame, decls: DataFrame) -> DataFrame:
     return in_range(error_positions(diagnostics), decls).select("mutant_id", "file", "line", "kind", "name")
 
 
+MAX_TARGETS = 10_000
+
+
 def classify_mutants(runs: DataFrame, errors: DataFrame, targets: DataFrame, base: str, spec_base: str) -> DataFrame:
     """Verdict per (mutant, theorem): inconclusive, invalid, killed or survived, with coarse and pin-only marked.
 
-    runs(mutant_id, rc, timed_out), errors from `attribute_errors`, targets(theorem).
+    runs(mutant_id, rc, timed_out), errors from `attribute_errors`, targets(theorem). Theorems under test are named by hand; their
+    number is checked before they go to every task.
     """
     mine, spec = F.col("file") == base, F.col("file") == spec_base
     theorem = spec & F.col("kind").isin(THEOREM_KINDS)
     per_run = errors.groupBy("mutant_id").agg(
         F.count_if(mine).alias("own"), F.count_if(spec).alias("in_spec"), F.count_if(~mine & ~spec).alias("foreign"),
         F.count_if(mine & F.col("kind").isin(DEFINITION_KINDS)).alias("hit_defs"),
-        F.collect_set(F.when(theorem, F.col("name"))).alias("hit_theorems"),
     )
+    hit = errors.where(theorem & F.col("name").isNotNull()).select("mutant_id", F.col("name").alias("theorem")).distinct()
+    per_run = per_run.join(hit.groupBy("mutant_id").agg(F.count("*").alias("n_hits")), "mutant_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    hits = F.coalesce("hit_theorems", F.array().cast("array<string>"))
     failed, nowhere = F.col("rc") != 0, (zero("own") == 0) & (zero("in_spec") == 0)
     state = (
         F.when(failed & nowhere & (zero("foreign") > 0), "inconclusive")
-        .when(failed & (zero("hit_defs") > 0) & (F.size(hits) == 0), "invalid")
+        .when(failed & (zero("hit_defs") > 0) & (zero("n_hits") == 0), "invalid")
         .otherwise("scored")
     )
     judged = runs.join(per_run, "mutant_id", "left").select(
-        "mutant_id", state.alias("state"), hits.alias("hits"), F.coalesce("timed_out", F.lit(False)).alias("timed_out"),
-        (failed & nowhere).alias("coarse"), ((zero("in_spec") > 0) & (F.size(hits) == 0)).alias("pin_only"),
+        "mutant_id", state.alias("state"), F.coalesce("timed_out", F.lit(False)).alias("timed_out"),
+        (failed & nowhere).alias("coarse"), ((zero("in_spec") > 0) & (zero("n_hits") == 0)).alias("pin_only"),
     )
-    # Theorems under test are named by hand: a short list, carried along in one array.
-    listed = targets.agg(F.collect_set("theorem").alias("theorems"))
-    each = judged.join(F.broadcast(listed)).withColumn("theorem", F.explode("theorems"))
-    dead = F.array_contains("hits", F.col("theorem")) | F.col("timed_out") | F.col("coarse")
+    named = targets.select("theorem").distinct()
+    if named.count() > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} theorems under test")
+    each = judged.join(F.broadcast(named)).join(hit.withColumn("hit", F.lit(True)), ["mutant_id", "theorem"], "left")
+    dead = F.coalesce("hit", F.lit(False)) | F.col("timed_out") | F.col("coarse")
     return each.select(
         "mutant_id", "theorem",
         F.when(F.col("state") != "scored", F.col("state")).when(dead, "killed").otherwise("survived").alias("verdict"),
@@ -201,9 +206,10 @@ def classify_mutants(runs: DataFrame, errors: DataFrame, targets: DataFrame, bas
 def mutation_score(verdicts: DataFrame, subject_map: DataFrame | None = None) -> DataFrame:
     """Per theorem: killed, survived, score and verdict, on its subject where one is mapped.
 
-    verdicts(mutant_id, decl, theorem, verdict); invalid and inconclusive mutants stay out of every count.
+    verdicts(mutant_id, decl, theorem, verdict); invalid and inconclusive mutants stay out of every count, but a theorem that has
+    no other ones keeps its row.
     """
-    scored = verdicts.where(F.col("verdict").isin("killed", "survived"))
+    scored = verdicts
     if subject_map is None:
         on = scored.withColumn("on_subject", F.lit(True)).withColumn("mapped", F.lit(False))
     else:
@@ -218,8 +224,8 @@ def mutation_score(verdicts: DataFrame, subject_map: DataFrame | None = None) ->
     dead = F.col("verdict") == "killed"
     counts = on.groupBy("theorem").agg(
         F.count_if(dead & F.col("on_subject")).alias("killed"),
-        F.count_if(~dead & F.col("on_subject")).alias("survived"),
-        F.count_if(dead).alias("all_killed"), F.count("*").alias("all_scored"), F.bool_or("mapped").alias("mapped"),
+        F.count_if((F.col("verdict") == "survived") & F.col("on_subject")).alias("survived"),
+        F.count_if(dead).alias("all_killed"), F.count_if(F.col("verdict").isin("killed", "survived")).alias("all_scored"), F.bool_or("mapped").alias("mapped"),
     )
     tried = F.col("killed") + F.col("survived")
     score = F.when(tried > 0, F.col("killed") / F.nullif(tried, F.lit(0))).otherwise(0.0)
@@ -231,7 +237,7 @@ def mutation_score(verdicts: DataFrame, subject_map: DataFrame | None = None) ->
     )
     return counts.select(
         "theorem", "killed", "survived", score.alias("score"),
-        (F.col("all_killed") / F.col("all_scored")).alias("coverage_score"),
+        F.coalesce(F.col("all_killed") / F.nullif(F.col("all_scored"), F.lit(0)), F.lit(0.0)).alias("coverage_score"),
         F.when(F.col("mapped"), "on-subject").otherwise("all-mutants").alias("scope"), verdict.alias("verdict"),
     )
 

@@ -231,10 +231,11 @@ def name_kinds(spark, sf):
 
 @query(
     "c_fanout",
-    f"WITH {_WITH_CALLS} SELECT module, fn, count(DISTINCT callee) AS fanout, string_agg(DISTINCT callee, ',' ORDER BY callee) AS callees FROM calls GROUP BY ALL",
+    f"WITH {_WITH_CALLS} SELECT f.module, f.name AS fn, count(DISTINCT callee) AS fanout, coalesce(string_agg(DISTINCT callee, ',' ORDER BY callee), '') AS callees FROM funcs f LEFT JOIN calls c ON c.module = f.module AND c.fn = f.name GROUP BY ALL",
 )
 def fanout(spark, sf):
-    found = graph.fanout(ast_tables.extract_calls(corpus.nodes(spark, sf, ["k", "name", "under_pruned"])))
+    calls = ast_tables.extract_calls(corpus.nodes(spark, sf, ["k", "name", "under_pruned"]))
+    found = graph.fanout(calls, ast_tables.KEY, functions=ast_tables.identified(corpus.functions(spark, sf)))
     return found.select("module", "fn", "fanout", F.array_join("callees", ",").alias("callees"))
 
 
