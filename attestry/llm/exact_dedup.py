@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.llm.common import prepare, texts, written
+from attestry.llm.common import let, prepare, texts, written
 
 BLOCK_BYTES = 4096
 BUCKET_BITS = 16
@@ -32,9 +32,9 @@ def _named(distinct: DataFrame, hashed: Column, order: list[str]) -> DataFrame:
 
 
 def _blocks(keyed: DataFrame, block_bytes: int, block_hash: Callable[[Column], Column]) -> DataFrame:
-    data = F.col("text").cast("binary")
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / block_bytes)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(data, i * block_bytes + 1, F.lit(block_bytes)))
+    each = lambda data: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(data, i * block_bytes + 1, F.lit(block_bytes)))
+    pieces = let(F.col("text").cast("binary"), each)
     cut = keyed.select("key", "text_hash", n.alias("n"), F.posexplode(pieces).alias("pos", "block"))
     return cut.withColumn("h", block_hash(F.col("block")))
 

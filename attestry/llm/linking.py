@@ -18,7 +18,7 @@ from attestry.llm.common import written
 from attestry.llm.components import components
 
 SMALL_KEY = 128
-PIVOTS = 8
+PIVOTS = 32
 
 
 def shared_keys(raw: DataFrame) -> DataFrame:
@@ -68,7 +68,9 @@ def linked(
         roots = components(links)
     while not many.isEmpty():
         turn = _open(many.select("key", "cls"), roots)
-        turn = written(turn.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("cls"))))
+        # Smallest components first: when only the largest is left, the key needs no more pivots.
+        turn = turn.withColumn("mates", F.count("*").over(Window.partitionBy("key", "root")))
+        turn = written(turn.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("mates", "root", "cls"))))
         found = verified(_pairs(turn.filter(F.col("place") <= PIVOTS), turn).select("a", "b").distinct())
         many = turn.filter(F.col("place") > PIVOTS)
         if not found.isEmpty():
