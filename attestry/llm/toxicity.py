@@ -23,7 +23,7 @@ ORDERS = (3, 4, 5)
 ROWS = 1 << 17
 DIM = 8
 MAX_PER_CLASS = 2000
-EPOCHS = 12
+EPOCHS = 8
 BATCH = 64
 RATE = 0.05
 MIX = 0x9E3779B97F4A7C15
@@ -105,15 +105,19 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], names=["toxic", "rows", "share"])
 
 
-def train(labelled: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model:
-    """Model from `labelled` (doc_id, text, toxic): at most `max_per_class` ids of each class; classes weigh as in all labels."""
-    ids = labelled.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+def train(rows: DataFrame, marks: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model:
+    """Model from the texts of `rows` (doc_id, text) and `marks` (doc_id, toxic), one row an id.
+
+    At most `max_per_class` ids of each class are drawn, by the hash of the id; classes weigh as they do in all labels. Of several
+    texts of an id the greatest is read.
+    """
+    ids = marks.join(rows.select("doc_id"), "doc_id", "left_semi")
     share = {r.toxic: r.n for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(share) < 2:
         return Model(np.zeros(ROWS, np.float32), 50.0 if share.get(1) else -50.0)
     drawn = [ids.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for k in (0, 1)]
-    drawn = F.broadcast(drawn[0].unionByName(drawn[1]).withColumnsRenamed({"toxic": "class"}))  # at most 2 * max_per_class rows
-    texts = labelled.join(drawn, "doc_id").groupBy("doc_id").agg(F.max("class").alias("toxic"), F.max("text").alias("text"))
+    drawn = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most 2 * max_per_class rows
+    texts = rows.join(drawn, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
     found = texts.orderBy("doc_id").select("toxic", "text").mapInArrow(_bags, "toxic int, rows binary, share binary").collect()
     labels = np.array([r.toxic for r in found])
     drawn_share = np.array([share[k] / max(1, (labels == k).sum()) for k in (0, 1)])
@@ -150,4 +154,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows = docs.select(doc_id.alias("doc_id"), docs[text_col].cast("string").alias("text"), F.coalesce(remainder(doc_id, 5) == 0, F.lit(False)).alias("held_out"))
     marks = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("toxic")).filter(remainder("doc_id", 5) != 0)
     marks = marks.filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return score(rows, train(rows.select("doc_id", "text").join(marks, "doc_id")))
+    return score(rows, train(rows.select("doc_id", "text"), marks))
