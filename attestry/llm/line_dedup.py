@@ -2,7 +2,8 @@
 
 A line's signature is the sketch of the smallest hashes of its character shingles that begin a word; in scripts that are written
 without blanks, of those at every character. Bands are windows of neighbouring hashes of the sorted sketch, so an inserted or lost
-shingle moves no band but those around it. Lines that share a band are verified by the exact Jaccard similarity of all their
+shingle moves no band but those around it. A line with fewer than SKETCH such shingles has few of these bands, so it also gets
+those of the sketch of all its character shingles. Lines that share a band are verified by the exact Jaccard similarity of all their
 character shingles, links become components (`linking`, `components`), and of each component the first line by document id and
 place stays. Equal lines are one class from the start; texts move only for lines that share a band with another one, and once to
 write the shortened documents.
@@ -50,6 +51,13 @@ def bands(smallest: str, band: int) -> Column:
     return F.when(F.size(smallest) >= band, of).otherwise(F.array(F.xxhash64(smallest)))
 
 
+def all_bands(smallest: str, chars: str, sketch: int, band: int) -> Column:
+    """Bands of a line's sketch, and of `chars`, the one of all shingles, where that of word begins is not full. Of 4 or 5 shingles
+    with one more in the other line no three need be neighbours, so few hashes have bands of two besides."""
+    few = F.when(F.size(chars) < 2 * band, bands(chars, min(band, 2))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(smallest) < sketch, F.array_distinct(F.concat(bands(smallest, band), bands(chars, band), few))).otherwise(bands(smallest, band))
+
+
 def lines_of(rows: DataFrame) -> DataFrame:
     """(key, text_hash, pos, line, cls) of all lines that are not blank."""
     cut = rows.select("key", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
@@ -58,8 +66,10 @@ def lines_of(rows: DataFrame) -> DataFrame:
 
 def line_components(lines: DataFrame, width: int, percent: int, sketch: int, band: int, mark: int) -> DataFrame:
     """(node, root) of classes of lines that are linked to others."""
-    marked = lines.filter(F.length("line") > width).select("cls", sketch_of(F.col("line"), sketch, mark).alias("smallest"))
-    marked = marked.select("cls", bands("smallest", band).alias("keys"))
+    marked = lines.filter(F.length("line") > width).select("cls", "line", sketch_of(F.col("line"), sketch, mark).alias("smallest"))
+    chars = F.when(F.size("smallest") < sketch, F.slice(F.sort_array(F.array_distinct(shingle_hashes(F.col("line"), width))), 1, sketch))
+    marked = marked.select("cls", "smallest", chars.alias("chars"))
+    marked = marked.select("cls", all_bands("smallest", "chars", sketch, band).alias("keys"))
     index = shared_keys(marked.groupBy("cls").agg(F.any_value("keys").alias("keys")).select("cls", F.explode("keys").alias("key")))
     wanted = written(index.select("cls").distinct())
     some = F.broadcast(wanted) if wanted.count() <= SENT_LINES else wanted

@@ -105,6 +105,26 @@ def test_banding_has_high_recall(spark):
     assert linked >= dropped >= 0.97 * linked > 100
 
 
+def test_short_lines_have_high_recall(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9)))
+    changes = {"stop": lambda t: t + ".", "last": lambda t: t[:-1] + "#", "word": lambda t: f"{t} {word()}"}
+    docs, linked = [], {}
+    for n in (3, 4, 5, 6, 8, 12):
+        for name, change in changes.items():
+            for _ in range(80):
+                line = " ".join(word() for _ in range(n))
+                other = change(line)
+                a, b = brute.char_shingles(line, 8), brute.char_shingles(other, 8)
+                if len(line) > 8 and 180 * len(a & b) >= 80 * (len(a) + len(b)):
+                    linked[len(docs) + 1] = n, name
+                    docs += [(len(docs), line), (len(docs) + 1, other)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    dropped = {r.doc_id for r in got.filter("_n_dropped > 0").collect()}
+    missed = [case for i, case in linked.items() if i not in dropped]
+    assert len(linked) > 600 and len(missed) <= 0.02 * len(linked), missed
+
+
 def test_line_dedup_of_odd_rows(spark):
     df = spark.createDataFrame([(None, "line one\nx"), (1, "line one\n\n y"), (1, "line one\n\n y"), (2, " y\nx"), (3, "\n\n")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.text, r._n_lines, r._n_dropped) for r in line_dedup.dedup_lines(df).collect())
