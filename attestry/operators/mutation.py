@@ -89,8 +89,10 @@ def generate_mutants(nodes: DataFrame, functions: DataFrame) -> DataFrame:
             ),
         )
     )
+    found = _alternates(nodes, functions)
+    found = found.select(F.struct(*KEY).alias("of"), *[c for c in found.columns if c not in KEY])
     return (
-        nodes.join(_alternates(nodes, functions), KEY, "left")
+        nodes.join(found, F.struct(*[nodes[c] for c in KEY]).eqNullSafe(found["of"]), "left")  # a module may be null
         .select("module", F.col("fn").alias("decl"), "node_id", F.explode(rewrites).alias("m"))
         .select("module", "decl", "node_id", "m.op", "m.before", "m.after")
     )

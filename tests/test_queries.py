@@ -1,7 +1,11 @@
 """A sample of registered queries against their SQL on the smallest tables."""
 
+import json
+from collections import Counter
+
 import duckdb
 import pytest
+from attestry.plans import corpus
 
 from attestry.plans import ORACLE, QUERIES
 
@@ -26,3 +30,44 @@ def test_matches_sql(spark, duck, name):
     assert sorted(columns) == sorted(got.columns)
     text = lambda rows: sorted(tuple(str(v) for v in r) for r in rows)
     assert text(got.select(*[f"`{c}`" for c in columns]).collect()) == text(cursor.fetchall())
+
+
+TEXTS = [
+    ("en", "a bb ccc dddd eeeee ffffff ggggggg hhhhhhhh\none\n\nto be or not", "web"), ("en", "x" * 25 + " name y\nsix six six\n1 2 3 4", "web"), ("de", "dddd eeeee", "book"),
+    ("de", "self!!! dddd\nan=b (self)-- ein zwei drei vier", "web"), (None, "q r", "web"), ("fr", "", "web"), ("fr", "dddd", "wiki"),
+]
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """The folder of a few documents, and the objects of each of their bodies, opened by json."""
+    folder = str(tmp_path_factory.mktemp("small"))
+    docs = [(i, text, lang, source, len(text)) for i, (lang, text, source) in enumerate(TEXTS)]
+    spark.createDataFrame(docs, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT").write.parquet(f"{folder}/documents.parquet")
+
+    def objects(x):
+        for y in x.values() if isinstance(x, dict) else x if isinstance(x, list) else ():
+            yield from objects(y)
+        if isinstance(x, dict):
+            yield x
+
+    return folder, [(f.module, f.file, list(objects(json.loads(f.body)))) for f in corpus.functions(spark, folder).collect()]
+
+
+def test_mutants_of_all_families(spark, small):
+    folder, bodies = small
+    want = Counter()
+    for module, _, body in bodies:
+        names = {"self", *(x["v"] for x in body if x["k"] == "name")}
+        for x in body:
+            k = x["k"]
+            want[module, "ast-binop"] += k == "binop"
+            want[module, "ast-int"] += 2 * (k == "int")
+            want[module, "ast-field"] += k == "field"
+            want[module, "ast-ret->expr"] += k == "ret"
+            want[module, "ast-expr->ret"] += k == "exprS"
+            want[module, "ast-seq-delete"] += k in ("assign", "exprS", "ret", "setIndex")
+            want[module, "ast-name"] += k == "name" and len(names) > 1
+            want[module, "ast-assign"] += k == "assign" and bool(names - {x["x"]})
+    got = {(r.module, r.family): r.n for r in QUERIES["g_generate_mutants"](spark, folder).collect()}
+    assert got == +want and {"ast-name", "ast-assign"} <= {family for _, family in got}
