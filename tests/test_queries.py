@@ -71,3 +71,23 @@ def test_mutants_of_all_families(spark, small):
             want[module, "ast-assign"] += k == "assign" and bool(names - {x["x"]})
     got = {(r.module, r.family): r.n for r in QUERIES["g_generate_mutants"](spark, folder).collect()}
     assert got == +want and {"ast-name", "ast-assign"} <= {family for _, family in got}
+
+
+def test_all_rules_of_the_contract(spark, small):
+    folder, bodies = small
+    want = Counter()
+    for module, file, body in bodies:
+        want[module, "required_fields"] += 1
+        want[module, "known_extension"] += 1
+        for x in body:
+            for rule, applies in {
+                "int_exact": x["k"] == "int", "int_canonical": x["k"] == "int" and isinstance(x["v"], str), "bool_literal": x["k"] == "bool", "str_literal": x["k"] == "str",
+                "hole_label": x["k"] == "hole", "label_namespaced": x["k"] == "hole", "import_vocabulary": x.get("label", "").startswith("import:"), "known_kind": True, "unquoted_literals": True,
+            }.items():
+                want[module, rule] += applies
+    got = QUERIES["i_validate_contract"](spark, folder).collect()
+    assert {(r.module, r.rule): r.checked for r in got} == dict(want) and len({r.rule for r in got}) == 11
+    bad = Counter(module for module, file, _ in bodies if file.endswith(".txt"))
+    assert all(r.violations == (bad[r.module] if r.rule == "known_extension" else 0) for r in got)
+    needed = {"required_fields", "int_exact", "hole_label", "label_namespaced", "known_kind", "unquoted_literals"}
+    assert all(r.failed == (r.violations > 0 or r.checked == 0 and r.rule in needed) for r in got)
