@@ -1,9 +1,11 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-Counts cover all documents. Words that make up at least MIN_SHARE of all words have numbers (so there are at most 1 / MIN_SHARE
-of them, which bounds what is sent to every task); every other word is number 0, the unknown word. N-grams are exact integers of
-word numbers. Their count tables are partitioned by hash; each distinct n-gram gets its score by joins with the tables of its
-context and its shorter n-gram; then the scores are joined to the n-grams of every document and summed per document.
+Counts cover all words of all documents. A word is known by a 64-bit hash of its text, an n-gram by a 64-bit hash of its words.
+Count tables are partitioned by hash. An n-gram can only score by its own count if it occurs at least MIN_COUNT times, and then so
+do all n-grams inside it; so n-grams of an order are counted where both of the shorter order that they hold occur as often, and
+tables hold only those. Which do is asked of a filter of FILTER_BITS bits whatever the corpus: where it errs, an n-gram is counted
+or looked up in vain, none is lost. A document's score is the sum over its words of the logarithms of their single scores and, for
+each n-gram of it that a table holds, of what that n-gram changes; both are joined by hash.
 
 S(w | context) is count(context w) / count(context) if the n-gram occurs at least MIN_COUNT times, else BACKOFF times the score
 with the context shortened by its first word; a single word scores its share of all words.
@@ -13,82 +15,151 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import prepare, texts, written
+from attestry.llm.common import prepare, texts, worker_cache, written
 
 ORDER = 3
-MIN_SHARE = 1e-4
+MIN_SHARE = 0.0  # words of a smaller share of all words become one unknown word; 0: none does
 MIN_COUNT = 2
 BACKOFF = 0.4
-BITS = 17  # of a word number; 1 / MIN_SHARE must fit
+FILTER_BITS = 1 << 26
+FILTER_PARTS = 16
+KEPT_WORDS = 1 << 18  # hashes that a Python worker remembers
 NO_ID = -(2**63)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def numbers_of(text: str, vocabulary: dict[str, int]) -> np.ndarray:
-    return np.fromiter(map(vocabulary.get, WORD.findall(text), repeat(0)), np.int64)
+def word_hash(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-def keys_of(numbers: np.ndarray, order: int) -> np.ndarray:
-    """The n-grams of one order: the order itself, then the numbers of the words, BITS each."""
-    count = max(0, len(numbers) - order + 1)
-    keys = np.full(count, order, np.int64)
-    for k in range(order):
-        keys = (keys << BITS) | numbers[k : k + count]
+def hashes_of(text: str, known: set[str] | None) -> np.ndarray:
+    """Hashes of the words; 0 for those that are not known, if only some are."""
+    seen, found = worker_cache("lm_words"), []
+    for word in WORD.findall(text):
+        if known is not None and word not in known:
+            found.append(0)
+            continue
+        h = seen.get(word)
+        if h is None:
+            if len(seen) >= KEPT_WORDS:
+                seen.clear()
+            h = seen[word] = word_hash(word)
+        found.append(h)
+    return np.array(found, np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def keys_of(words: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each order up to `order`, hashes of the n-grams in the order of their first words."""
+    keys = [_mixed(words + np.uint64(0x9E3779B97F4A7C15))]
+    for n in range(2, order + 1):
+        count = max(0, len(words) - n + 1)
+        keys.append(_mixed(keys[-1][:count] * np.uint64(0xD6E8FEB86659FD93) + keys[0][n - 1 :][:count] + np.uint64(n)))
     return keys
 
 
-def scored_keys(numbers: np.ndarray, order: int) -> np.ndarray:
-    """For each word the n-gram that scores it: of the full order, at the begin of the text of as many words as there are."""
-    begin = [keys_of(numbers[:n], n) for n in range(1, min(order, len(numbers) + 1))]
-    return np.concatenate([*begin, keys_of(numbers, order)])
+def _bit(keys: np.ndarray) -> np.ndarray:
+    return (keys % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _held(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = _bit(keys)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for batch in batches:
+        at = _bit(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+
+def filter_of(grams: DataFrame):
+    """The bits of all n-grams of a table, sent to every task: FILTER_BITS of them whatever its size."""
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in grams.select("gram").coalesce(FILTER_PARTS).mapInArrow(_filled, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(row.bits, np.uint8)
+    return grams.sparkSession.sparkContext.broadcast(bits)
+
 
+def _signed(keys: np.ndarray) -> pa.Array:
+    return pa.array(keys.view(np.int64))
+
+
+def _words(known):
+    """(gram, n) of single words."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [hashes_of(t, known and known.value) for t in batch.column(0).to_pylist()]
+            keys, counts = np.unique(keys_of(np.concatenate([*words, np.zeros(0, np.uint64)]), 1)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(counts.astype(np.int64))], names=["gram", "n"])
+
+    return rows
+
+
+def _counts(known, order: int, bits):
+    """(gram, context, shorter, n) of the n-grams of one order whose shorter ones the filter holds."""
 
-def _counts(vocabulary, order: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers = [numbers_of(t, vocabulary.value) for t in batch.column(0).to_pylist()]
-            for n in range(2, order + 1):
-                keys, counts = np.unique(np.concatenate([keys_of(x, n) for x in numbers] or [np.zeros(0, np.int64)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["gram", "n"])
+            parts = [np.zeros((3, 0), np.uint64)]
+            for t in batch.column(0).to_pylist():
+                keys = keys_of(hashes_of(t, known and known.value), order)
+                if len(keys[-1]):
+                    held = _held(keys[-2], bits.value)
+                    both = held[:-1] & held[1:]
+                    parts.append(np.stack([keys[-1][both], keys[-2][:-1][both], keys[-2][1:][both]]))
+            grams, context, shorter = np.concatenate(parts, axis=1)
+            keys, first, counts = np.unique(grams, return_index=True, return_counts=True)
+            columns = [_signed(keys), _signed(context[first]), _signed(shorter[first]), pa.array(counts.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["gram", "context", "shorter", "n"])
 
     return rows
 
 
-def _exploded(vocabulary, order: int):
+def _exploded(known, filters):
+    """(key, text_hash, gram, n, m): single words, m of them, and the longer n-grams that the filters hold, with m = 0."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = [np.unique(scored_keys(numbers_of(t, vocabulary.value), order), return_counts=True) for t in batch.column(2).to_pylist()]
-            row = pa.array(np.repeat(np.arange(batch.num_rows), [len(k) for k, _ in found]))
-            keys, counts = (pa.array(np.concatenate([f[i] for f in found]).astype(np.int64)) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), keys, counts], names=["key", "text_hash", "gram", "n"])
+            found = []
+            for t in batch.column(2).to_pylist():
+                keys = keys_of(hashes_of(t, known and known.value), len(filters) + 1)
+                for n, bits in enumerate(filters, 1):
+                    keys[n] = keys[n][_held(keys[n], bits.value)]
+                each = [np.unique(k, return_counts=True) for k in keys]
+                single = np.repeat([1] + [0] * len(filters), [len(k) for k, _ in each])
+                found.append((np.concatenate([k for k, _ in each]), np.concatenate([c for _, c in each]), single))
+            row = pa.array(np.repeat(np.arange(batch.num_rows), [len(f[0]) for f in found]))
+            keys, counts, single = (np.concatenate([f[i] for f in found]) for i in range(3))
+            columns = [batch.column(0).take(row), batch.column(1).take(row), _signed(keys), pa.array(counts.astype(np.int64)), pa.array((counts * single).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "text_hash", "gram", "n", "m"])
 
     return rows
 
 
-def score_table(counts: DataFrame, words: DataFrame, total: int, order: int, min_count: int, backoff: float) -> DataFrame:
-    """(gram, score) for every n-gram of every order up to `order`; counts (gram, n) of orders from 2, words (gram, n) of order 1."""
-    scores = words.select("gram", (F.col("n") / F.lit(float(total))).alias("score"))
-    result, contexts = scores, words
-    for n in range(2, order + 1):
-        grams = counts.filter(F.shiftrightunsigned("gram", BITS * n) == n)
-        context = F.shiftright(F.col("gram").bitwiseXOR(F.lit(n << (BITS * n))), BITS).bitwiseOR(F.lit((n - 1) << (BITS * (n - 1))))
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << (BITS * (n - 1))) - 1)).bitwiseOR(F.lit((n - 1) << (BITS * (n - 1))))
-        both = grams.select("gram", "n", context.alias("context"), shorter.alias("shorter"))
-        both = both.join(contexts.select(F.col("gram").alias("context"), F.col("n").alias("of")), "context")
-        both = both.join(scores.select(F.col("gram").alias("shorter"), F.col("score").alias("less")), "shorter")
-        score = F.when(F.col("n") >= min_count, F.col("n") / F.col("of")).otherwise(F.col("less") * backoff)
-        scores, contexts = written(both.select("gram", score.alias("score"))), grams
-        result = result.unionByName(scores)
-    return result
+def with_change(grams: DataFrame, contexts: DataFrame, shorter: DataFrame, backoff: float) -> DataFrame:
+    """(gram, n, log, change): the logarithm of the score, and how much it is above that of the shorter n-gram after backoff."""
+    both = grams.join(contexts.select(F.col("gram").alias("context"), F.col("n").alias("of")), "context")
+    both = both.join(shorter.select(F.col("gram").alias("shorter"), F.col("log").alias("less")), "shorter")
+    log = F.log(F.col("n") / F.col("of"))
+    return written(both.select("gram", "n", log.alias("log"), (log - F.col("less") - F.log(F.lit(backoff))).alias("change")))
 
 
 def score_documents(
@@ -104,20 +175,33 @@ def score_documents(
 
     Words are lower-cased. A null or empty text has 0 words and a null mean. Rows that repeat an id and a text each get the same
     result and each count in the corpus; null ids are carried. An empty table gives an empty result; of extra columns none is read.
+    With a `min_share` above 0, all words of a smaller share of all words are one unknown word.
     """
     spark = prepare(docs.sparkSession).sparkContext
     rows = texts(docs, id_col, text_col).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("text_hash"), F.lower("text").alias("text"))
     split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    words = written(rows.select(F.explode(split).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    known = None
+    if min_share > 0:
+        counted = written(rows.select(F.explode(split).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+        total = counted.agg(F.sum("n")).first()[0] or 0
+        known = spark.broadcast({r.word for r in counted.filter(F.col("n") >= min_share * total).select("word").collect()})  # at most 1 / min_share words
+    words = written(rows.select("text").mapInArrow(_words(known), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     total = words.agg(F.sum("n")).first()[0] or 0
-    often = words.filter(F.col("n") >= min_share * total).orderBy(F.desc("n"), "word").collect()  # at most 1 / min_share words
-    vocabulary = spark.broadcast({r.word: i + 1 for i, r in enumerate(often)})
-    known = [(i + 1, r.n) for i, r in enumerate(often)]
-    known.append((0, total - sum(n for _, n in known)))
-    singles = docs.sparkSession.createDataFrame([((1 << BITS) | i, n) for i, n in known if n > 0], "gram long, n long")
-    counts = written(rows.select("text").mapInArrow(_counts(vocabulary, order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    scores = written(score_table(counts, singles, total, order, min_count, backoff).select("gram", F.log("score").alias("log")))
-    grams = rows.select("key", "text_hash", "text").mapInArrow(_exploded(vocabulary, order), "key long, text_hash long, gram long, n long")
-    sums = grams.join(scores, "gram").groupBy("key", "text_hash").agg((F.sum(F.col("n") * F.col("log")) / F.sum("n")).alias("mean_log"))
+    words = words.withColumn("log", F.log(F.col("n") / F.lit(float(total))))
+    changes, filters, often = words.select("gram", F.col("log").alias("change")), [], words.filter(F.col("n") >= min_count)
+    bits = filter_of(often)
+    for n in range(2, order + 1):
+        grams = rows.select("text").mapInArrow(_counts(known, n, bits), "gram long, context long, shorter long, n long")
+        grams = grams.groupBy("gram").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"), F.sum("n").alias("n"))
+        often = with_change(written(grams.filter(F.col("n") >= min_count)), often, often, backoff)
+        bits = filter_of(often)
+        filters.append(bits)
+        changes = changes.unionByName(often.select("gram", "change"))
+    grams = rows.select("key", "text_hash", "text").mapInArrow(_exploded(known, filters), "key long, text_hash long, gram long, n long, m long")
+    sums = grams.join(changes, "gram").groupBy("key", "text_hash").agg((F.sum(F.col("n") * F.col("change")) / F.sum("m")).alias("mean"))
     sized = rows.select("doc_id", "key", "text_hash", F.size(split).cast("long").alias("n_words"))
-    return sized.join(sums, ["key", "text_hash"], "left").select("doc_id", "n_words", "mean_log")
+    # Every word backs off as often as it has words before it, up to order - 1; what its n-grams have of their own is in the changes.
+    short = F.least(F.col("n_words"), F.lit(order - 1))
+    steps = short * (short - 1) / 2 + (F.col("n_words") - short) * (order - 1)
+    mean = F.col("mean") + F.log(F.lit(backoff)) * steps / F.nullif("n_words", F.lit(0))
+    return sized.join(sums, ["key", "text_hash"], "left").select("doc_id", "n_words", mean.alias("mean_log"))

@@ -96,6 +96,17 @@ def test_lm_scores(spark):
     assert all(got[i][0] == n and (got[i][1] is None if m is None else abs(got[i][1] - m) < 1e-9) for i, (n, m) in want.items())
 
 
+def test_lm_scores_count_every_word(spark):
+    rnd = random.Random(16)
+    rare = [f"r{k}" for k in range(3000)]
+    docs = [(i, " ".join(rnd.choice(["the", "of", *rare[i * 10 : i * 10 + 15]]) for _ in range(120))) for i in range(299)]
+    docs += [(299, " ".join(f"never{k}" for k in range(200)))]
+    got = {r.doc_id: r.mean_log for r in lm_scoring.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute.lm_scores(docs, share=0)
+    assert all(abs(got[i] - m) < 1e-9 for i, (_, m) in want.items())
+    assert got[299] == min(got.values())
+
+
 def test_lm_scores_of_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (1, "a c")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_words, round(r.mean_log, 9)) for r in lm_scoring.score_documents(df).collect())
