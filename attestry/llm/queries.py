@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import decontamination, exact_dedup, language_id, line_dedup, lm_scoring, ngram_join, packing, pii, secrets, toxicity
+from attestry.llm import conversation_repair, decontamination, exact_dedup, language_id, line_dedup, lm_scoring, ngram_join, packing, pii, secrets, toxicity
 from attestry.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_pii")
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+@_query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
