@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import conversation_repair, decontamination, exact_dedup, language_id, line_dedup, lm_scoring, ngram_join, packing, pii, secrets, toxicity
+from attestry.llm import conversation_repair, decontamination, exact_dedup, language_id, line_dedup, lm_scoring, merkle, ngram_join, packing, pii, secrets, toxicity
 from attestry.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,55 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op11_conversation_repair")
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def _merkle_sql(source_levels: int = 9, top_levels: int = 6) -> str:
+    """Level by level, for sources of up to 3 ** source_levels rows."""
+
+    def field(value: str) -> str:
+        return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def tree(name: str, levels: int) -> list[str]:
+        """From {name}0 (tree, i, d, n) to {name}{levels}, and {name}s{k}, the siblings of each node."""
+        ctes = []
+        for k in range(levels):
+            run = f"SELECT a.tree, a.i, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r"
+            ctes.append(f"{name}s{k} AS MATERIALIZED ({run} FROM {name}{k} a JOIN {name}{k} b ON a.tree = b.tree AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY a.tree, a.i)")
+            up = f"SELECT tree, i // 3 AS i, sha256(string_agg(d, '' ORDER BY i)) AS d, (n + 2) // 3 AS n FROM {name}{k} WHERE n > 1 GROUP BY tree, i // 3, n"
+            ctes.append(f"{name}{k + 1} AS MATERIALIZED ({up} UNION ALL SELECT * FROM {name}{k} WHERE n = 1)")
+        return ctes
+
+    def walk(name: str, into: str, levels: int) -> list[str]:
+        """{into}0 (row, tree, i, f, p): digest and proof so far, taken up all levels."""
+        return [
+            f"{into}{k + 1} AS (SELECT w.row, w.tree, w.i // 3 AS i, CASE WHEN s.tree IS NULL THEN w.f ELSE sha256(s.l || w.f || s.r) END AS f, "
+            f"w.p || coalesce(s.l || s.r, '') AS p FROM {into}{k} w LEFT JOIN {name}s{k} s ON s.tree = w.tree AND s.i = w.i)"
+            for k in range(levels)
+        ]
+
+    crc = """list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+        lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) ELSE xor(h >> 1, 3988292384 * (h & 1)) END, 4294967295)"""
+    ctes = [
+        f"t AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, {leaf('text')} AS leaf, xor({crc}, 4294967295) % 2 = 0 AS hit FROM documents)",
+        f"""x AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, tree, leaf, CASE WHEN hit THEN {leaf("replace(text, chr(10), '')")} ELSE leaf END AS f,
+            row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM t)""",
+        "a0 AS (SELECT tree, i, leaf AS d, n FROM x)",
+        *tree("a", source_levels),
+        f"b0 AS (SELECT 0 AS tree, tree AS i, d, (SELECT count(*) FROM a{source_levels}) AS n FROM a{source_levels})",
+        *tree("b", top_levels),
+        "w0 AS (SELECT row, tree, i, f, '' AS p FROM x)",
+        *walk("a", "w", source_levels),
+        f"v0 AS (SELECT row, 0 AS tree, tree AS i, f, p FROM w{source_levels})",
+        *walk("b", "v", top_levels),
+    ]
+    return f"""WITH {", ".join(ctes)}
+        SELECT x.doc_id, x.leaf, a.d AS subroot, b.d AS root, sha256(v.p) AS proof_sha256, v.f AS folded_root, v.f = b.d AS verified
+        FROM x JOIN a{source_levels} a USING (tree) CROSS JOIN b{top_levels} b JOIN v{top_levels} v ON v.row = x.row"""
+
+
+@_query("op12_merkle_manifest", _merkle_sql())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
