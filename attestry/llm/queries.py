@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import conversation_repair, decontamination, exact_dedup, language_id, line_dedup, lm_scoring, merkle, ngram_join, packing, pii, secrets, toxicity
+from attestry.llm import conversation_repair, decontamination, embedding_dedup, exact_dedup, language_id, line_dedup, lm_scoring, merkle, ngram_join, packing, pii, secrets, toxicity
 from attestry.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,3 +227,19 @@ def _merkle_sql(source_levels: int = 9, top_levels: int = 6) -> str:
 @_query("op12_merkle_manifest", _merkle_sql())
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = f"""
+    WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    u AS MATERIALIZED (SELECT r, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    link AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON len(a.e) = len(b.e) AND a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= {embedding_dedup.THRESHOLD}),
+    reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+    c AS (SELECT reach.a AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a),
+    n AS (SELECT a AS r, count(*) AS n_links FROM link GROUP BY a)
+    SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)
+    """
+
+
+@_query("op13_embedding_near_dedup", OP13_SQL)
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
