@@ -139,9 +139,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
     WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
     t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
-    c AS (SELECT w, count(*) AS n FROM t GROUP BY w),
-    v AS (SELECT w FROM c WHERE n >= 1e-4 * (SELECT count(*) FROM t)),
-    x AS (SELECT doc_id, i, coalesce(v.w, '') AS c FROM t LEFT JOIN v USING (w)),
+    x AS (SELECT doc_id, i, w AS c FROM t),
     g AS (SELECT doc_id, i, c, lag(c) OVER d AS b, lag(c, 2) OVER d AS a FROM x WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
     n1 AS (SELECT c, count(*) AS n FROM g GROUP BY c),
     n2 AS (SELECT b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY b, c),
