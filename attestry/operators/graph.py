@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from attestry import rules
 from attestry.functions import names
-from attestry.session import cut_lineage
 
 
 # ------------------------------------------------------------------ effects and priority
@@ -574,47 +573,7 @@ def unique_ident(functions: DataFrame, limit: int = 120) -> DataFrame:
     )
 
 
-# ------------------------------------------------------------------ reachability and axioms
-
-
-def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """All (root, decl) with decl reachable from root, the root included.
-
-    A frontier join per round, until a round finds nothing. Each round's new pairs are checkpointed once and never written
-    again; what was seen is the union of the frontiers.
-    """
-    step = edges.select(F.col("src").alias("decl"), "dst").distinct()
-    frontier = seen = roots.select(F.col("root"), F.col("root").alias("decl")).distinct()
-    while True:
-        found = frontier.join(step, "decl").select("root", F.col("dst").alias("decl")).distinct()
-        frontier = cut_lineage(found.join(seen, ["root", "decl"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-
-
-def depends_on(reached: DataFrame, claims: DataFrame) -> DataFrame:
-    """claims(root, impl): VACUOUS when the theorem never reaches the subject it claims to constrain."""
-    hits = reached.select("root", F.col("decl").alias("impl")).withColumn("hit", F.lit(True))
-    return claims.join(hits, ["root", "impl"], "left").select(
-        "root", "impl", F.when(F.col("hit"), "DEPENDS").otherwise("VACUOUS").alias("status")
-    )
-
-
-def declaration_evidence(reached: DataFrame, axioms: DataFrame, suspicious: list[str]) -> DataFrame:
-    """Per root: size of its reach, axioms inside it, and whether none of them is suspicious."""
-    sizes = reached.groupBy("root").agg(F.count("*").alias("dep_count"))
-    basis = (
-        reached.join(axioms.select(F.col("axiom").alias("decl")).distinct(), "decl", "left_semi")
-        .groupBy("root")
-        .agg(F.sort_array(F.collect_set("decl")).alias("axioms"))
-    )
-    none = F.array().cast("array<string>")
-    basis_or_none = F.coalesce("axioms", none)
-    return sizes.join(basis, "root", "left").select(
-        "root", "dep_count", basis_or_none.alias("axioms"),
-        (~F.arrays_overlap(basis_or_none, F.array(*[F.lit(s) for s in suspicious]))).alias("clean"),
-    )
+# ------------------------------------------------------------------ axioms
 
 
 SUSPICIOUS_AXIOMS = ["sorryAx", "Lean.ofReduceBool", "Lean.ofReduceNat"]

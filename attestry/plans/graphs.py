@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestry.operators import graph, ledger
+from attestry.operators import graph, ledger, reachability
 from attestry.plans.registry import query, table
 
 # Effect classes with patterns that occur in the texts at hand, one of them upper-case and so unmatchable.
@@ -328,15 +328,17 @@ _REACH = """RECURSIVE edges AS (SELECT o_orderkey AS src, o_orderkey // 2 AS dst
   reached(root, decl) AS (SELECT root, root FROM roots UNION SELECT r.root, e.dst FROM reached r JOIN edges e ON e.src = r.decl)"""
 
 
-def _reached(spark, sf):
+def _reached(spark, sf, kind: str = "bigint"):
     orders = table(spark, sf, "orders")
-    edges = orders.where("o_orderkey > 0").select(F.col("o_orderkey").alias("src"), F.expr("o_orderkey div 2").alias("dst"))
-    return graph.reach(edges, orders.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("root")))
+    key, half = F.col("o_orderkey"), F.expr("o_orderkey div 2")
+    edges = orders.where("o_orderkey > 0").select(key.cast(kind).alias("src"), half.cast(kind).alias("dst"))
+    roots = orders.where("o_orderkey % 10 = 0").select(key.cast(kind).alias("root"))
+    return reachability.Reach(edges, roots), roots
 
 
 @query("c_reach", f"WITH {_REACH} SELECT root, count(*) AS dep_count, CAST(sum(decl) AS BIGINT) AS total FROM reached GROUP BY root")
 def reach(spark, sf):
-    return _reached(spark, sf).groupBy("root").agg(F.count("*").alias("dep_count"), F.sum("decl").alias("total"))
+    return _reached(spark, sf)[0].summed(dep_count=lambda node: F.lit(1), total=lambda node: node)
 
 
 @query(
@@ -345,9 +347,8 @@ def reach(spark, sf):
       THEN 'DEPENDS' ELSE 'VACUOUS' END AS status FROM roots""",
 )
 def depends_on(spark, sf):
-    reached = _reached(spark, sf)
-    claims = reached.where("root = decl").select("root", (F.col("root") % 7).alias("impl"))
-    return graph.depends_on(reached, claims)
+    reached, roots = _reached(spark, sf)
+    return reachability.depends_on(reached, roots.select("root", (F.col("root") % 7).alias("impl")))
 
 
 @query(
@@ -356,10 +357,10 @@ def depends_on(spark, sf):
       NOT coalesce(bool_or(decl = 5), false) AS clean FROM reached GROUP BY root""",
 )
 def declaration_evidence(spark, sf):
-    reached = _reached(spark, sf).withColumn("decl", F.col("decl").cast("string"))
+    reached, _ = _reached(spark, sf, "string")
     axioms = table(spark, sf, "orders").where("o_orderkey IN (1, 2, 5)").select(F.col("o_orderkey").cast("string").alias("axiom"))
-    found = graph.declaration_evidence(reached, axioms, ["5"])
-    return found.withColumn("axioms", F.array_join("axioms", ","))
+    found = reachability.declaration_evidence(reached, axioms, ["5"])
+    return found.withColumn("root", F.col("root").cast("bigint")).withColumn("axioms", F.array_join("axioms", ","))
 
 
 _AXIOMS = "CASE doc_id % 4 WHEN 0 THEN ['propext'] WHEN 1 THEN ['propext', 'sorryAx'] WHEN 2 THEN ['my.ax', 'Classical.choice'] ELSE [] END"

@@ -1,13 +1,15 @@
 """Rules on small fixtures, each good case with a bad twin."""
 
 import json
+import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from attestry.functions import names, numeric
 from attestry.functions import values as V
-from attestry.operators import assurance, ast_tables, conformance, graph, integrity, laws, ledger, mutation, specs
+from attestry.operators import assurance, ast_tables, conformance, graph, integrity, laws, ledger, mutation, reachability, specs
 from attestry.sources import corpora
 
 NAME = lambda v: {"k": "name", "v": v}
@@ -267,10 +269,12 @@ def test_corpus_diff_counts_copies(spark):
 
 def test_reach_follows_cycles_to_a_fixpoint(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "e")], "src STRING, dst STRING")
-    reached = graph.reach(edges, spark.createDataFrame([("a",), ("d",)], "root STRING"))
-    assert rows(reached, "root", "decl") == [("a", "a"), ("a", "b"), ("a", "c"), ("d", "d"), ("d", "e")]
+    reached = reachability.Reach(edges, spark.createDataFrame([("a",), ("d",)], "root STRING"))
+    assert rows(reached.expanded(), "root", "decl") == [("a", "a"), ("a", "b"), ("a", "c"), ("d", "d"), ("d", "e")]
     claims = spark.createDataFrame([("a", "c"), ("a", "e")], "root STRING, impl STRING")
-    assert rows(graph.depends_on(reached, claims), "impl", "status") == [("c", "DEPENDS"), ("e", "VACUOUS")]
+    assert rows(reachability.depends_on(reached, claims), "impl", "status") == [("c", "DEPENDS"), ("e", "VACUOUS")]
+    found = reachability.declaration_evidence(reached, spark.createDataFrame([("c",), ("e",), ("z",)], "axiom STRING"), ["e"])
+    assert rows(found, "root", "dep_count", "axioms", "clean") == [("a", 3, ["c"], True), ("d", 2, ["e"], False)]
 
 
 def test_provenance_with_nothing_to_check_is_not_a_pass(spark):
@@ -280,3 +284,31 @@ def test_provenance_with_nothing_to_check_is_not_a_pass(spark):
     exporters = spark.createDataFrame([], "exporter STRING, sha256 STRING")
     audited = integrity.audit_provenance(artifacts, records, baseline, exporters, "v1")
     assert integrity.provenance_summary(audited).first()["outcome"] == "NOTHING_CHECKED"
+
+
+def closure(edges, root):
+    seen, todo = {root}, [root]
+    while todo:
+        at = todo.pop()
+        for a, b in edges:
+            if a == at and b not in seen:
+                seen.add(b)
+                todo.append(b)
+    return seen
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_reach_by_condensation(spark, seed):
+    """Cycles in and behind one another, tails before and behind them, loops, repeated edges and null ends."""
+    rnd = random.Random(seed)
+    edges = [(rnd.randrange(30), rnd.randrange(30)) for _ in range(rnd.choice([25, 35, 60]))] + [(100 + i, 101 + i) for i in range(9)] + [(109, rnd.randrange(30)), (5, 5), (None, 3), (4, None)]
+    edges += [(200 + i, 200 + (i + 1) % 11) for i in range(11)] + [(rnd.randrange(30), 204), (205, 300), (300, 301), *edges[:5]]
+    roots = [(r,) for r in [100, 100, 203, 300, 999, None, *range(0, 30, 4)]]
+    reached = reachability.Reach(spark.createDataFrame(edges, "src INT, dst INT"), spark.createDataFrame(roots, "root INT"))
+    want = {r: closure([e for e in edges if None not in e], r) for (r,) in roots if r is not None}
+    assert rows(reached.expanded(), "root", "decl") == sorted((r, d) for r, found in want.items() for d in found)
+    summed = reached.summed(n=lambda node: F.lit(1), total=lambda node: node)
+    assert rows(summed, "root", "n", "total") == sorted((r, len(f), sum(f)) for r, f in want.items())
+    claims = [(r, impl) for r in want for impl in (0, 7, 204, 301, 999)]
+    got = reachability.depends_on(reached, spark.createDataFrame(claims, "root INT, impl INT"))
+    assert rows(got, "root", "impl", "status") == sorted((r, i, "DEPENDS" if i in want[r] else "VACUOUS") for r, i in claims)

@@ -11,7 +11,7 @@ from attestry.plans import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-SAMPLE = ["d_coverage_ledger", "c_resolve_calls", "c_captures", "e_compare_outcomes", "f_idempotent", "g_attribute_errors", "h_screen", "i_audit_provenance", "j_roll_up", "k_casts"]
+SAMPLE = ["a_functions", "a_problems", "a_report", "c_declaration_evidence", "d_coverage_ledger", "c_resolve_calls", "c_captures", "e_compare_outcomes", "f_idempotent", "g_attribute_errors", "h_screen", "i_audit_provenance", "j_roll_up", "k_casts"]
 
 
 @pytest.fixture(scope="module")
