@@ -164,23 +164,20 @@ def attribute_errors(diagnostics: DataFrame, decls: DataFrame) -> DataFrame:
     return in_range(error_positions(diagnostics), decls).select("mutant_id", "file", "line", "kind", "name")
 
 
-MAX_TARGETS = 10_000
+def judge_mutants(runs: DataFrame, errors: DataFrame, base: str, spec_base: str) -> tuple[DataFrame, DataFrame]:
+    """What each run says of all theorems, and which it names.
 
-
-def classify_mutants(runs: DataFrame, errors: DataFrame, targets: DataFrame, base: str, spec_base: str) -> DataFrame:
-    """Verdict per (mutant, theorem): inconclusive, invalid, killed or survived, with coarse and pin-only marked.
-
-    runs(mutant_id, rc, timed_out), errors from `attribute_errors`, targets(theorem). Theorems under test are named by hand; their
-    number is checked before they go to every task.
+    runs(mutant_id, rc, timed_out), errors from `attribute_errors`. The first result has one row for each mutant: state (scored,
+    invalid, inconclusive), kills_all (it timed out, or failed without an error of its own), coarse and pin_only. The second has
+    the (mutant_id, theorem) of errors in theorems. Every verdict follows from the two, so no table of mutants by theorems is made.
     """
     mine, spec = F.col("file") == base, F.col("file") == spec_base
     theorem = spec & F.col("kind").isin(THEOREM_KINDS)
     per_run = errors.groupBy("mutant_id").agg(
         F.count_if(mine).alias("own"), F.count_if(spec).alias("in_spec"), F.count_if(~mine & ~spec).alias("foreign"),
-        F.count_if(mine & F.col("kind").isin(DEFINITION_KINDS)).alias("hit_defs"),
+        F.count_if(mine & F.col("kind").isin(DEFINITION_KINDS)).alias("hit_defs"), F.count_if(theorem & F.col("name").isNotNull()).alias("n_hits"),
     )
-    hit = errors.where(theorem & F.col("name").isNotNull()).select("mutant_id", F.col("name").alias("theorem")).distinct()
-    per_run = per_run.join(hit.groupBy("mutant_id").agg(F.count("*").alias("n_hits")), "mutant_id", "left")
+    hits = errors.where(theorem & F.col("name").isNotNull()).select("mutant_id", F.col("name").alias("theorem")).distinct()
     zero = lambda c: F.coalesce(c, F.lit(0))
     failed, nowhere = F.col("rc") != 0, (zero("own") == 0) & (zero("in_spec") == 0)
     state = (
@@ -188,70 +185,60 @@ def classify_mutants(runs: DataFrame, errors: DataFrame, targets: DataFrame, bas
         .when(failed & (zero("hit_defs") > 0) & (zero("n_hits") == 0), "invalid")
         .otherwise("scored")
     )
-    judged = runs.join(per_run, "mutant_id", "left").select(
-        "mutant_id", state.alias("state"), F.coalesce("timed_out", F.lit(False)).alias("timed_out"),
-        (failed & nowhere).alias("coarse"), ((zero("in_spec") > 0) & (zero("n_hits") == 0)).alias("pin_only"),
-    )
-    named = targets.select("theorem").distinct()
-    if named.count() > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} theorems under test")
-    each = judged.join(F.broadcast(named)).join(hit.withColumn("hit", F.lit(True)), ["mutant_id", "theorem"], "left")
-    dead = F.coalesce("hit", F.lit(False)) | F.col("timed_out") | F.col("coarse")
-    return each.select(
-        "mutant_id", "theorem",
-        F.when(F.col("state") != "scored", F.col("state")).when(dead, "killed").otherwise("survived").alias("verdict"),
-        (F.col("coarse") & (F.col("state") == "scored")).alias("coarse"),
-        (F.col("pin_only") & (F.col("state") == "scored")).alias("pin_only"),
+    scored, coarse = F.col("state") == "scored", failed & nowhere
+    judged = runs.join(per_run, "mutant_id", "left").withColumn("state", state).select(
+        "mutant_id", "state", (F.coalesce("timed_out", F.lit(False)) | coarse).alias("kills_all"), (coarse & scored).alias("coarse"),
+        ((zero("in_spec") > 0) & (zero("n_hits") == 0) & scored).alias("pin_only"),
     )
+    return judged, hits
+
 
+def classify_mutants(judged: DataFrame, hits: DataFrame, asked: DataFrame) -> DataFrame:
+    """Verdict of each asked (mutant_id, theorem): inconclusive, invalid, killed or survived, with coarse and pin-only marked."""
+    named = hits.withColumn("hit", F.lit(True))
+    each = asked.select("mutant_id", "theorem").join(judged, "mutant_id").join(named, ["mutant_id", "theorem"], "left")
+    dead = F.coalesce("hit", F.lit(False)) | F.col("kills_all")
+    verdict = F.when(F.col("state") != "scored", F.col("state")).when(dead, "killed").otherwise("survived")
+    return each.select("mutant_id", "theorem", verdict.alias("verdict"), "coarse", "pin_only")
 
-def mutation_score(verdicts: DataFrame, subject_map: DataFrame | None = None) -> DataFrame:
-    """Per theorem: killed, survived, score and verdict, on its subject where one is mapped.
 
-    verdicts(mutant_id, decl, theorem, verdict); invalid and inconclusive mutants stay out of every count, but a theorem that has
-    no other ones keeps its row.
+def mutation_score(judged: DataFrame, hits: DataFrame, mutants: DataFrame, targets: DataFrame, subject_map: DataFrame) -> DataFrame:
+    """Per theorem of targets(theorem): killed, survived, score and verdict, on its subject where subject_map(theorem, decl) has one.
+
+    mutants(mutant_id, decl). Counting is by complement: of a declaration's scored mutants those survive a theorem that neither
+    kill all theorems nor name it, so counts by declaration and the hits are enough. Invalid and inconclusive mutants stay out of
+    every count, but a theorem that has no other ones keeps its row.
     """
-    scored = verdicts
-    if subject_map is None:
-        on = scored.withColumn("on_subject", F.lit(True)).withColumn("mapped", F.lit(False))
-    else:
-        pairs = subject_map.select("theorem", "decl").distinct().withColumn("hit", F.lit(True))
-        mapped = subject_map.select("theorem").distinct().withColumn("is_mapped", F.lit(True))
-        on = (
-            scored.join(pairs, ["theorem", "decl"], "left")
-            .join(mapped, "theorem", "left")
-            .withColumn("mapped", F.coalesce("is_mapped", F.lit(False)))
-            .withColumn("on_subject", ~F.col("mapped") | F.coalesce("hit", F.lit(False)))
-        )
-    dead = F.col("verdict") == "killed"
-    counts = on.groupBy("theorem").agg(
-        F.count_if(dead & F.col("on_subject")).alias("killed"),
-        F.count_if((F.col("verdict") == "survived") & F.col("on_subject")).alias("survived"),
-        F.count_if(dead).alias("all_killed"), F.count_if(F.col("verdict").isin("killed", "survived")).alias("all_scored"), F.bool_or("mapped").alias("mapped"),
-    )
-    tried = F.col("killed") + F.col("survived")
-    score = F.when(tried > 0, F.col("killed") / F.nullif(tried, F.lit(0))).otherwise(0.0)
-    verdict = (
-        F.when(F.col("mapped") & (tried == 0), "UNTESTED")
-        .when(score == 1.0, "HAS TEETH")
-        .when(score > 0, "WEAK")
-        .otherwise("VACUOUS")
-    )
+    scored = judged.where("state = 'scored'").join(mutants.select("mutant_id", "decl"), "mutant_id")
+    by_decl = scored.groupBy("decl").agg(F.count("*").alias("scored"), F.count_if("kills_all").alias("dead"))
+    named = hits.join(scored.where("NOT kills_all"), "mutant_id").groupBy("theorem", "decl").agg(F.count("*").alias("named"))
+    everywhere = by_decl.agg(F.coalesce(F.sum("scored"), F.lit(0)).alias("all_scored"), F.coalesce(F.sum("dead"), F.lit(0)).alias("all_dead"))
+    pairs = subject_map.select("theorem", "decl").distinct()
+    mine = pairs.join(by_decl, "decl", "left").join(named, ["theorem", "decl"], "left").groupBy("theorem").agg(
+        F.coalesce(F.sum("scored"), F.lit(0)).alias("own_scored"), (F.coalesce(F.sum("dead"), F.lit(0)) + F.coalesce(F.sum("named"), F.lit(0))).alias("own_killed")
+    )
+    kills = named.groupBy("theorem").agg(F.sum("named").alias("named"))
+    totals = everywhere.first()
+    each = targets.select("theorem").distinct().join(mine.withColumn("mapped", F.lit(True)), "theorem", "left").join(kills, "theorem", "left")
+    mapped = F.coalesce("mapped", F.lit(False))
+    all_killed = F.coalesce("named", F.lit(0)) + totals.all_dead
+    killed = F.when(mapped, F.col("own_killed")).otherwise(all_killed)
+    tried = F.when(mapped, F.col("own_scored")).otherwise(F.lit(totals.all_scored))
+    score = F.when(F.col("tried") > 0, F.col("killed") / F.nullif("tried", F.lit(0))).otherwise(0.0)
+    verdict = F.when(F.col("mapped") & (F.col("tried") == 0), "UNTESTED").when(score == 1.0, "HAS TEETH").when(score > 0, "WEAK").otherwise("VACUOUS")
+    share = F.coalesce(all_killed / F.nullif(F.lit(totals.all_scored), F.lit(0)), F.lit(0.0))
+    counts = each.select("theorem", mapped.alias("mapped"), killed.alias("killed"), tried.alias("tried"), share.alias("coverage_score"))
     return counts.select(
-        "theorem", "killed", "survived", score.alias("score"),
-        F.coalesce(F.col("all_killed") / F.nullif(F.col("all_scored"), F.lit(0)), F.lit(0.0)).alias("coverage_score"),
+        "theorem", "killed", (F.col("tried") - F.col("killed")).alias("survived"), score.alias("score"), "coverage_score",
         F.when(F.col("mapped"), "on-subject").otherwise("all-mutants").alias("scope"), verdict.alias("verdict"),
     )
 
 
-def survivors(verdicts: DataFrame, subject_map: DataFrame | None = None) -> DataFrame:
-    """Surviving mutants per theorem, restricted to its subject where one is mapped."""
-    left = verdicts.where(F.col("verdict") == "survived")
-    if subject_map is None:
-        return left
-    mapped = subject_map.select("theorem").distinct()
-    on = left.join(subject_map.select("theorem", "decl").distinct(), ["theorem", "decl"], "left_semi")
-    return on.unionByName(left.join(mapped, "theorem", "left_anti"))
+def survivors_on_subject(judged: DataFrame, hits: DataFrame, mutants: DataFrame, subject_map: DataFrame) -> DataFrame:
+    """(mutant_id, theorem, decl): surviving mutants of a theorem's own subject, met by declaration."""
+    alive = judged.where("state = 'scored' AND NOT kills_all").select("mutant_id").join(mutants.select("mutant_id", "decl"), "mutant_id")
+    met = alive.join(subject_map.select("theorem", "decl").distinct(), "decl")
+    return met.join(hits, ["mutant_id", "theorem"], "left_anti").select("mutant_id", "theorem", "decl")
 
 
 def attributable(tag, module):

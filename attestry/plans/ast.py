@@ -22,7 +22,7 @@ _SEEN = "m % 5 <> 3"  # not below tryFinally
 _RISKY = f"NOT ({_HOLE}) AND n % 7 IN (0, 4, 5, 6) AND m % 5 NOT IN (3, 4)"
 
 # Per function: both node counts, holes, risk, deepest level.
-_WITH_STATS = (
+WITH_STATS = (
     WITH_FUNCS
     + f""",
   wagg AS (
@@ -143,7 +143,7 @@ def calls_complete(spark, sf):
 
 @query(
     "b_fn_stats",
-    f"""WITH {_WITH_STATS}
+    f"""WITH {WITH_STATS}
     SELECT module, name AS fn, ledger_nodes, matrix_nodes, holes, risk, max_depth FROM stats JOIN funcs USING (doc_id)""",
 )
 def fn_stats(spark, sf):
@@ -320,7 +320,7 @@ def closure_agrees(spark, sf):
 
 
 _PCT = "CASE WHEN {b} = 0 THEN 'n/a' ELSE CAST(CAST(floor({a} * 100.0 / {b}) AS BIGINT) AS VARCHAR) || '%' END"
-LEDGER_SQL = f"""WITH {_WITH_RESOLVED}, {_WITH_STATS[len(WITH_FUNCS) + 1:]},
+LEDGER_SQL = f"""WITH {_WITH_RESOLVED}, {WITH_STATS[len(WITH_FUNCS) + 1:]},
     leaks AS (SELECT DISTINCT c.module, c.fn FROM calls c JOIN resolved r USING (module, is_method, callee) WHERE NOT r.resolved),
     roll AS (
       SELECT f.module, count(*) AS functions, CAST(sum(ledger_nodes) AS BIGINT) AS nodes, CAST(sum(holes) AS BIGINT) AS holes,
@@ -353,7 +353,7 @@ def hole_tally(spark, sf):
 
 @query(
     "d_language_matrix",
-    f"""WITH {_WITH_STATS}
+    f"""WITH {WITH_STATS}
     SELECT module, '.py' AS ext, 'python' AS dialect, count(*) AS functions, CAST(sum(matrix_nodes) AS BIGINT) AS nodes,
       CAST(sum(holes) AS BIGINT) AS holes, count(*) FILTER (holes = 0) AS hole_free,
       round(100.0 * sum(holes) / sum(matrix_nodes), 6) AS hole_pct,
@@ -367,7 +367,7 @@ def language_matrix(spark, sf):
 
 @query(
     "d_corpus_shape",
-    f"""WITH {_WITH_STATS}
+    f"""WITH {WITH_STATS}
     SELECT module, count(*) AS functions, CAST(sum(matrix_nodes) AS BIGINT) AS nodes, max(max_depth) AS max_depth,
       CAST(sum(holes) AS BIGINT) AS holes FROM funcs JOIN stats USING (doc_id) GROUP BY ALL""",
 )

@@ -514,7 +514,10 @@ def fuel_guard(spark, sf):
 @query(
     "g_generate_mutants",
     f"""WITH {WITH_FUNCS}, l AS (SELECT module, len(ws) AS m FROM lines WHERE len(ws) > 0),
-    k AS (SELECT module, CASE WHEN n >= {HOLE_LENGTH} THEN 99 ELSE n % 7 END AS t, m % 5 AS lm FROM words),
+    k AS (SELECT doc_id, module, id, CASE WHEN n >= {HOLE_LENGTH} THEN 99 ELSE n % 7 END AS t FROM words),
+    nn AS (SELECT doc_id, module, CASE WHEN t IN (4, 5) THEN 'self' ELSE id END AS name FROM k WHERE t IN (0, 1, 4, 5, 6)
+      UNION ALL SELECT doc_id, module, 'self' FROM lines WHERE len(ws) > 0 AND len(ws) % 5 = 4),
+    nf AS (SELECT doc_id, module, count(*) AS n FROM nn GROUP BY ALL HAVING count(*) FILTER (name <> 'self') > 0),
     c AS (
       SELECT module, 'ast-binop' AS family, count(*) FILTER (t = 6) AS n FROM k GROUP BY module
       UNION ALL SELECT module, 'ast-int', 2 * (count(*) FILTER (t IN (3, 6))) FROM k GROUP BY module
@@ -522,11 +525,13 @@ def fuel_guard(spark, sf):
       UNION ALL SELECT module, 'ast-field', count(*) FILTER (t = 5) FROM k GROUP BY module
       UNION ALL SELECT module, 'ast-ret->expr', count(*) FILTER (m % 5 = 2) FROM l GROUP BY module
       UNION ALL SELECT module, 'ast-expr->ret', count(*) FILTER (m % 5 IN (0, 3)) FROM l GROUP BY module
-      UNION ALL SELECT module, 'ast-seq-delete', count(*) FROM l GROUP BY module)
+      UNION ALL SELECT module, 'ast-seq-delete', count(*) FROM l GROUP BY module
+      UNION ALL SELECT module, 'ast-name', sum(n) FROM nf GROUP BY module
+      UNION ALL SELECT module, 'ast-assign', count(*) FROM l WHERE m % 5 = 1 GROUP BY module)
     SELECT module, family, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL HAVING sum(n) > 0""",
 )
 def generate_mutants(spark, sf):
-    """Counts of all operator families. The SQL lacks the name and assignment swaps; tests count them by brute force."""
+    """Counts of all operator families; the parameter `self` is a name that every assignment can be swapped to."""
     nodes = corpus.nodes(spark, sf, ["node_id", "k", "op", "name", "v"])
     found = mutation.generate_mutants(nodes, corpus.functions(spark, sf))
     family = F.split("op", ":", -1).getItem(0)
@@ -595,21 +600,26 @@ def _mutant_verdicts(spark, sf):
         F.col("l_orderkey").alias("mutant_id"), F.when(n <= 2, "prog").when(n <= 4, "spec").otherwise("other").alias("file"),
         F.when(n == 1, "def").when(n == 3, "theorem").alias("kind"), F.when(n == 3, F.concat(F.lit("t"), F.col("l_partkey") % 3)).when(n == 1, "d").alias("name"),
     )
-    targets = table(spark, sf, "region").select(F.concat(F.lit("t"), "r_regionkey").alias("theorem"))
-    return mutation.classify_mutants(runs, errors, targets, "prog", "spec")
+    judged, hits = mutation.judge_mutants(runs, errors, "prog", "spec")
+    return judged, hits, runs.select("mutant_id", F.concat(F.lit("d"), F.col("mutant_id") % 5).alias("decl"))
+
+
+def _asked(mutants):
+    """Each mutant with each of the five theorems."""
+    return mutants.select("mutant_id", "decl", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("t")).select("mutant_id", "decl", F.concat(F.lit("t"), "t").alias("theorem"))
 
 
 @query("g_classify_mutants", f"WITH {_RUNS} SELECT * FROM vd")
 def classify_mutants(spark, sf):
-    return _mutant_verdicts(spark, sf)
+    judged, hits, mutants = _mutant_verdicts(spark, sf)
+    return mutation.classify_mutants(judged, hits, _asked(mutants))
 
 
 _SUBJECTS = "('t0', 'd1'), ('t0', 'd2'), ('t1', 'd9999')"
 
 
-def _scored(spark, sf):
-    verdicts = _mutant_verdicts(spark, sf).withColumn("decl", F.concat(F.lit("d"), F.col("mutant_id") % 5))
-    return verdicts, spark.createDataFrame([("t0", "d1"), ("t0", "d2"), ("t1", "d9999")], "theorem STRING, decl STRING")
+def _subjects(spark):
+    return spark.createDataFrame([("t0", "d1"), ("t0", "d2"), ("t1", "d9999")], "theorem STRING, decl STRING")
 
 
 @query(
@@ -622,7 +632,8 @@ def _scored(spark, sf):
       CASE WHEN mapped AND killed + survived = 0 THEN 'UNTESTED' WHEN sc = 1 THEN 'HAS TEETH' WHEN sc > 0 THEN 'WEAK' ELSE 'VACUOUS' END AS verdict FROM f""",
 )
 def mutation_score(spark, sf):
-    found = mutation.mutation_score(*_scored(spark, sf))
+    targets = table(spark, sf, "region").select(F.concat(F.lit("t"), "r_regionkey").alias("theorem"))
+    found = mutation.mutation_score(*_mutant_verdicts(spark, sf), targets, _subjects(spark))
     return found.withColumn("score", F.round("score", 6)).withColumn("coverage_score", F.round("coverage_score", 6))
 
 
@@ -632,7 +643,11 @@ def mutation_score(spark, sf):
     SELECT mutant_id, theorem, decl FROM s WHERE theorem NOT IN (SELECT theorem FROM sm) OR EXISTS (SELECT 1 FROM sm WHERE sm.theorem = s.theorem AND sm.decl = s.decl)""",
 )
 def survivors(spark, sf):
-    return mutation.survivors(*_scored(spark, sf)).select("mutant_id", "theorem", "decl")
+    """Of theorems with a subject its mutants, of the others all that are asked."""
+    judged, hits, mutants = _mutant_verdicts(spark, sf)
+    asked = _asked(mutants).join(_subjects(spark).select("theorem"), "theorem", "left_anti")
+    rest = mutation.classify_mutants(judged, hits, asked).where("verdict = 'survived'").join(mutants, "mutant_id")
+    return mutation.survivors_on_subject(judged, hits, mutants, _subjects(spark)).unionByName(rest.select("mutant_id", "theorem", "decl"))
 
 
 @query(

@@ -312,3 +312,36 @@ def test_reach_by_condensation(spark, seed):
     claims = [(r, impl) for r in want for impl in (0, 7, 204, 301, 999)]
     got = reachability.depends_on(reached, spark.createDataFrame(claims, "root INT, impl INT"))
     assert rows(got, "root", "impl", "status") == sorted((r, i, "DEPENDS" if i in want[r] else "VACUOUS") for r, i in claims)
+
+
+def test_mutation_scores_by_complement(spark):
+    """Counts from hits and declarations against the verdict of every mutant and theorem; one theorem named by nearly all mutants."""
+    rnd = random.Random(7)
+    runs = [(i, rnd.choice([0, 1, 1, 1]), rnd.random() < 0.1) for i in range(80)]
+    errors = []
+    for i, rc, _ in runs:
+        for _ in range(rnd.choice([0, 1, 1, 2]) if rc else 0):
+            errors.append((i, *rnd.choice([("prog", "def", "d"), ("prog", None, None), ("spec", "theorem", "hot"), ("spec", "theorem", "hot"), ("spec", "lemma", "b"), ("spec", "def", "x"), ("other", None, None)])))
+    mutants = [(i, f"d{i % 3}") for i, *_ in runs]
+    targets, subjects = ["hot", "b", "c", "own", "none"], [("own", "d1"), ("own", "d1"), ("b", "d0"), ("b", "d2"), ("none", "gone")]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    judged, hits = mutation.judge_mutants(df(runs, "mutant_id INT, rc INT, timed_out BOOLEAN"), df(errors, "mutant_id INT, file STRING, kind STRING, name STRING"), "prog", "spec")
+    mutant_df, subject_df = df(mutants, "mutant_id INT, decl STRING"), df(subjects, "theorem STRING, decl STRING")
+    asked = df([(i, t) for i, *_ in runs for t in targets], "mutant_id INT, theorem STRING")
+    verdicts = {(r.mutant_id, r.theorem): r.verdict for r in mutation.classify_mutants(judged, hits, asked).collect()}
+    assert len(verdicts) == 400 and set(verdicts.values()) == {"killed", "survived", "invalid", "inconclusive"}
+    want = []
+    for t in targets:
+        decls = {d for s, d in subjects if s == t}
+        own = [verdicts[i, t] for i, d in mutants if not decls or d in decls]
+        killed, survived = own.count("killed"), own.count("survived")
+        score = killed / (killed + survived) if killed + survived else 0.0
+        verdict = "UNTESTED" if decls and not killed + survived else "HAS TEETH" if score == 1 else "WEAK" if score else "VACUOUS"
+        every = [verdicts[i, t] for i, _ in mutants]
+        want.append((t, killed, survived, round(score, 9), round(every.count("killed") / (every.count("killed") + every.count("survived")), 9), verdict))
+    got = mutation.mutation_score(judged, hits, mutant_df, df([(t,) for t in targets], "theorem STRING"), subject_df).collect()
+    assert sorted((r.theorem, r.killed, r.survived, round(r.score, 9), round(r.coverage_score, 9), r.verdict) for r in got) == sorted(want)
+    alive = mutation.survivors_on_subject(judged, hits, mutant_df, subject_df)
+    assert rows(alive, "theorem", "mutant_id") == sorted((t, i) for t, d in set(subjects) for i, e in mutants if d == e and verdicts[i, t] == "survived")
+    nobody = mutation.mutation_score(judged.limit(0), hits.limit(0), mutant_df, df([("a",)], "theorem STRING"), subject_df).collect()
+    assert [(r.theorem, r.killed, r.survived, r.score, r.verdict) for r in nobody] == [("a", 0, 0, 0.0, "VACUOUS")]
