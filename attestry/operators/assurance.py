@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.operators.mutation import attributable
+from attestry.operators.ranking import rank_in_group
 
 # Statuses by rank; two of them share rank 0.
 RANKS = {"UNDEVELOPED": 0, "DEFEATED": 0, "UNSUPPORTED": 1, "WEAK": 2, "SUPPORTED": 3}
@@ -224,26 +225,38 @@ def roll_up(claims: DataFrame, holes: DataFrame | None = None) -> DataFrame:
     )
 
 
-def argument_edges(claims: DataFrame, evidence: DataFrame, links: DataFrame) -> DataFrame:
-    """Per claim its evidence, counter-evidence and defeaters, and whether it is undeveloped or defeated.
-
-    claims(module, id, status), evidence(module, id), links(module, source, target, type).
-    """
+def _typed_links(evidence: DataFrame, links: DataFrame) -> DataFrame:
+    """(module, id, kind, source), each once: evidence, counter_evidence, or defeaters for counters that are no evidence."""
     known = evidence.select("module", F.col("id").alias("source")).distinct().withColumn("is_evidence", F.lit(True))
     typed = links.join(known, ["module", "source"], "left")
     counters, is_evidence = F.col("type") == "COUNTERS", F.coalesce("is_evidence", F.lit(False))
-    listed = lambda cond, name: F.sort_array(F.collect_set(F.when(cond, F.col("source")))).alias(name)
-    edges = typed.groupBy("module", F.col("target").alias("id")).agg(
-        listed(~counters & is_evidence, "evidence"), listed(counters & is_evidence, "counter_evidence"),
-        listed(counters & ~is_evidence, "defeaters"),
-    )
-    none = F.array().cast("array<string>")
-    return claims.join(edges, ["module", "id"], "left").select(
-        "module", "id", "status", *[F.coalesce(c, none).alias(c) for c in ("evidence", "counter_evidence", "defeaters")],
+    kind = F.when(~counters & is_evidence, "evidence").when(counters & is_evidence, "counter_evidence").when(counters, "defeaters")
+    return typed.select("module", F.col("target").alias("id"), kind.alias("kind"), "source").where("kind IS NOT NULL").distinct()
+
+
+def argument_claims(claims: DataFrame, evidence: DataFrame, links: DataFrame) -> DataFrame:
+    """Per claim the numbers of its evidence, counter-evidence and defeaters, and whether it is undeveloped or defeated.
+
+    claims(module, id, status), evidence(module, id), links(module, source, target, type).
+    """
+    kinds = ("evidence", "counter_evidence", "defeaters")
+    counts = _typed_links(evidence, links).groupBy("module", "id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    return claims.join(counts, ["module", "id"], "left").select(
+        "module", "id", "status", *[F.coalesce(k, F.lit(0)).alias(k) for k in kinds],
         (F.col("status") == "UNDEVELOPED").alias("undeveloped"), (F.col("status") == "DEFEATED").alias("defeated"),
     )
 
 
+def argument_edges(evidence: DataFrame, links: DataFrame, size: int = 1024) -> DataFrame:
+    """(module, id, kind, block, sources): a claim's links of each kind in order, in numbered blocks of up to `size`.
+
+    However many links a claim has, no array is longer, and its blocks are made by many tasks.
+    """
+    placed = rank_in_group(_typed_links(evidence, links), ["module", "id", "kind"], ["source"])
+    blocks = placed.groupBy("module", "id", "kind", F.floor(F.col("rank") / size).alias("block"))
+    return blocks.agg(F.sort_array(F.collect_list("source")).alias("sources"))
+
+
 def assumptions(sites: DataFrame) -> DataFrame:
     """One named assumption per hole label, most frequent first: takes `ledger.hole_sites`."""
     return sites.select(

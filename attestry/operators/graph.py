@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attestry import rules
 from attestry.functions import names
+from attestry.operators.ranking import rank_in_group
 
 
 # ------------------------------------------------------------------ effects and priority
@@ -564,13 +565,10 @@ def operator_coverage(operators: DataFrame) -> DataFrame:
 
 
 def unique_ident(functions: DataFrame, limit: int = 120) -> DataFrame:
-    """Identifiers per function; the i-th collision in table order gets i apostrophes. Needs `pos`."""
-    cut = functions.withColumn("base", names.plain_ident(F.col("name"), limit))
-    w = Window.partitionBy("module", "base").orderBy("pos")
-    repeat = F.expr("repeat(\"'\", seen)")
-    return cut.withColumn("seen", F.row_number().over(w) - 1).select(
-        "module", "name", "pos", F.concat("base", repeat).alias("ident")
-    )
+    """Identifiers per function; the i-th collision in table order gets i apostrophes. Needs `pos`, one for each function of a module."""
+    cut = functions.select("module", "name", "pos", names.plain_ident(F.col("name"), limit).alias("base"))
+    seen = rank_in_group(cut, ["module", "base"], ["pos"], "seen")
+    return seen.select("module", "name", "pos", F.concat("base", F.expr("repeat(\"'\", CAST(seen AS INT))")).alias("ident"))
 
 
 # ------------------------------------------------------------------ axioms

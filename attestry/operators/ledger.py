@@ -122,6 +122,11 @@ def language_matrix(functions: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def hole_causes(holes: DataFrame, top: int = 15) -> DataFrame:
+    """(module, label, n, rank): the most frequent causes of holes of each corpus, ties by label; what is left is one row without a label."""
+    return tally(holes, "label", by=["module"], top=top)
+
+
 def corpus_shape(functions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per corpus: functions, all objects, deepest nesting, raw holes, bytes of body text."""
     shape = nodes.groupBy("module").agg(

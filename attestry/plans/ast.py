@@ -365,6 +365,19 @@ def language_matrix(spark, sf):
     return matrix.withColumn("hole_pct", F.round("hole_pct", 6)).withColumn("hole_free_pct", F.round("hole_free_pct", 6))
 
 
+@query(
+    "d_hole_causes",
+    f"""WITH {WITH_WORDS}, c AS (SELECT module, 'len:' || n AS label, count(*) AS n FROM words WHERE {_HOLE} GROUP BY module, words.n),
+    r AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY n DESC, label) AS rank FROM c)
+    SELECT module, label, n, rank FROM r WHERE rank <= 15
+    UNION ALL SELECT module, NULL, count(*) - 15, 16 FROM r GROUP BY module HAVING count(*) > 15""",
+)
+def hole_causes(spark, sf):
+    """The part of the language matrix that says why: fifteen causes of each corpus."""
+    found = ast_tables.extract_holes(corpus.nodes(spark, sf, ["node_id", "k", "label"]))
+    return ledger.hole_causes(found).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query(
     "d_corpus_shape",
     f"""WITH {WITH_STATS}

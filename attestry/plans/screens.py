@@ -501,24 +501,38 @@ def roll_up(spark, sf):
     return top.select("module", "status", "assertable", F.size("blockers").cast("bigint").alias("n_blockers"))
 
 
-@query(
-    "j_argument_edges",
-    """WITH l AS (SELECT o_custkey AS module, CASE WHEN o_orderkey % 3 = 0 THEN 'E' ELSE 'D' END || (o_orderkey % 5) AS source, CASE WHEN o_orderstatus = 'F' THEN 'COUNTERS' ELSE 'SUPPORTS' END AS type FROM orders)
-    SELECT c_custkey AS module, coalesce(string_agg(DISTINCT source, ',' ORDER BY source) FILTER (source LIKE 'E%' AND type = 'SUPPORTS'), '') AS evidence,
-      coalesce(string_agg(DISTINCT source, ',' ORDER BY source) FILTER (source LIKE 'E%' AND type = 'COUNTERS'), '') AS counter_evidence,
-      coalesce(string_agg(DISTINCT source, ',' ORDER BY source) FILTER (source LIKE 'D%' AND type = 'COUNTERS'), '') AS defeaters, c_custkey % 4 = 0 AS defeated
-    FROM customer LEFT JOIN l ON l.module = c_custkey GROUP BY c_custkey""",
-)
-def argument_edges(spark, sf):
+_ARGUMENT = """l AS (SELECT DISTINCT o_custkey AS module, CASE WHEN o_orderkey % 3 = 0 THEN 'E' ELSE 'D' END || (o_orderkey % 5) AS source, CASE WHEN o_orderstatus = 'F' THEN 'COUNTERS' ELSE 'SUPPORTS' END AS type FROM orders),
+  k AS (SELECT module, source, CASE WHEN source LIKE 'E%' AND type = 'SUPPORTS' THEN 'evidence' WHEN source LIKE 'E%' THEN 'counter_evidence' WHEN type = 'COUNTERS' THEN 'defeaters' END AS kind FROM l)"""
+
+
+def _argument(spark, sf):
     kind = F.when(F.col("o_orderkey") % 3 == 0, "E").otherwise("D")
     links = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("module"), F.concat(kind, F.col("o_orderkey") % 5).alias("source"), F.lit("G").alias("target"),
         F.when(F.col("o_orderstatus") == "F", "COUNTERS").otherwise("SUPPORTS").alias("type"),
     )
-    claims = table(spark, sf, "customer").select(F.col("c_custkey").alias("module"), F.lit("G").alias("id"), F.when(F.col("c_custkey") % 4 == 0, "DEFEATED").otherwise("WEAK").alias("status"))
-    evidence = links.where(F.col("source").startswith("E")).select("module", F.col("source").alias("id"))
-    joined = lambda c: F.array_join(c, ",").alias(c)
-    return A.argument_edges(claims, evidence, links).select("module", joined("evidence"), joined("counter_evidence"), joined("defeaters"), "defeated")
+    return links.where(F.col("source").startswith("E")).select("module", F.col("source").alias("id")), links
+
+
+@query(
+    "j_argument_edges",
+    f"""WITH {_ARGUMENT}, r AS (SELECT *, (row_number() OVER (PARTITION BY module, kind ORDER BY source) - 1) // 2 AS block FROM k WHERE kind IS NOT NULL)
+    SELECT module, kind, block, string_agg(source, ',' ORDER BY source) AS sources FROM r GROUP BY ALL""",
+)
+def argument_edges(spark, sf):
+    """Links of each claim in blocks of two."""
+    return A.argument_edges(*_argument(spark, sf), size=2).select("module", "kind", "block", F.array_join("sources", ",").alias("sources"))
+
+
+@query(
+    "j_argument_claims",
+    f"""WITH {_ARGUMENT} SELECT c_custkey AS module, count(*) FILTER (kind = 'evidence') AS evidence, count(*) FILTER (kind = 'counter_evidence') AS counter_evidence,
+      count(*) FILTER (kind = 'defeaters') AS defeaters, c_custkey % 4 = 1 AS undeveloped, c_custkey % 4 = 0 AS defeated FROM customer LEFT JOIN k ON module = c_custkey GROUP BY c_custkey""",
+)
+def argument_claims(spark, sf):
+    status = F.when(F.col("c_custkey") % 4 == 0, "DEFEATED").when(F.col("c_custkey") % 4 == 1, "UNDEVELOPED").otherwise("WEAK")
+    claims = table(spark, sf, "customer").select(F.col("c_custkey").alias("module"), F.lit("G").alias("id"), status.alias("status"))
+    return A.argument_claims(claims, *_argument(spark, sf)).drop("id", "status")
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attestry.functions import names, numeric
 from attestry.functions import values as V
 from attestry.operators import assurance, ast_tables, conformance, graph, integrity, laws, ledger, mutation, reachability, specs
+from attestry.operators.ranking import rank_in_group
 from attestry.sources import corpora
 
 NAME = lambda v: {"k": "name", "v": v}
@@ -345,3 +346,30 @@ def test_mutation_scores_by_complement(spark):
     assert rows(alive, "theorem", "mutant_id") == sorted((t, i) for t, d in set(subjects) for i, e in mutants if d == e and verdicts[i, t] == "survived")
     nobody = mutation.mutation_score(judged.limit(0), hits.limit(0), mutant_df, df([("a",)], "theorem STRING"), subject_df).collect()
     assert [(r.theorem, r.killed, r.survived, r.score, r.verdict) for r in nobody] == [("a", 0, 0, 0.0, "VACUOUS")]
+
+
+def test_ranks_of_a_hot_group(spark):
+    """One group with most rows goes over all tasks, others and null keys stand between and inside partitions."""
+    made = [("hot", i) for i in range(3000)] + [(k, i) for k in ("a", "z", None) for i in range(40)] + [(f"k{i}", 5) for i in range(50)]
+    random.Random(2).shuffle(made)
+    df = spark.createDataFrame(made, "k STRING, pos INT").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = rank_in_group(df, ["k"], ["pos"])
+        assert ranked.where("k = 'hot'").agg(F.max("rank")).first()[0] == 2999
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert {(r.k, r.pos): r["rank"] for r in ranked.collect()} == {(k, p): 0 if p == 5 and (k or "").startswith("k") else p for k, p in made}
+    fs = df.where("k IS NOT NULL").select(F.lit("m").alias("module"), F.concat("k", F.lit("!")).alias("name"), (F.col("pos") + F.crc32("k")).alias("pos"))
+    idents = graph.unique_ident(fs).collect()
+    assert len({r.ident for r in idents}) == len(idents) == 3130
+
+
+def test_links_of_a_claim_in_blocks(spark):
+    links = spark.createDataFrame([("m", f"e{i:04}", "c", "SUPPORTS") for i in range(1000)] * 2 + [("m", "x", "c", "COUNTERS"), ("m", "e0001", "c", "COUNTERS"), ("m", "y", "c", "SUPPORTS")], "module STRING, source STRING, target STRING, type STRING")
+    evidence = spark.createDataFrame([("m", f"e{i:04}") for i in range(1000)], "module STRING, id STRING")
+    blocks = assurance.argument_edges(evidence, links, size=64).collect()
+    assert max(len(r.sources) for r in blocks) == 64 and sorted(r.block for r in blocks if r.kind == "evidence") == list(range(16))
+    assert [s for r in sorted(blocks, key=lambda r: r.block) if r.kind == "evidence" for s in r.sources] == [f"e{i:04}" for i in range(1000)]
+    claims = assurance.argument_claims(spark.createDataFrame([("m", "c", "DEFEATED"), ("m", "d", "UNDEVELOPED")], "module STRING, id STRING, status STRING"), evidence, links)
+    assert rows(claims, "id", "evidence", "counter_evidence", "defeaters", "undeveloped", "defeated") == [("c", 1000, 1, 1, False, True), ("d", 0, 0, 0, True, False)]
