@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +67,11 @@ def _as_text(value):
     return str(value) if type(value) is int else json.dumps(value)
 
 
-def _walk(body):
-    """Preorder over every object of a body, with an explicit stack: real code nests hundreds of levels deep."""
+def _walk(body, kinds=None):
+    """Preorder over every object of a body, with an explicit stack: real code nests hundreds of levels deep.
+
+    With `kinds`, only objects of these kinds come out, under the numbers they have among all.
+    """
     names_of, receivers_of, pruning = _NAME_KEYS.get, _RECEIVER_KEYS.get, set(rules.PRUNED_BELOW)
     stack = [(body, -1, 1, "body", 0, False, False, True)]
     push = stack.append
@@ -87,19 +91,20 @@ def _walk(body):
         if leading is True and k == "seq":
             first = get("a") or {}
             starts_with_doc = first.get("k") == "exprS" and (first.get("e") or {}).get("k") == "str"
-        key = names_of(k)
-        name = get(key) if key else None
-        key = receivers_of(k)
-        receiver = get(key) if key else None
-        op = get("op")
-        if op is None and k in ("isOp", "inOp"):
-            op = get("neg")
-        yield (
-            me, parent, depth, role, pos, k, _as_text(op), _as_text(name),
-            _as_text(receiver.get("v")) if type(receiver) is dict else None,
-            get("label"), None if type(value) is dict else _as_text(value), None if value is None else type(value).__name__, pruned, under_index, leading == "doc",
-            leading is True and not starts_with_doc,
-        )
+        if kinds is None or k in kinds:
+            key = names_of(k)
+            name = get(key) if key else None
+            key = receivers_of(k)
+            receiver = get(key) if key else None
+            op = get("op")
+            if op is None and k in ("isOp", "inOp"):
+                op = get("neg")
+            yield (
+                me, parent, depth, role, pos, k, _as_text(op), _as_text(name),
+                _as_text(receiver.get("v")) if type(receiver) is dict else None,
+                get("label"), None if type(value) is dict else _as_text(value), None if value is None else type(value).__name__, pruned, under_index, leading == "doc",
+                leading is True and not starts_with_doc,
+            )
         children = [(key, c) for key, c in node.items() if type(c) is dict or (type(c) is list and c)]
         if children:
             below_pruned, below_index = pruned or k in pruning, under_index or k == "setIndex"
@@ -112,6 +117,51 @@ def _walk(body):
                 push((child, me, depth + 1, key, 0, below_pruned, below_index, lead))
 
 
+def _facts(body) -> tuple:
+    """Of one body: counts of objects by the three conventions, holes, risk, deepest level, and its distinct calls."""
+    holes, risky, pruning, names_of = set(rules.HOLE_KINDS), set(rules.RISKY_KINDS), set(rules.PRUNED_BELOW), _NAME_KEYS
+    objects = kinds = seqs = holed = risk = deepest = 0
+    calls = set()
+    stack = [(body, 1, False, False)]
+    while stack:
+        node, depth, pruned, under_index = stack.pop()
+        if type(node) is list:
+            stack += [(x, depth, pruned, under_index) for x in node if type(x) in (dict, list)]
+            continue
+        objects += 1
+        deepest = max(deepest, depth)
+        k = node.get("k")
+        if k is not None:
+            kinds += 1
+            seqs += k == "seq"
+            holed += k in holes
+            risk += k in risky and not pruned and not under_index
+            if (k == "call" or k == "mcall") and not pruned:
+                calls.add((k == "mcall", _as_text(node.get(names_of[k]))))
+        pruned, under_index = pruned or k in pruning, under_index or k == "setIndex"
+        stack += [(x, depth + 1, pruned, under_index) for x in node.values() if type(x) in (dict, list)]
+    return kinds - seqs, kinds, objects, holed, risk, deepest, [{"is_method": m, "callee": c} for m, c in calls]
+
+
+COUNTS = ["ledger_nodes", "matrix_nodes", "shape_nodes", "holes", "risk"]
+FACTS = ", ".join(f"{c} BIGINT" for c in COUNTS) + ", max_depth INT, calls ARRAY<STRUCT<is_method: BOOLEAN, callee: STRING>>"
+
+
+def _facts_batches(batches):
+    types = [pa.int64()] * 5 + [pa.int32(), pa.list_(pa.struct([("is_method", pa.bool_()), ("callee", pa.string())]))]
+    columns = [*KEY, *COUNTS, "max_depth", "calls"]
+    for batch in batches:
+        if batch.num_rows:
+            found = list(zip(*(_facts(_decode(b)) for b in batch.column(3).to_pylist())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(f, type=t) for f, t in zip(found, types))], names=columns)
+
+
+def function_facts(functions: DataFrame) -> DataFrame:
+    """Counts and distinct calls of each function with a body, counted in the walk: a row for each function leaves Python, not one for each node."""
+    bodies = identified(functions.where(F.col("body").isNotNull()), "body")
+    return bodies.mapInArrow(_facts_batches, "module STRING, fn STRING, fn_pos BIGINT, " + FACTS)
+
+
 def identified(functions: DataFrame, *columns: str) -> DataFrame:
     """The key of each function, its place from `pos` (0 where a table has none), and the named columns."""
     pos = F.col("pos") if "pos" in functions.columns else F.lit(0)
@@ -123,7 +173,7 @@ _NODE_TYPES = dict(c.strip().split(" ") for c in schemas.NODES.split(","))
 _WALK_COLUMNS = list(_NODE_TYPES)[2:]
 
 
-def _flatten_batches(columns: list[str]):
+def _flatten_batches(columns: list[str], kinds: frozenset | None):
     """An Arrow batch function emitting the key and the wanted columns, in batches of bounded size."""
     picked = [(c, _WALK_COLUMNS.index(c), _ARROW_TYPES[_NODE_TYPES[c]]) for c in columns]
 
@@ -141,7 +191,7 @@ def _flatten_batches(columns: list[str]):
         for batch in batches:
             for *key, body in zip(*(c.to_pylist() for c in batch.columns)):
                 before = len(rows)
-                rows.extend(_walk(_decode(body)))
+                rows.extend(_walk(_decode(body), kinds))
                 heads.append((*key, len(rows) - before))
                 if len(rows) >= _ROWS_PER_BATCH:
                     yield from emit(heads, rows)
@@ -151,16 +201,25 @@ def _flatten_batches(columns: list[str]):
     return flatten
 
 
-def flatten_ast(functions: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per object of every body. The only step that opens a tree in Python; all else is relational.
+def flatten_ast(functions: DataFrame, columns: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:
+    """One row per object of every body, or per object of the named kinds. The only step that opens a tree in Python.
 
-    Catalyst cannot prune columns through it, so a caller names the ones it needs. Parallelism is that of the
-    scan below; `session.spread` a corpus read from too few splits.
+    Catalyst cannot prune columns or rows through it, so a caller names the ones it needs: a body that holds none of the kinds as
+    a string (nor an escape that could hide one) is not opened at all. Parallelism is that of the scan below; `session.spread` a
+    corpus read from too few splits.
     """
     columns = columns or _WALK_COLUMNS
     schema = ", ".join(["module STRING, fn STRING, fn_pos BIGINT", *(f"{c} {_NODE_TYPES[c]}" for c in columns)])
     bodies = identified(functions.where(F.col("body").isNotNull()), "body")
-    return bodies.mapInArrow(_flatten_batches(columns), schema)
+    if kinds is not None:
+        held = [F.contains("body", F.lit(f'"{k}"')) for k in kinds]
+        bodies = bodies.where(reduce(lambda a, b: a | b, held, F.contains("body", F.lit("\\u"))))
+    return bodies.mapInArrow(_flatten_batches(columns, None if kinds is None else frozenset(kinds)), schema)
+
+
+def holes_of(functions: DataFrame) -> DataFrame:
+    """The holes of function bodies, as `extract_holes` finds them in a node table; no other node leaves the walk."""
+    return extract_holes(flatten_ast(functions, ["node_id", "k", "label"], rules.HOLE_KINDS))
 
 
 def is_hole() -> Column:
@@ -222,27 +281,6 @@ def fn_stats(nodes: DataFrame) -> DataFrame:
     )
 
 
-LEDGER_COLUMNS = ["depth", "k", "name", "under_pruned", "under_set_index"]
-
-
-def fn_facts(nodes: DataFrame) -> DataFrame:
-    """`fn_stats` and the distinct calls of each function in the same aggregation.
-
-    The calls of one function come from one body, which is one row of the input, so the array is no larger than that.
-    """
-    called = F.when(
-        F.col("k").isin("call", "mcall") & ~F.col("under_pruned"),
-        F.struct((F.col("k") == "mcall").alias("is_method"), F.col("name").alias("callee")),
-    )
-    return nodes.groupBy(*KEY).agg(
-        F.sum(size_weight("ledger")).alias("ledger_nodes"),
-        F.sum(size_weight("matrix")).alias("matrix_nodes"),
-        F.count_if(is_hole()).alias("holes"),
-        F.sum(risk_weight()).alias("risk"),
-        F.collect_set(called).alias("calls"),
-    )
-
-
 def calls_of(facts: DataFrame) -> DataFrame:
     return facts.select(*KEY, F.explode("calls").alias("c")).select(*KEY, "c.is_method", "c.callee")
 

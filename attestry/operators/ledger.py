@@ -42,17 +42,16 @@ def tally(df: DataFrame, key: str, by: list[str] | None = None, top: int = 12) -
 
 
 def coverage_ledger(
-    functions: DataFrame, nodes: DataFrame, builtins: list[str] | None = None, dialects: DataFrame | None = None
+    functions: DataFrame, facts: DataFrame, builtins: list[str] | None = None, dialects: DataFrame | None = None
 ) -> DataFrame:
-    """Per module: functions, nodes, holes, hole-free, verifiable core, dynamic risk, dialect, and the rates."""
+    """Takes `ast_tables.function_facts`. Per module: functions, nodes, holes, hole-free, verifiable core, dynamic risk, dialect, and the rates."""
     dialects = dialects if dialects is not None else ast_tables.dialect_vote(functions)
     index = graph.resolve_index(functions).withColumnRenamed("key", "callee")
     counts = ["ledger_nodes", "holes", "risk"]
     zero = lambda c: F.lit(0).cast("bigint").alias(c)
-    # One pass over the nodes: each function's counts travel on its first call, so nothing is read twice.
+    # One pass over the bodies: each function's counts travel on its first call, so nothing is read twice.
     called = (
-        ast_tables.fn_facts(nodes)
-        .select(*KEY, *counts, F.posexplode_outer("calls").alias("at", "c"))
+        facts.select(*KEY, *counts, F.posexplode_outer("calls").alias("at", "c"))
         .select(
             *KEY, "c.is_method", "c.callee",
             *[F.when(F.coalesce("at", F.lit(0)) == 0, F.col(c)).otherwise(0).alias(c) for c in counts],
@@ -94,9 +93,9 @@ def coverage_ledger(
     )
 
 
-def language_matrix(functions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per corpus: leading extension, dialect, functions, nodes (matrix convention), holes and both rates."""
-    stats = ast_tables.fn_stats(nodes).select(*KEY, "matrix_nodes", "holes")
+def language_matrix(functions: DataFrame, facts: DataFrame) -> DataFrame:
+    """Takes `ast_tables.function_facts`. Per corpus: leading extension, dialect, functions, nodes (matrix convention), holes and both rates."""
+    stats = facts.select(*KEY, "matrix_nodes", "holes")
     per_fn = ast_tables.identified(functions).join(stats, KEY, "left")
     rolled = per_fn.groupBy("module").agg(
         F.count("*").alias("functions"),
@@ -127,11 +126,9 @@ def hole_causes(holes: DataFrame, top: int = 15) -> DataFrame:
     return tally(holes, "label", by=["module"], top=top)
 
 
-def corpus_shape(functions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per corpus: functions, all objects, deepest nesting, raw holes, bytes of body text."""
-    shape = nodes.groupBy("module").agg(
-        F.count("*").alias("nodes"), F.max("depth").alias("max_depth"), F.count_if(ast_tables.is_hole()).alias("holes")
-    )
+def corpus_shape(functions: DataFrame, facts: DataFrame) -> DataFrame:
+    """Takes `ast_tables.function_facts`. Per corpus: functions, all objects, deepest nesting, raw holes, bytes of body text."""
+    shape = facts.groupBy("module").agg(F.sum("shape_nodes").alias("nodes"), F.max("max_depth").alias("max_depth"), F.sum("holes").alias("holes"))
     counts = functions.groupBy("module").agg(
         F.count("*").alias("functions"), F.sum(F.octet_length("body")).alias("bytes")
     )

@@ -12,7 +12,6 @@ from attestry.plans.corpus import HOLE_LENGTH, WITH_FUNCS, WITH_LINES, WITH_WORD
 from attestry.plans.registry import query, table
 from attestry.session import cut_lineage
 
-_LEDGER = ast_tables.LEDGER_COLUMNS
 _HOLE = f"n >= {HOLE_LENGTH}"
 _WORD_KIND = f"""CASE WHEN {_HOLE} THEN 'hole' WHEN n % 7 = 0 THEN 'call' WHEN n % 7 = 1 THEN 'name'
   WHEN n % 7 = 2 THEN 'str' WHEN n % 7 = 3 THEN 'int' WHEN n % 7 = 4 THEN 'mcall' WHEN n % 7 = 5 THEN 'field'
@@ -81,6 +80,11 @@ _WITH_RESOLVED = (
 _DIALECT = """CASE WHEN ext_py >= ext_c THEN 'python' ELSE 'cLike' END"""
 
 
+def _counted(spark, sf):
+    functions = corpus.functions(spark, sf)
+    return functions, ast_tables.function_facts(functions)
+
+
 @query(
     "b_node_kinds",
     f"""WITH {WITH_WORDS}, kinds AS (
@@ -106,7 +110,7 @@ def node_kinds(spark, sf):
     FROM words w JOIN funcs f USING (doc_id) WHERE {_HOLE} GROUP BY ALL""",
 )
 def holes(spark, sf):
-    found = ast_tables.extract_holes(corpus.nodes(spark, sf, ["node_id", "k", "label"]))
+    found = ast_tables.holes_of(corpus.functions(spark, sf))
     return found.groupBy("module", "fn", "label", "kind").agg(F.count("*").alias("n"))
 
 
@@ -117,7 +121,7 @@ def holes(spark, sf):
     WHERE NOT EXISTS (SELECT 1 FROM words w WHERE w.doc_id = f.doc_id AND {_HOLE})""",
 )
 def hole_free(spark, sf):
-    found = ast_tables.extract_holes(corpus.nodes(spark, sf, ["node_id", "k", "label"]))
+    found = ast_tables.holes_of(corpus.functions(spark, sf))
     return ast_tables.hole_free(corpus.functions(spark, sf), found).select("module", "name")
 
 
@@ -126,7 +130,7 @@ def hole_free(spark, sf):
     f"WITH {_WITH_CALLS} SELECT module, fn, is_method, callee, count(*) AS n FROM calls GROUP BY ALL",
 )
 def calls(spark, sf):
-    found = ast_tables.extract_calls(corpus.nodes(spark, sf, ["k", "name", "under_pruned"]))
+    found = ast_tables.extract_calls(corpus.nodes(spark, sf, ["k", "name", "under_pruned"], ["call", "mcall"]))
     return found.groupBy("module", "fn", "is_method", "callee").agg(F.count("*").alias("n"))
 
 
@@ -137,7 +141,7 @@ def calls(spark, sf):
     WHERE NOT ({_HOLE}) AND n % 7 IN (0, 4) GROUP BY ALL""",
 )
 def calls_complete(spark, sf):
-    found = ast_tables.extract_calls(corpus.nodes(spark, sf, ["k", "name", "under_pruned"]), strict_compat=False)
+    found = ast_tables.extract_calls(corpus.nodes(spark, sf, ["k", "name", "under_pruned"], ["call", "mcall"]), strict_compat=False)
     return found.groupBy("module", "is_method").agg(F.count("*").alias("n"))
 
 
@@ -147,7 +151,7 @@ def calls_complete(spark, sf):
     SELECT module, name AS fn, ledger_nodes, matrix_nodes, holes, risk, max_depth FROM stats JOIN funcs USING (doc_id)""",
 )
 def fn_stats(spark, sf):
-    stats = ast_tables.fn_stats(corpus.nodes(spark, sf, _LEDGER))
+    stats = ast_tables.function_facts(corpus.functions(spark, sf))
     return stats.select("module", "fn", "ledger_nodes", "matrix_nodes", "holes", "risk", F.col("max_depth").cast("bigint").alias("max_depth"))
 
 
@@ -234,7 +238,7 @@ def name_kinds(spark, sf):
     f"WITH {_WITH_CALLS} SELECT f.module, f.name AS fn, count(DISTINCT callee) AS fanout, coalesce(string_agg(DISTINCT callee, ',' ORDER BY callee), '') AS callees FROM funcs f LEFT JOIN calls c ON c.module = f.module AND c.fn = f.name GROUP BY ALL",
 )
 def fanout(spark, sf):
-    calls = ast_tables.extract_calls(corpus.nodes(spark, sf, ["k", "name", "under_pruned"]))
+    calls = ast_tables.extract_calls(corpus.nodes(spark, sf, ["k", "name", "under_pruned"], ["call", "mcall"]))
     found = graph.fanout(calls, ast_tables.KEY, functions=ast_tables.identified(corpus.functions(spark, sf)))
     return found.select("module", "fn", "fanout", F.array_join("callees", ",").alias("callees"))
 
@@ -253,7 +257,7 @@ def dotted_tails(spark, sf):
 
 @query("c_resolve_calls", f"WITH {_WITH_RESOLVED} SELECT * FROM resolved")
 def resolve_calls(spark, sf):
-    found = ast_tables.extract_calls(corpus.nodes(spark, sf, ["k", "name", "under_pruned"]))
+    found = ast_tables.extract_calls(corpus.nodes(spark, sf, ["k", "name", "under_pruned"], ["call", "mcall"]))
     return graph.resolve_calls(found, corpus.functions(spark, sf).select("module", "name"))
 
 
@@ -296,7 +300,7 @@ def class_defines(spark, sf):
 
 def _closure(spark, sf, resolver):
     functions = corpus.functions(spark, sf).select("module", "name")
-    facts = cut_lineage(ast_tables.fn_facts(corpus.nodes(spark, sf, _LEDGER)))  # read three times, flattened once
+    facts = cut_lineage(ast_tables.function_facts(corpus.functions(spark, sf)))  # read three times, opened once
     calls = ast_tables.calls_of(facts)
     free = facts.where("holes = 0").select("module", F.col("fn").alias("name"), F.col("fn_pos").alias("pos"))
     return graph.call_closed(free, calls, resolver(calls, functions)).select("module", "name")
@@ -336,7 +340,7 @@ LEDGER_SQL = f"""WITH {_WITH_RESOLVED}, {WITH_STATS[len(WITH_FUNCS) + 1:]},
 @query("d_coverage_ledger", LEDGER_SQL)
 def coverage_ledger(spark, sf):
     """The flagship: what share of each corpus is hole-free and call-closed, and what may still hole at run time."""
-    return ledger.coverage_ledger(corpus.functions(spark, sf), corpus.nodes(spark, sf, _LEDGER))
+    return ledger.coverage_ledger(*_counted(spark, sf))
 
 
 @query(
@@ -347,7 +351,7 @@ def coverage_ledger(spark, sf):
     UNION ALL SELECT module, NULL, count(*) - 3, 4 FROM r GROUP BY module HAVING count(*) > 3""",
 )
 def hole_tally(spark, sf):
-    found = ast_tables.extract_holes(corpus.nodes(spark, sf, ["node_id", "k", "label"]))
+    found = ast_tables.holes_of(corpus.functions(spark, sf))
     return ledger.tally(found, "label", by=["module"], top=3).withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -361,7 +365,7 @@ def hole_tally(spark, sf):
     FROM funcs JOIN stats USING (doc_id) GROUP BY ALL""",
 )
 def language_matrix(spark, sf):
-    matrix = ledger.language_matrix(corpus.functions(spark, sf), corpus.nodes(spark, sf, _LEDGER))
+    matrix = ledger.language_matrix(*_counted(spark, sf))
     return matrix.withColumn("hole_pct", F.round("hole_pct", 6)).withColumn("hole_free_pct", F.round("hole_free_pct", 6))
 
 
@@ -374,7 +378,7 @@ def language_matrix(spark, sf):
 )
 def hole_causes(spark, sf):
     """The part of the language matrix that says why: fifteen causes of each corpus."""
-    found = ast_tables.extract_holes(corpus.nodes(spark, sf, ["node_id", "k", "label"]))
+    found = ast_tables.holes_of(corpus.functions(spark, sf))
     return ledger.hole_causes(found).withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -385,7 +389,7 @@ def hole_causes(spark, sf):
       CAST(sum(holes) AS BIGINT) AS holes FROM funcs JOIN stats USING (doc_id) GROUP BY ALL""",
 )
 def corpus_shape(spark, sf):
-    shape = ledger.corpus_shape(corpus.functions(spark, sf), corpus.nodes(spark, sf, ["depth", "k"]))
+    shape = ledger.corpus_shape(*_counted(spark, sf))
     return shape.drop("bytes").withColumn("max_depth", F.col("max_depth").cast("bigint"))
 
 
@@ -398,7 +402,7 @@ def corpus_shape(spark, sf):
       string_agg(name, ' ' ORDER BY r) FILTER (r <= 5) AS sites FROM r GROUP BY ALL""",
 )
 def hole_sites(spark, sf):
-    found = ast_tables.extract_holes(corpus.nodes(spark, sf, ["node_id", "k", "label"]))
+    found = ast_tables.holes_of(corpus.functions(spark, sf))
     sites = ledger.hole_sites(found)
     return sites.withColumn("sites", F.array_join("sites", " "))
 

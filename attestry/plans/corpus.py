@@ -99,8 +99,8 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nodes(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    return ast_tables.flatten_ast(functions(spark, sf_dir), columns)
+def nodes(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:
+    return ast_tables.flatten_ast(functions(spark, sf_dir), columns, kinds)
 
 
 # ---- the same corpus as SQL over `documents`

@@ -540,7 +540,7 @@ def argument_claims(spark, sf):
     f"""WITH {WITH_FUNCS} SELECT module, 'A.len:' || n AS id, 'len:' || n AS label, count(*) AS count FROM words WHERE n >= {HOLE_LENGTH} GROUP BY module, n""",
 )
 def assumptions(spark, sf):
-    found = ast_tables.extract_holes(corpus.nodes(spark, sf, ["node_id", "k", "label"]))
+    found = ast_tables.holes_of(corpus.functions(spark, sf))
     sites = ledger.hole_sites(found)
     return A.assumptions(sites).select("module", "id", "label", "count")
 

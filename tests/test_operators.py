@@ -91,7 +91,7 @@ def test_ledger_row(spark):
         spark, ("m.py:<module>.ok", [], RET(CALL("helper"))), ("m.py:<module>.helper", [], RET(NAME("x"))),
         ("m.py:<module>.bad", [], RET({"k": "hole", "label": "op:x"})), ("m.py:<module>.open", [], RET(CALL("nowhere"))),
     )
-    r = ledger.coverage_ledger(fs, ast_tables.flatten_ast(fs)).first()
+    r = ledger.coverage_ledger(fs, ast_tables.function_facts(fs)).first()
     assert (r.functions, r.holes, r.hole_free, r.verifiable_core, r.dynamic_risk, r.dialect) == (4, 1, 3, 2, 2, "python")
     assert (r.core_pct, r.holes_pct) == ("50%", "12%")
 
@@ -185,9 +185,9 @@ def test_functions_that_share_a_name(spark):
     bodies = [json.dumps(RET({"k": "hole", "label": "x"})), json.dumps(RET({"k": "int", "v": 1})), json.dumps(RET({"k": "call", "f": "nowhere"}))]
     fs = spark.createDataFrame([("m", "f", "a.py", ["p"], b, i) for i, b in enumerate(bodies)], "module STRING, name STRING, file STRING, params ARRAY<STRING>, body STRING, pos BIGINT")
     nodes = ast_tables.flatten_ast(fs)
-    row = ledger.coverage_ledger(fs, nodes).first()
+    row = ledger.coverage_ledger(fs, ast_tables.function_facts(fs)).first()
     assert (row.functions, row.holes, row.hole_free, row.verifiable_core) == (3, 1, 2, 1)
-    matrix = ledger.language_matrix(fs, nodes).first()
+    matrix = ledger.language_matrix(fs, ast_tables.function_facts(fs)).first()
     assert (matrix.functions, matrix.holes, matrix.hole_free) == (3, 1, 2)
     holes = ast_tables.extract_holes(nodes)
     assert [(r.occurrences, r.n_functions) for r in ledger.hole_sites(holes).collect()] == [(1, 1)]
@@ -373,3 +373,24 @@ def test_links_of_a_claim_in_blocks(spark):
     assert [s for r in sorted(blocks, key=lambda r: r.block) if r.kind == "evidence" for s in r.sources] == [f"e{i:04}" for i in range(1000)]
     claims = assurance.argument_claims(spark.createDataFrame([("m", "c", "DEFEATED"), ("m", "d", "UNDEVELOPED")], "module STRING, id STRING, status STRING"), evidence, links)
     assert rows(claims, "id", "evidence", "counter_evidence", "defeaters", "undeveloped", "defeated") == [("c", 1000, 1, 1, False, True), ("d", 0, 0, 0, True, False)]
+
+
+def test_facts_and_kinds_of_the_walk_are_those_of_the_node_table(spark):
+    rnd = random.Random(11)
+
+    def expr(depth):
+        k = rnd.choice(["name", "call", "mcall", "hole", "binop", "listE", "closure", "str"] if depth else ["name", "hole"])
+        inner = [expr(depth - 1) for _ in range(rnd.randrange(3))] if depth else []
+        return {"k": k, "v": "x", "f": rnd.choice("fg"), "m": "m", "label": "l", "args": inner, "a": expr(depth - 1) if depth and rnd.random() < 0.5 else None}
+
+    bodies = [SEQ({"k": rnd.choice(["setIndex", "exprS", "tryFinally", "ret"]), "e": expr(4), "body": expr(3)}, RET(expr(2))) for _ in range(60)] + [{"nokind": 1, "v": {"k": "holeS"}}, SEQ({"k": "skip"}, {"k": "skip"})]
+    fs = functions(spark, *[(f"f{i}", ["p"], b) for i, b in enumerate(bodies)])
+    nodes, facts = ast_tables.flatten_ast(fs), ast_tables.function_facts(fs)
+    columns = ["fn", "ledger_nodes", "matrix_nodes", "shape_nodes", "holes", "risk", "max_depth"]
+    assert rows(facts, *columns) == rows(ast_tables.fn_stats(nodes), *columns)
+    called = ["fn", "is_method", "callee"]
+    assert rows(ast_tables.calls_of(facts), *called) == rows(ast_tables.extract_calls(nodes).distinct(), *called)
+    key = ["fn", "node_id", "label", "kind"]
+    assert rows(ast_tables.holes_of(fs), *key) == rows(ast_tables.extract_holes(nodes), *key)
+    hidden = spark.createDataFrame([("M", "f", "f", ["p"], '{"k": "h\\u006fle", "label": "x"}', 0)], fs.schema)
+    assert [r.label for r in ast_tables.holes_of(hidden).collect()] == ["x"]
