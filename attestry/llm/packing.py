@@ -21,7 +21,7 @@ from attestry.llm.common import prepare, pylist_batches, texts, worker_cache, wr
 SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 8192
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000  # of a generation; a worker that later stages use again keeps two of them
 SIGNS = ".,!?;:|%*#$()"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -33,7 +33,7 @@ class Encoder:
     This vocabulary drops white space and lower-cases, and takes runs of letters apart from runs of other signs. So the ids of a
     text are those of its parts between blanks and line ends, and those of a word with signs behind it are the word's and the
     signs'. Ids of parts seen before are kept, in two generations of bounded size. Latin-1 texts, which the normalisation leaves
-    alone, are lower-cased first. A text in which a special token is spelled out goes to the tokenizer whole.
+    alone, are lower-cased first. A text in which a special token is spelled out, in whatever case, goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -41,7 +41,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
@@ -72,11 +72,12 @@ class Encoder:
         young.update((p, young[w] + young[signs]) for p, w, signs in split)
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        folded = text.lower()
+        if any(s in folded for s in self.special):
             return self._encode([text])[0]
         try:
             text.encode("latin-1")
-            text = text.lower()
+            text = folded
         except UnicodeEncodeError:
             pass
         parts = text.replace("\n", " ").split(" ")

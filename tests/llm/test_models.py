@@ -127,7 +127,7 @@ def test_encoder_is_the_tokenizer(monkeypatch):
     whole, encode = Tokenizer.from_file(PATH), packing.Encoder(PATH)
     for seed in range(1500):
         rnd = random.Random(seed)
-        t = "".join(rnd.choice("abAB'stre.,!| \n\t\x1c\x85\xa0ñÑß1２Σσé́İ²") for _ in range(rnd.randint(0, 30))) + rnd.choice(["", "<|endoftext|>x", " DON'T."])
+        t = "".join(rnd.choice("abAB'stre.,!| \n\t\x1c\x85\xa0ñÑß1２Σσé́İ²") for _ in range(rnd.randint(0, 30))) + rnd.choice(["", "<|endoftext|>x", "<|EndOfText|>x", "plain <|ENDOFTEXT|> word", " DON'T."])
         assert encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
