@@ -351,6 +351,30 @@ def _prefix_chain(df: DataFrame, column: str = "full_name", with_self: bool = Fa
     return usable.select(column, F.explode(ancestors).alias("a")).select(column, "a.level", "a.ancestor")
 
 
+def _nearest_binder(uses: DataFrame, binders: DataFrame) -> DataFrame:
+    """uses(full_name, ident) with `bound_at`, how many levels up the innermost scope is that binds the name; null where none does.
+
+    Scopes in the order of their names, dots first, are a walk through the scope tree: what lies below a scope follows it in one
+    run, its interval. Of the binders of one depth only the last before a use can hold it, so one pass over the uses and binders
+    of a name finds the innermost, with a row for each of them and none for the scopes in between.
+    """
+    depth = F.size(F.split("full_name", "[.]", -1))
+    events = binders.select("full_name", "ident").distinct().withColumn("use", F.lit(0)).unionByName(uses.select("full_name", "ident").distinct().withColumn("use", F.lit(1)))
+    deepest = binders.agg(F.max(depth)).first()[0] or 0
+    walk = Window.partitionBy(F.substring_index("full_name", ".", 1), "ident").orderBy(F.translate("full_name", ".", "\x01"), "use")
+    so_far = walk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = [F.last(F.when((F.col("use") == 0) & (depth == d), F.col("full_name")), True).over(so_far).alias(f"at_{d}") for d in range(1, deepest + 1)]
+    seen = events.select("full_name", "ident", "use", *last).where("use = 1")
+    holds = [F.when((F.col("full_name") == F.col(f"at_{d}")) | F.startswith("full_name", F.concat(F.col(f"at_{d}"), F.lit("."))), d) for d in range(1, deepest + 1)]
+    none = F.lit(None).cast("int")
+    return seen.select("full_name", "ident", (depth - F.greatest(none, none, *holds)).alias("bound_at"))
+
+
+def _above(name, level):
+    """The name without its last `level` segments."""
+    return F.array_join(F.slice(F.split(name, "[.]", -1), F.lit(1), F.size(F.split(name, "[.]", -1)) - level), ".")
+
+
 def free_names(methods: DataFrame, uses: DataFrame, binds: DataFrame) -> DataFrame:
     """Names free in each method: used by it or left free by a method nested directly in it, and not bound by it.
 
@@ -358,37 +382,18 @@ def free_names(methods: DataFrame, uses: DataFrame, binds: DataFrame) -> DataFra
     """
     known = methods.select(F.col("full_name").alias("ancestor")).distinct().withColumn("exists", F.lit(True))
     chain = _prefix_chain(methods.select("full_name").distinct(), with_self=True).join(known, "ancestor", "left")
-    gaps = chain.groupBy("full_name").agg(F.min(F.when(F.col("exists").isNull(), F.col("level"))).alias("gap"))
-    bound = binds.select(F.col("full_name").alias("ancestor"), "ident").distinct()
-    used = uses.select("full_name", "ident").distinct()
-    spread = used.join(chain.select("full_name", "level", "ancestor"), "full_name")
-    nearest = (
-        spread.join(bound, ["ancestor", "ident"], "left_semi")
-        .groupBy("full_name", "ident")
-        .agg(F.min("level").alias("bound_at"))
-    )
-    limit = F.least("gap", "bound_at")
-    return (
-        spread.join(gaps, "full_name")
-        .join(nearest, ["full_name", "ident"], "left")
-        .where(limit.isNull() | (F.col("level") < limit))
-        .select(F.col("ancestor").alias("full_name"), "ident")
-        .distinct()
-    )
+    gaps = chain.groupBy("full_name").agg(F.min(F.when(F.col("exists").isNull(), F.col("level"))).alias("gap"), F.count("*").alias("levels"))
+    nearest = _nearest_binder(uses, binds).join(gaps, "full_name")
+    free_for = F.least("gap", "bound_at", "levels")
+    free = nearest.withColumn("n", free_for).where("n > 0").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    return free.select(_above(F.col("full_name"), F.col("level")).alias("full_name"), "ident").distinct()
 
 
 def captures(methods: DataFrame, free: DataFrame, binds: DataFrame) -> DataFrame:
     """Is each method a closure: does an enclosing *function* scope bind one of its free names?"""
-    scopes = methods.where(~F.col("name").startswith("<")).select(F.col("full_name").alias("ancestor")).distinct()
-    enclosing = _prefix_chain(methods.select("full_name").distinct()).join(scopes, "ancestor", "left_semi")
-    bound = binds.select(F.col("full_name").alias("ancestor"), "ident").distinct()
-    captured = (
-        free.join(enclosing, "full_name")
-        .join(bound, ["ancestor", "ident"], "left_semi")
-        .select("full_name")
-        .distinct()
-        .withColumn("is_closure", F.lit(True))
-    )
+    scopes = methods.where(~F.col("name").startswith("<")).select("full_name").distinct()
+    outer = _nearest_binder(free, binds.join(scopes, "full_name", "left_semi"))
+    captured = outer.where("bound_at > 0").select("full_name").distinct().withColumn("is_closure", F.lit(True))
     return (
         methods.select("full_name")
         .distinct()

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.operators.ast_tables import KEY, identified
 from attestry.functions.numeric import INT
 
 LAWS = "fn STRING, law STRING, testified BIGINT, counterexamples BIGINT, holes BIGINT, uncovered BIGINT"
@@ -179,17 +180,14 @@ def law_projects(obs: DataFrame, max_fields: int | None = None) -> DataFrame:
 
 def body_laws(functions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Bodies that, past their docstring, are `return literal` or, without parameters, `return self.f`."""
-    key = ["module", "fn"]
-    root = nodes.where(F.col("body_root") & (F.col("k") == "ret")).select(*key, F.col("node_id").alias("root_id"))
+    root = nodes.where(F.col("body_root") & (F.col("k") == "ret")).select(*KEY, F.col("node_id").alias("root_id"))
     shape = F.col("k").isin("int", "str", "bool") | ((F.col("k") == "field") & (F.col("recv") == "self"))
-    child = nodes.where(shape & (F.col("role") == "e")).select(
-        *key, F.col("parent_id").alias("root_id"), "k", "name", "v"
-    )
-    params = functions.select("module", F.col("name").alias("fn"), F.size(F.coalesce("params", F.array())).alias("n_params"))
-    found = root.join(child, [*key, "root_id"]).join(params, key)
+    child = nodes.where(shape & (F.col("role") == "e")).select(*KEY, F.col("parent_id").alias("root_id"), "k", "name", "v")
+    params = identified(functions, F.size(F.coalesce("params", F.array())).alias("n_params"))
+    found = root.join(child, [*KEY, "root_id"]).join(params, KEY)
     constant = F.col("k") != "field"
     return found.where(constant | (F.col("n_params") == 0)).select(
-        *key, F.when(constant, "constant_body").otherwise("accessor_body").alias("law"),
+        *KEY, F.when(constant, "constant_body").otherwise("accessor_body").alias("law"),
         F.when(constant, F.col("v")).otherwise(F.col("name")).alias("detail"),
     )
 
@@ -211,19 +209,13 @@ def refute(candidates: DataFrame) -> DataFrame:
 
 def argument_reads(functions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Does the body read its first, its first two, all of its parameters? Any node whose value is the parameter's name counts."""
-    params = functions.select(
-        "module", F.col("name").alias("fn"), F.posexplode("params").alias("at", "v")
-    )
-    read = nodes.where(F.col("v").isNotNull()).select("module", "fn", "v")
-    hit = params.join(read, ["module", "fn", "v"], "left_semi").withColumn("reads", F.lit(True))
-    return (
-        params.join(hit, ["module", "fn", "at", "v"], "left")
-        .groupBy("module", "fn")
-        .agg(
-            F.bool_and(F.when(F.col("at") == 0, F.coalesce("reads", F.lit(False)))).alias("reads_first"),
-            F.bool_and(F.when(F.col("at") <= 1, F.coalesce("reads", F.lit(False)))).alias("reads_first_two"),
-            F.bool_and(F.coalesce("reads", F.lit(False))).alias("reads_all"),
-        )
+    params = identified(functions, "params").select(*KEY, F.posexplode("params").alias("at", "v"))
+    read = nodes.where(F.col("v").isNotNull()).select(*KEY, "v").distinct().withColumn("reads", F.lit(True))
+    hit = F.coalesce("reads", F.lit(False))
+    return params.join(read, [*KEY, "v"], "left").groupBy(*KEY).agg(
+        F.bool_and(F.when(F.col("at") == 0, hit)).alias("reads_first"),
+        F.bool_and(F.when(F.col("at") <= 1, hit)).alias("reads_first_two"),
+        F.bool_and(hit).alias("reads_all"),
     )
 
 

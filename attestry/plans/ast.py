@@ -298,10 +298,11 @@ def class_defines(spark, sf):
     return graph.class_defines(_requests(functions, corpus.nodes(spark, sf, ["k", "name"])), functions)
 
 
-def _closure(spark, sf, resolver):
+def _closure(spark, sf, resolver, only=None):
     functions = corpus.functions(spark, sf).select("module", "name")
     facts = cut_lineage(ast_tables.function_facts(corpus.functions(spark, sf)))  # read three times, opened once
     calls = ast_tables.calls_of(facts)
+    calls = calls if only is None else calls.where(only)
     free = facts.where("holes = 0").select("module", F.col("fn").alias("name"), F.col("fn_pos").alias("pos"))
     return graph.call_closed(free, calls, resolver(calls, functions)).select("module", "name")
 
@@ -323,6 +324,17 @@ def closure_agrees(spark, sf):
     return graph.closure_agrees(_closure(spark, sf, graph.resolve_calls), _closure(spark, sf, graph.resolve_calls_by_scan))
 
 
+@query(
+    "c_closure_differs",
+    f"""WITH {_WITH_RESOLVED}, leaks AS (SELECT c.module, c.fn, bool_or(is_method) AS by_method FROM calls c JOIN resolved r USING (module, is_method, callee) WHERE NOT r.resolved GROUP BY c.module, c.fn)
+    SELECT f.module, f.name, 'second' AS only_in FROM funcs f JOIN leaks l ON l.module = f.module AND l.fn = f.name
+    WHERE NOT by_method AND NOT EXISTS (SELECT 1 FROM words w WHERE w.doc_id = f.doc_id AND {_HOLE})""",
+)
+def closure_differs(spark, sf):
+    """The same comparison against a derivation that forgets free calls: functions whose only leaks these are must be told."""
+    return graph.closure_agrees(_closure(spark, sf, graph.resolve_calls), _closure(spark, sf, graph.resolve_calls_by_scan, "is_method"))
+
+
 _PCT = "CASE WHEN {b} = 0 THEN 'n/a' ELSE CAST(CAST(floor({a} * 100.0 / {b}) AS BIGINT) AS VARCHAR) || '%' END"
 LEDGER_SQL = f"""WITH {_WITH_RESOLVED}, {WITH_STATS[len(WITH_FUNCS) + 1:]},
     leaks AS (SELECT DISTINCT c.module, c.fn FROM calls c JOIN resolved r USING (module, is_method, callee) WHERE NOT r.resolved),

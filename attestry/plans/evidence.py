@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestry.operators import conformance, laws, mutation
+from attestry.operators import ast_tables, conformance, laws, mutation
 from attestry.plans import corpus
 from attestry.plans.corpus import HOLE_LENGTH, WITH_FUNCS
 from attestry.plans.registry import query, table
@@ -450,11 +450,33 @@ def characterize(spark, sf):
     return laws.characterize(obs, laws.refute(laws.row_laws(obs))).groupBy("fn").agg(F.count("*").alias("pinned"))
 
 
-@query("f_body_laws")
+@query(
+    "f_body_laws",
+    """SELECT lang AS module, 'f' || doc_id % 50 AS fn, doc_id AS fn_pos, CASE WHEN doc_id % 6 = 2 THEN 'accessor_body' ELSE 'constant_body' END AS law,
+      CASE doc_id % 6 WHEN 0 THEN CAST(n_chars AS VARCHAR) WHEN 1 THEN source ELSE 'f' || n_chars END AS detail
+    FROM documents WHERE doc_id % 6 < 2 OR doc_id % 6 = 2 AND doc_id % 4 <> 0""",
+)
 def body_laws(spark, sf):
-    """Bodies that only return a literal or a field of self. Checked on a fixture: the documents hold few such bodies."""
-    nodes = corpus.nodes(spark, sf, ["node_id", "parent_id", "role", "k", "name", "recv", "v", "body_root"])
-    return laws.body_laws(corpus.functions(spark, sf), nodes)
+    """Fifty names for all functions; bodies return a number, a string below a docstring, a field with and without parameters, a call, or do more."""
+    literal = lambda kind, value: F.concat(F.lit('{"k":"ret","e":{"k":"%s","v":' % kind), value, F.lit("}}"))
+    text = F.concat(F.lit('{"k":"seq","a":{"k":"exprS","e":{"k":"str","v":"doc"}},"b":'), literal("str", F.concat(F.lit('"'), "source", F.lit('"'))), F.lit("}"))
+    body = _by_number(F.col("doc_id") % 6, [
+        literal("int", F.col("n_chars").cast("string")), text, F.concat(F.lit('{"k":"ret","e":{"k":"field","a":{"k":"name","v":"self"},"f":"f'), "n_chars", F.lit('"}}')),
+        F.lit('{"k":"ret","e":{"k":"field","a":{"k":"name","v":"other"},"f":"x"}}'), F.lit('{"k":"ret","e":{"k":"call","f":"g","args":[]}}'),
+        F.concat(F.lit('{"k":"seq","a":{"k":"assign","x":"y","e":{"k":"int","v":1}},"b":'), literal("int", F.lit("2")), F.lit("}")),
+    ])
+    params = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("p"))).otherwise(F.array().cast("array<string>"))
+    functions = table(spark, sf, "documents").select(F.col("lang").alias("module"), F.concat(F.lit("f"), F.col("doc_id") % 50).alias("name"), params.alias("params"), body.alias("body"), F.col("doc_id").alias("pos"))
+    nodes = ast_tables.flatten_ast(functions, ["node_id", "parent_id", "role", "k", "name", "recv", "v", "body_root"], ["ret", "int", "str", "bool", "field"])
+    return laws.body_laws(functions, nodes)
+
+
+def _by_number(number, branches):
+    """The branch of that number, from 0."""
+    chosen = F.when(number == 0, branches[0])
+    for i, branch in enumerate(branches[1:], 1):
+        chosen = chosen.when(number == i, branch)
+    return chosen
 
 
 @query(
@@ -463,7 +485,7 @@ def body_laws(spark, sf):
     SELECT module, name AS fn, coalesce(reads, false) AS reads_first, coalesce(reads, false) AS reads_first_two, coalesce(reads, false) AS reads_all FROM funcs LEFT JOIN r USING (doc_id)""",
 )
 def argument_reads(spark, sf):
-    return laws.argument_reads(corpus.functions(spark, sf), corpus.nodes(spark, sf, ["v"]))
+    return laws.argument_reads(corpus.functions(spark, sf), corpus.nodes(spark, sf, ["v"])).drop("fn_pos")
 
 
 _POOL = {"int": [f'["int",{i}]' for i in laws.INT_EDGES], "str": [f'["str","{s}"]' for s in laws.STR_EDGES], "bool": ['["bool",false]', '["bool",true]']}
@@ -494,7 +516,8 @@ def boundary_domain(spark, sf):
     "f_fuel_guard",
     """WITH a AS (SELECT CAST(l_suppkey AS VARCHAR) AS fn, CASE WHEN l_linenumber % 2 = 0 THEN 'runs' ELSE 'commutes' END AS law, l_quantity > 49 AND l_suppkey % 5 = 0 AS o, l_discount > 0.09 AND l_linenumber % 2 = 1 AND l_suppkey % 7 = 0 AS o2 FROM lineitem),
     c AS (SELECT fn, law, count(*) FILTER (o) AS out_of_fuel, count(*) FILTER (o2) AS out_of_fuel_swapped, count(*) FILTER (o OR o2) AS blocked FROM a GROUP BY ALL)
-    SELECT s.fn, s.law, out_of_fuel, out_of_fuel_swapped, NOT (s.k % 11 = 0 OR blocked IS NULL OR blocked > 0) AS transportable FROM (SELECT CAST(s_suppkey AS VARCHAR) AS fn, s_suppkey AS k, unnest(['runs', 'commutes']) AS law FROM supplier) s LEFT JOIN c USING (fn, law)""",
+    SELECT s.fn, s.law, out_of_fuel, out_of_fuel_swapped, NOT (s.k % 11 = 0 OR blocked IS NULL OR blocked > 0) AS transportable,
+      CASE WHEN s.k % 11 = 0 THEN 'subject reaches try/finally' WHEN blocked IS NULL THEN 'guard could not be evaluated' WHEN blocked > 0 THEN 'a case reached outOfFuel' END AS why_not FROM (SELECT CAST(s_suppkey AS VARCHAR) AS fn, s_suppkey AS k, unnest(['runs', 'commutes']) AS law FROM supplier) s LEFT JOIN c USING (fn, law)""",
 )
 def fuel_guard(spark, sf):
     fn = F.col("l_suppkey").cast("string").alias("fn")
@@ -505,7 +528,7 @@ def fuel_guard(spark, sf):
     )
     suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("fn"), (F.col("s_suppkey") % 11 == 0).alias("has_try_finally"))
     found = suppliers.select("fn", F.explode(F.array(F.lit("runs"), F.lit("commutes"))).alias("law"), F.lit("candidate").alias("status"))
-    return laws.fuel_guard(found, answers, suppliers).drop("why_not")
+    return laws.fuel_guard(found, answers, suppliers)
 
 
 # ---- G: mutants of the corpus, documents as declaration files, orders and line items as mutation runs

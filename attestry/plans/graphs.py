@@ -208,26 +208,35 @@ def class_captures(spark, sf):
 
 @query(
     "c_enclosing_class",
-    f"""WITH {_SCOPES} SELECT s.full_name, s.name, c.name AS cls, CASE WHEN s.name LIKE 'g%' THEN s.name ELSE s.name END AS mangled
-    FROM scopes s LEFT JOIN scopes c ON c.full_name = regexp_replace(s.full_name, '\\.[^.]*$', '') AND c.name LIKE 'f%' AND s.name LIKE 'g%'""",
+    """WITH c AS (SELECT DISTINCT 'm' || doc_id % 20 || '.' || CASE doc_id % 7 WHEN 0 THEN '__' ELSE '_C' || doc_id % 7 END AS full_name, CASE doc_id % 7 WHEN 0 THEN '__' ELSE '_C' || doc_id % 7 END AS name FROM documents WHERE doc_id % 5 <> 0),
+    f AS (SELECT DISTINCT 'm' || doc_id % 20 || '.' || CASE doc_id % 7 WHEN 0 THEN '__' ELSE '_C' || doc_id % 7 END || CASE WHEN doc_id % 3 = 0 THEN '.outer.' ELSE '.' END || n AS full_name, 'm' || doc_id % 20 || '.' || CASE doc_id % 7 WHEN 0 THEN '__' ELSE '_C' || doc_id % 7 END AS above, n AS name
+      FROM (SELECT doc_id, ['__x', '__init__', '_y', 'z', '__'][doc_id % 4 + 1] AS n FROM documents)),
+    g AS (SELECT f.full_name, f.name, c.name AS cls FROM f LEFT JOIN c ON c.full_name = f.above)
+    SELECT full_name, name, cls, CASE WHEN name = '__x' AND cls <> '__' THEN '_C' || substring(cls, 3) || name ELSE name END AS mangled FROM g""",
 )
 def enclosing_class(spark, sf):
-    methods, _, _ = _scopes(spark, sf)
-    return graph.enclosing_class(methods, methods.where("name LIKE 'f%'"))
+    """Private, special and plain names, in classes, below a function of a class, in a class of underscores only, and where the class is missing."""
+    number = F.col("doc_id") % 7
+    cls = F.when(number == 0, "__").otherwise(F.concat(F.lit("_C"), number))
+    above = F.concat(F.lit("m"), F.col("doc_id") % 20, F.lit("."), cls)
+    docs = table(spark, sf, "documents")
+    name = F.element_at(F.array(*map(F.lit, ["__x", "__init__", "_y", "z"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    functions = docs.select(F.concat(above, F.when(F.col("doc_id") % 3 == 0, ".outer.").otherwise("."), name).alias("full_name"), name.alias("name"))
+    return graph.enclosing_class(functions, docs.where("doc_id % 5 <> 0").select(above.alias("full_name"), cls.alias("name")))
 
 
 @query(
     "c_builtin_bases",
-    """WITH r AS (SELECT p_name AS name, CASE p_size % 7 WHEN 0 THEN 'tuple' WHEN 1 THEN 'list' WHEN 2 THEN 'tuple' ELSE NULL END AS base FROM part)
+    """WITH r AS (SELECT 'c' || p_partkey // 3 AS name, CASE p_size % 7 WHEN 0 THEN 'tuple' WHEN 1 THEN 'list' WHEN 2 THEN 'tuple' ELSE NULL END AS base FROM part)
     SELECT name, min(base) AS base FROM r WHERE base IS NOT NULL GROUP BY name HAVING count(DISTINCT base) = 1""",
 )
 def builtin_bases(spark, sf):
-    """Parts as classes: the size picks the bases, and a name seen with two bases is dropped."""
+    """Three parts are one class name: the size picks the bases, and a name seen with two modelled bases is dropped."""
     bases = F.expr(
         """CASE p_size % 7 WHEN 0 THEN array('builtins.tuple', 'object') WHEN 1 THEN array('list') WHEN 2 THEN array('ANY', '__builtin.tuple')
            WHEN 3 THEN array('tuple', 'list') WHEN 4 THEN array('Other') ELSE array('x.object') END"""
     )
-    return graph.builtin_bases(table(spark, sf, "part").select(F.col("p_name").alias("name"), bases.alias("bases")))
+    return graph.builtin_bases(table(spark, sf, "part").select(F.concat(F.lit("c"), F.expr("p_partkey div 3")).alias("name"), bases.alias("bases")))
 
 
 @query(

@@ -389,13 +389,15 @@ _FAITH = f"""fa AS (SELECT *, present AND tag IS NOT NULL AND tag <> module AS o
 
 @query(
     "j_leg_faithfulness",
-    f"""WITH {_MOD}, {_FAITH} SELECT module, 'G2' AS id, g2 AS status FROM g2 UNION ALL SELECT module, 'G2.1', cs FROM g2 WHERE present AND NOT off
-    UNION ALL SELECT module, 'G2.2', 'UNDEVELOPED' FROM g2 WHERE present AND pop > cov UNION ALL SELECT module, 'D1', 'UNSUPPORTED' FROM g2 WHERE present AND total = 0
-    UNION ALL SELECT module, 'D2', 'UNSUPPORTED' FROM g2 WHERE present AND total > 0 AND pop > 0 AND cov < pop""",
+    f"""WITH {_MOD}, {_FAITH} SELECT module, 'G2' AS id, g2 AS status, CASE WHEN present THEN 'TEST' END AS evidence_kind, cov AS covered, pop AS population FROM g2
+    UNION ALL SELECT module, 'G2.1', cs, 'TEST', cov, pop FROM g2 WHERE present AND NOT off
+    UNION ALL SELECT module, 'G2.2', 'UNDEVELOPED', NULL, 0, pop - cov FROM g2 WHERE present AND pop > cov
+    UNION ALL SELECT module, 'D1', 'UNSUPPORTED', NULL, NULL, NULL FROM g2 WHERE present AND total = 0
+    UNION ALL SELECT module, 'D2', 'UNSUPPORTED', NULL, NULL, NULL FROM g2 WHERE present AND total > 0 AND pop > 0 AND cov < pop""",
 )
 def leg_faithfulness(spark, sf):
     agree = F.col("total") - F.col("divergences")
-    return A.leg_faithfulness(_modules(spark, sf).withColumn("agree", agree)).select("module", "id", "status")
+    return A.leg_faithfulness(_modules(spark, sf).withColumn("agree", agree))
 
 
 _COV = f"""cv AS (SELECT *, k % 19 <> 0 AS ast, population - covered AS holes, k % 4 <> 0 AS led, k % 6 = 1 AS orc, CASE WHEN k % 8 = 1 THEN 0 ELSE 5 END AS risk FROM m),
@@ -414,11 +416,14 @@ def _coverage_facts(spark, sf):
 
 @query(
     "j_leg_coverage",
-    f"""WITH {_MOD}, {_COV} SELECT module, 'G3' AS id, g3 AS status FROM cx UNION ALL SELECT module, 'G3.1', g31 FROM cx WHERE ast UNION ALL SELECT module, 'G3.2', g32 FROM cx WHERE ast
-    UNION ALL SELECT module, 'D3', 'UNSUPPORTED' FROM cx WHERE ast AND g32 <> 'SUPPORTED' UNION ALL SELECT module, 'D3.1', 'DEFEATED' FROM cx WHERE ast AND orc AND covered - f > 0""",
+    f"""WITH {_MOD}, {_COV} SELECT module, 'G3' AS id, g3 AS status, CAST(NULL AS VARCHAR) AS evidence_kind, covered, population FROM cx
+    UNION ALL SELECT module, 'G3.1', g31, 'STATIC', CASE WHEN led THEN f ELSE covered END, population FROM cx WHERE ast
+    UNION ALL SELECT module, 'G3.2', g32, CASE WHEN safe THEN 'STATIC' ELSE 'TEST' END, big, population FROM cx WHERE ast
+    UNION ALL SELECT module, 'D3', 'UNSUPPORTED', NULL, NULL, NULL FROM cx WHERE ast AND g32 <> 'SUPPORTED'
+    UNION ALL SELECT module, 'D3.1', 'DEFEATED', 'TEST', NULL, NULL FROM cx WHERE ast AND orc AND covered - f > 0""",
 )
 def leg_coverage(spark, sf):
-    return A.leg_coverage(_coverage_facts(spark, sf)).select("module", "id", "status")
+    return A.leg_coverage(_coverage_facts(spark, sf))
 
 
 _CONTRACTS = """ct AS (SELECT 'M' || c_custkey AS module, CASE WHEN o_orderkey IS NOT NULL THEN 'Spec.Thm.t' || o_orderkey END AS theorem, coalesce(o_orderkey % 6 <> 0, false) AS sat, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey)"""
@@ -447,12 +452,12 @@ def contract_assumptions(spark, sf):
     return A.contract_assumptions(_contracts(spark, sf)).select("module", "id", "theorem")
 
 
-_ADEQ = "ad AS (SELECT module, present AND tag = module AS usable, f, big FROM m), g4 AS (SELECT module, CASE WHEN NOT coalesce(usable, false) OR f + big = 0 THEN 'UNDEVELOPED' WHEN big = 0 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS g4 FROM ad)"
+_ADEQ = "ad AS (SELECT module, present AND tag = module AS usable, f, big FROM m), g4 AS (SELECT module, CASE WHEN NOT coalesce(usable, false) OR f + big = 0 THEN 'UNDEVELOPED' WHEN big = 0 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS g4, coalesce(usable, false) AS usable, f, big FROM ad)"
 
 
-@query("j_leg_adequacy", f"WITH {_MOD}, {_ADEQ} SELECT module, 'G4' AS id, g4 AS status FROM g4")
+@query("j_leg_adequacy", f"WITH {_MOD}, {_ADEQ} SELECT module, 'G4' AS id, g4 AS status, CASE WHEN usable THEN 'TEST' END AS evidence_kind, CASE WHEN usable THEN f ELSE 0 END AS covered, CASE WHEN usable THEN f + big ELSE 0 END AS population FROM g4")
 def leg_adequacy(spark, sf):
-    return A.leg_adequacy(_modules(spark, sf).select("module", "present", "tag", F.col("f").alias("killed"), F.col("big").alias("survived"))).select("module", "id", "status")
+    return A.leg_adequacy(_modules(spark, sf).select("module", "present", "tag", F.col("f").alias("killed"), F.col("big").alias("survived")))
 
 
 _VALID = f"""va AS (SELECT module, k % 29 <> 0 AS pres, k % 6 = 0 AS bad, f AS theorems, k % 2 = 0 AS wide FROM m),
@@ -468,9 +473,9 @@ def _axioms(spark, sf):
     )
 
 
-@query("j_leg_validity", f"WITH {_MOD}, {_VALID} SELECT module, 'G5' AS id, g5 AS status FROM g5 UNION ALL SELECT module, 'G5.1', own FROM g5 WHERE pres AND wide")
+@query("j_leg_validity", f"WITH {_MOD}, {_VALID} SELECT module, 'G5' AS id, g5 AS status, CASE WHEN pres THEN 'PROOF' END AS evidence_kind, theorems AS covered, theorems AS population FROM g5 UNION ALL SELECT module, 'G5.1', own, 'PROOF', theorems, theorems FROM g5 WHERE pres AND wide")
 def leg_validity(spark, sf):
-    return A.leg_validity(_axioms(spark, sf)).select("module", "id", "status")
+    return A.leg_validity(_axioms(spark, sf))
 
 
 def _all_claims(spark, sf):
@@ -493,12 +498,13 @@ _TOP0 = _worst("g2", "g3", "g4", "g5")
     f"""WITH {_MOD}, {_FAITH}, {_COV}, {_ADEQ}, {_VALID}, al AS (SELECT module, g2, g3, g4, g5, g2.present, cx.holes FROM g2 JOIN cx USING (module) JOIN g4 USING (module) JOIN g5 USING (module)),
     t0 AS (SELECT *, {_TOP0} AS w FROM al), t1 AS (SELECT *, CASE WHEN holes > 0 THEN {_worst('w', "'UNSUPPORTED'")} ELSE w END AS w1 FROM t0),
     t2 AS (SELECT *, CASE WHEN present THEN {_worst('w1', "'WEAK'")} ELSE w1 END AS status FROM t1)
-    SELECT module, status, status = 'SUPPORTED' AS assertable, CAST((holes > 0)::INT + (g2 <> 'SUPPORTED')::INT + present::INT AS BIGINT) AS n_blockers FROM t2""",
+    SELECT module, g2 AS "G2", g3 AS "G3", g4 AS "G4", g5 AS "G5", status, status = 'SUPPORTED' AS assertable, concat_ws('; ', CASE WHEN holes > 0 THEN holes || ' unresolved holes carried as assumptions' END,
+      CASE WHEN g2 <> 'SUPPORTED' THEN 'faithfulness not established over the whole module' END, CASE WHEN present THEN 'faithfulness is TESTED, not PROVED' END) AS blockers FROM t2""",
 )
 def roll_up(spark, sf):
     """The whole assurance case of every module, from four legs."""
     top = A.roll_up(_all_claims(spark, sf), _coverage_facts(spark, sf).select("module", "holes"))
-    return top.select("module", "status", "assertable", F.size("blockers").cast("bigint").alias("n_blockers"))
+    return top.withColumn("blockers", F.array_join("blockers", "; "))
 
 
 _ARGUMENT = """l AS (SELECT DISTINCT o_custkey AS module, CASE WHEN o_orderkey % 3 = 0 THEN 'E' ELSE 'D' END || (o_orderkey % 5) AS source, CASE WHEN o_orderstatus = 'F' THEN 'COUNTERS' ELSE 'SUPPORTS' END AS type FROM orders),

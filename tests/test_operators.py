@@ -394,3 +394,38 @@ def test_facts_and_kinds_of_the_walk_are_those_of_the_node_table(spark):
     assert rows(ast_tables.holes_of(fs), *key) == rows(ast_tables.extract_holes(nodes), *key)
     hidden = spark.createDataFrame([("M", "f", "f", ["p"], '{"k": "h\\u006fle", "label": "x"}', 0)], fs.schema)
     assert [r.label for r in ast_tables.holes_of(hidden).collect()] == ["x"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_free_names_and_captures_by_walking_up(spark, seed):
+    """Scopes up to five deep, some missing in between, names that are prefixes of each other; one name used and bound everywhere."""
+    rnd = random.Random(seed)
+    scopes = {f"m{m}.py:<module>" for m in range(3)}
+    for _ in range(60):
+        scopes.add(rnd.choice(sorted(scopes)) + "." + rnd.choice(["f", "ff", "f-", "g", "<lambda>"]))
+    gone = set(rnd.sample(sorted(s for s in scopes if s.count(".") > 1), 5))
+    kept = sorted(scopes - gone)
+    uses = [(s, x) for s in kept for x in rnd.sample("abcde", 2) + ["self"]] * 2
+    binds = [(s, x) for s in sorted(scopes) for x in "abcde" if rnd.random() < 0.15] + [(s, "self") for s in kept[::3]]
+    bound, known, up = set(binds), set(kept), lambda s: s.rpartition(".")[0]
+    free = set()
+    for s, x in uses:
+        while s in known and (s, x) not in bound:
+            free.add((s, x))
+            s = up(s)
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    methods = df([(s, s.split(".")[-1]) for s in kept], "full_name STRING, name STRING")
+    bind_df = df(binds, "full_name STRING, ident STRING")
+    got = graph.free_names(methods, df(uses, "full_name STRING, ident STRING"), bind_df)
+    assert rows(got, "full_name", "ident") == sorted(free)
+
+    def captured(s, x):
+        s = up(s)
+        while s:
+            if s in known and not s.split(".")[-1].startswith("<") and (s, x) in bound:
+                return True
+            s = up(s)
+        return False
+
+    closures = graph.captures(methods, got, bind_df)
+    assert rows(closures, "full_name", "is_closure") == [(s, any(captured(f, x) for f, x in free if f == s)) for s in kept]
