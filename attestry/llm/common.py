@@ -66,9 +66,14 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def worker_cache(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker; task functions travel by value, so module globals don't."""
+    """A dictionary that lives in the Python worker until it works for another operator; task functions travel by value, so module globals don't.
+
+    Workers outlive stages and jobs. What one operator has kept is freed when the next one asks for its own.
+    """
     home = sys.modules.setdefault("_attestry_worker_cache", types.ModuleType("_attestry_worker_cache"))
-    return home.__dict__.setdefault(name, {})
+    for other in [k for k, v in vars(home).items() if isinstance(v, dict) and k != name and not k.startswith("__")]:
+        del vars(home)[other]
+    return vars(home).setdefault(name, {})
 
 
 def pylist_batches(batches: Iterable, *columns: str) -> Iterator[tuple]:

@@ -21,7 +21,7 @@ from attestry.llm.common import prepare, pylist_batches, texts, worker_cache, wr
 SEQUENCE = 4096
 END_ID = 2
 GROUP_PIECES = 8192
-CACHED_WORDS = 150_000  # of a generation; a worker that later stages use again keeps two of them
+CACHED_WORDS = 400_000  # of a generation
 SIGNS = ".,!?;:|%*#$()"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

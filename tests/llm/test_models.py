@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-from attestry.llm import language_id, lm_scoring, packing, toxicity
+from attestry.llm import common, language_id, lm_scoring, packing, toxicity
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -151,3 +151,9 @@ def test_pack(spark):
             at += length
         assert at <= 64
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_worker_caches_are_freed_for_the_next_operator():
+    one = common.worker_cache("one")
+    one["a"] = 1
+    assert common.worker_cache("one") is one and common.worker_cache("two") == {} and common.worker_cache("one") == {}
