@@ -32,6 +32,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_
     return docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
 
 
+def whole_row(docs: DataFrame, *without: str) -> Column:
+    """All columns of `docs` but those named as one struct `row`, whatever their names hold, so that none can clash."""
+    return F.struct(*[docs["`" + c.replace("`", "``") + "`"].alias(c) for c in docs.columns if c not in without]).alias("row")
+
+
 def remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo `modulus`; null for a null id."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

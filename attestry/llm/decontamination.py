@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import prepare, texts, written
+from attestry.llm.common import prepare, texts, whole_row, written
 
 WIDTH = 5
 PERCENT = 80
@@ -89,8 +89,8 @@ def contaminated(
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs`, all columns as they are, whose text holds no item. See `contaminated` for the cases."""
-    bad = contaminated(docs, items, id_col, text_col, **options).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_bad_key"), F.col("text_hash").alias("_bad_text"))
+    bad = contaminated(docs, items, id_col, text_col, **options).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text_hash")
     bad = _sent(written(bad.distinct()))
-    key = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
-    text = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    return docs.join(bad, (key == F.col("_bad_key")) & (text == F.col("_bad_text")), "left_anti")
+    key = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("key")
+    text = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("text_hash")
+    return docs.select(whole_row(docs), key, text).join(bad, ["key", "text_hash"], "left_anti").select("row.*")

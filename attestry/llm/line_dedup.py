@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.common import let, prepare, written
+from attestry.llm.common import let, prepare, whole_row, written
 from attestry.llm.linking import linked, shared_keys
 
 SHINGLE = 8
@@ -29,6 +29,7 @@ SKETCH = 14
 BAND = 3
 SENT_LINES = 1_000_000
 NO_ID = -(2**63)
+COUNTS = ("_n_lines", "_n_dropped")
 
 
 def shingle_hashes(line: Column, width: int) -> Column:
@@ -90,8 +91,7 @@ def line_components(lines: DataFrame, width: int, percent: int, sketch: int, ban
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, key, text_hash, text): whole rows as a struct, so that no column of theirs can clash."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    return docs.select(row, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return docs.select(whole_row(docs, *COUNTS), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def dropped_lines(rows: DataFrame, width: int = SHINGLE, percent: int = PERCENT, sketch: int = SKETCH, band: int = BAND, mark: int = MARK) -> DataFrame:
@@ -114,7 +114,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id (null last) and place stays. Blank lines are neither counted nor dropped; lines up to `width` characters are only equal or
     different. A text whose lines are all dropped is empty. Null text counts as empty, and becomes it. Rows that repeat an id and
     a text are one document and each get its result; rows of one id with several texts are ordered by a hash of the text. An empty
-    table gives an empty result; no other column than id and text is read.
+    table gives an empty result; no other column than id and text is read, and columns with the names of the counts are replaced.
+    A line of a million characters is an array of as many shingle hashes in its task.
     """
     prepare(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
@@ -123,5 +124,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.filter("lines", lambda line, i: ~F.array_contains("gone", i))
     counted = F.size(F.filter("lines", lambda line: line.rlike(r"\S")))
     new_text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    columns = [new_text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    columns = [new_text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in COUNTS]
     return out.select(*columns, counted.cast("long").alias("_n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_n_dropped"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.llm.common import prepare, texts, written
+from attestry.llm.common import prepare, texts, whole_row, written
 from attestry.llm.linking import SMALL_KEY, linked
 from attestry.llm.shingles import BASE, WIDTH, digest, mixed, shingle_sets
 
@@ -245,9 +245,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = written(rooted.groupBy("root", "key", "text_hash").agg(F.count("*").alias("m")))
     first = written(counted.groupBy("root").agg(F.min(order).alias("first"), F.sum("m").alias("all")).filter("all > 1").select("root", "first"))
     judged = written(counted.join(first, "root").select("key", "text_hash", (order == F.col("first")).alias("stays"), "m"))
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     key, text_hash = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    rows = docs.select(row, key.alias("key"), text_hash.alias("text_hash"))
+    rows = docs.select(whole_row(docs), key.alias("key"), text_hash.alias("text_hash"))
     gone = judged.filter("NOT stays OR m > 1").select("key", "text_hash")
     out = rows.join(_sent(gone), ["key", "text_hash"], "left_anti")
     again = judged.filter("stays AND m > 1").select("key", "text_hash")
