@@ -170,7 +170,44 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
-@_query("op11_conversation_repair")
+def _crc32_sql(text: str) -> str:
+    """The crc32 of an ASCII text, bit by bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce({steps}, lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) ELSE xor(h >> 1, 3988292384 * (h & 1)) END, 4294967295), 4294967295)"
+
+
+# States: 0 nothing yet, 1 after system, 2 after user, 3 after assistant. Per row and state the least (cost, audit, lines).
+OP11_SQL = rf"""
+    WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate FROM conversations),
+    m AS (SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE fate WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM d WHERE fate <> 0),
+    o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role || ':' || text, copy) AS i,
+        regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body FROM m),
+    f AS MATERIALIZED (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+    g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+    ins AS (SELECT * FROM (VALUES (0, 0, 0, []::VARCHAR[]), (1, 0, 1, []), (2, 0, 2, []), (3, 0, 3, []), (0, 1, 2, ['user:']), (1, 1, 2, ['user:']), (2, 1, 3, ['assistant:']), (3, 1, 2, ['user:']),
+        (0, 2, 3, ['user:', 'assistant:']), (1, 2, 3, ['user:', 'assistant:']), (2, 2, 2, ['assistant:', 'user:']), (3, 2, 3, ['user:', 'assistant:'])) t(came, k, s, made)),
+    p AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': []::VARCHAR[]}} AS best FROM g
+        UNION ALL SELECT conv_id, i, s, min(best) FROM (
+            SELECT p.conv_id, f.i, e.s, {{'cost': p.best.cost + 3 * ins.k + e.cost, 'audit': p.best.audit || repeat('I', ins.k) || e.edit, 'lines': list_concat(list_concat(p.best.lines, ins.made), e.line)}} AS best
+            FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN ins ON ins.came = p.s,
+            LATERAL (SELECT 'D' AS edit, ins.s AS s, 4 AS cost, []::VARCHAR[] AS line
+                UNION ALL SELECT 'R', CASE ins.s WHEN 2 THEN 3 ELSE 2 END, CASE f.fault WHEN '' THEN 3 ELSE 6 END, [CASE ins.s WHEN 2 THEN 'assistant:' ELSE 'user:' END || f.text] WHERE f.fault IN ('', 'truncated')
+                UNION ALL SELECT 'K', CASE f.c WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, CASE f.fault WHEN '' THEN 0 ELSE 3 END, [f.role || ':' || f.text]
+                WHERE f.fault IN ('', 'truncated') AND (f.c = 's' AND ins.s = 0 OR f.c = 'u' AND ins.s <> 2 OR f.c = 'a' AND ins.s = 2)) e) GROUP BY conv_id, i, s),
+    w AS (SELECT p.conv_id, min({{'cost': best.cost + [0, 6, 3, 0][s + 1], 'audit': best.audit || ['', 'II', 'I', ''][s + 1],
+        'lines': list_concat(best.lines, CASE s WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END)}}) AS best
+        FROM p JOIN g ON g.conv_id IS NOT DISTINCT FROM p.conv_id AND p.i = g.n GROUP BY p.conv_id)
+    SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+        coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM a.conv_id
+    """
+
+
+@_query("op11_conversation_repair", OP11_SQL)
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(table(spark, sf_dir, "conversations"))
 
@@ -202,10 +239,8 @@ def _merkle_sql(source_levels: int = 9, top_levels: int = 6) -> str:
             for k in range(levels)
         ]
 
-    crc = """list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
-        lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) ELSE xor(h >> 1, 3988292384 * (h & 1)) END, 4294967295)"""
     ctes = [
-        f"t AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, {leaf('text')} AS leaf, xor({crc}, 4294967295) % 2 = 0 AS hit FROM documents)",
+        f"t AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, {leaf('text')} AS leaf, {_crc32_sql('doc_id::VARCHAR')} % 2 = 0 AS hit FROM documents)",
         f"""x AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, tree, leaf, CASE WHEN hit THEN {leaf("replace(text, chr(10), '')")} ELSE leaf END AS f,
             row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM t)""",
         "a0 AS (SELECT tree, i, leaf AS d, n FROM x)",
