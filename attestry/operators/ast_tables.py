@@ -8,17 +8,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry import rules, schemas
 from attestry.functions import names
+from attestry.operators.opened import Opened
 
 # A function is a place in its corpus; the name is a label, and two functions may share it.
 KEY = ["module", "fn", "fn_pos"]
 
 _TOKEN = re.compile(r'[{}\[\],:]|"(?:[^"\\]|\\.)*"|[^\s{}\[\],:"]+')
 _ROWS_PER_BATCH = 20_000
+_BYTES_PER_PIECE = 1 << 20
 # Key holding the node's own name, by kind.
 _NAME_KEYS = {
     "call": "f", "mcall": "m", "field": "f", "setField": "f", "alloc": "cls", "name": "v", "fnref": "v",
@@ -147,13 +150,53 @@ COUNTS = ["ledger_nodes", "matrix_nodes", "shape_nodes", "holes", "risk"]
 FACTS = ", ".join(f"{c} BIGINT" for c in COUNTS) + ", max_depth INT, calls ARRAY<STRUCT<is_method: BOOLEAN, callee: STRING>>"
 
 
+def _pieces(batch, column: int):
+    """A batch in runs of rows with about a megabyte of bodies, so that the arrays over their signs stay small."""
+    sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy())
+    cuts = np.flatnonzero(np.diff(sizes // _BYTES_PER_PIECE, prepend=0))
+    edges = np.unique(np.concatenate([[0], cuts, [batch.num_rows]]))
+    return (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]))
+
+
+def _spans(o: Opened, wanted, key: str):
+    """Spans of the text under a key of the wanted objects; a value that isn't text makes a body odd."""
+    has, start, length, other = o.values(key, numbers=True)
+    o.odd_where(wanted & other)
+    return has & wanted, start, length
+
+
+def _facts_together(bodies):
+    """`_facts` of all bodies of an array, by columns; the odd ones are walked."""
+    o, n = Opened(bodies), len(bodies)
+    count = lambda mask: np.bincount(o.doc[mask], minlength=n)
+    pruned, under_index, kinds = o.below(*rules.PRUNED_BELOW), o.below("setIndex"), count(o.kind[0])
+    counted = [
+        kinds - count(o.is_kind("seq")), kinds, np.bincount(o.doc, minlength=n), count(o.is_kind(*rules.HOLE_KINDS)),
+        count(o.is_kind(*rules.RISKY_KINDS) & ~pruned & ~under_index), np.zeros(n, np.int64),
+    ]
+    np.maximum.at(counted[5], o.doc, o.depth)
+    calls, data = [set() for _ in range(n)], o.data.tobytes()
+    for kind in ("call", "mcall"):
+        wanted = o.is_kind(kind) & ~pruned
+        has, start, length = _spans(o, wanted, _NAME_KEYS[kind])
+        o.odd_where(wanted & ~has)
+        at = np.flatnonzero(has)
+        for d, a, b in zip(o.doc[at].tolist(), start[at].tolist(), (start[at] + length[at]).tolist()):
+            calls[d].add((kind == "mcall", data[a:b]))
+    columns = [c.tolist() for c in counted] + [[[{"is_method": m, "callee": c} for m, c in found] for found in calls]]
+    for i in np.flatnonzero(o.odd).tolist():
+        for column, fact in zip(columns, _facts(_decode(bodies[i].as_py()))):
+            column[i] = fact
+    return columns
+
+
 def _facts_batches(batches):
     types = [pa.int64()] * 5 + [pa.int32(), pa.list_(pa.struct([("is_method", pa.bool_()), ("callee", pa.string())]))]
     columns = [*KEY, *COUNTS, "max_depth", "calls"]
     for batch in batches:
-        if batch.num_rows:
-            found = list(zip(*(_facts(_decode(b)) for b in batch.column(3).to_pylist())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(f, type=t) for f, t in zip(found, types))], names=columns)
+        for piece in _pieces(batch, 3) if batch.num_rows else ():
+            found = _facts_together(piece.column(3))
+            yield pa.RecordBatch.from_arrays([*piece.columns[:3], *(pa.array(f, type=t) for f, t in zip(found, types))], names=columns)
 
 
 def function_facts(functions: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from attestry.operators import ast_tables, graph, ledger
 from attestry.plans import corpus
 from attestry.plans.corpus import HOLE_LENGTH, WITH_FUNCS, WITH_LINES, WITH_WORDS
 from attestry.plans.registry import query, table
-from attestry.session import cut_lineage
+from attestry.session import stored
 
 _HOLE = f"n >= {HOLE_LENGTH}"
 _WORD_KIND = f"""CASE WHEN {_HOLE} THEN 'hole' WHEN n % 7 = 0 THEN 'call' WHEN n % 7 = 1 THEN 'name'
@@ -298,9 +298,13 @@ def class_defines(spark, sf):
     return graph.class_defines(_requests(functions, corpus.nodes(spark, sf, ["k", "name"])), functions)
 
 
-def _closure(spark, sf, resolver, only=None):
-    functions = corpus.functions(spark, sf).select("module", "name")
-    facts = cut_lineage(ast_tables.function_facts(corpus.functions(spark, sf)))  # read three times, opened once
+def _closing(spark, sf):
+    """What closures need of each function, and all names: read several times by each, so bodies are opened and names made once."""
+    functions = corpus.functions(spark, sf)
+    return stored(ast_tables.function_facts(functions).select(*ast_tables.KEY, "holes", "calls")), stored(functions.select("module", "name"))
+
+
+def _closure(facts, functions, resolver, only=None):
     calls = ast_tables.calls_of(facts)
     calls = calls if only is None else calls.where(only)
     free = facts.where("holes = 0").select("module", F.col("fn").alias("name"), F.col("fn_pos").alias("pos"))
@@ -315,13 +319,14 @@ def _closure(spark, sf, resolver, only=None):
       AND NOT EXISTS (SELECT 1 FROM calls c JOIN resolved r USING (module, is_method, callee) WHERE c.module = f.module AND c.fn = f.name AND NOT r.resolved)""",
 )
 def call_closed(spark, sf):
-    return _closure(spark, sf, graph.resolve_calls)
+    return _closure(*_closing(spark, sf), graph.resolve_calls)
 
 
 @query("c_closure_agrees", "SELECT '' AS module, '' AS name, '' AS only_in WHERE false")
 def closure_agrees(spark, sf):
     """Both derivations of the closure, compared by name: no row means they agree."""
-    return graph.closure_agrees(_closure(spark, sf, graph.resolve_calls), _closure(spark, sf, graph.resolve_calls_by_scan))
+    both = _closing(spark, sf)
+    return graph.closure_agrees(_closure(*both, graph.resolve_calls), _closure(*both, graph.resolve_calls_by_scan))
 
 
 @query(
@@ -332,7 +337,8 @@ def closure_agrees(spark, sf):
 )
 def closure_differs(spark, sf):
     """The same comparison against a derivation that forgets free calls: functions whose only leaks these are must be told."""
-    return graph.closure_agrees(_closure(spark, sf, graph.resolve_calls), _closure(spark, sf, graph.resolve_calls_by_scan, "is_method"))
+    both = _closing(spark, sf)
+    return graph.closure_agrees(_closure(*both, graph.resolve_calls), _closure(*both, graph.resolve_calls_by_scan, "is_method"))
 
 
 _PCT = "CASE WHEN {b} = 0 THEN 'n/a' ELSE CAST(CAST(floor({a} * 100.0 / {b}) AS BIGINT) AS VARCHAR) || '%' END"
