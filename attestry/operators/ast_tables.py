@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from attestry import rules, schemas
 from attestry.functions import names
-from attestry.operators.opened import Opened
+from attestry.operators.opened import QUOTE, Opened
 
 # A function is a place in its corpus; the name is a label, and two functions may share it.
 KEY = ["module", "fn", "fn_pos"]
@@ -229,21 +229,80 @@ def _flatten_batches(columns: list[str], kinds: frozenset | None):
             arrays = [k.take(owner) for k in keys] + [pa.array(by_column[i], type=t) for _, i, t in picked]
             yield pa.RecordBatch.from_arrays(arrays, names=KEY + columns)
 
-    def flatten(batches):
+    def walked(piece):
         heads, rows = [], []
-        for batch in batches:
-            for *key, body in zip(*(c.to_pylist() for c in batch.columns)):
-                before = len(rows)
-                rows.extend(_walk(_decode(body), kinds))
-                heads.append((*key, len(rows) - before))
-                if len(rows) >= _ROWS_PER_BATCH:
-                    yield from emit(heads, rows)
-                    heads, rows = [], []
+        for *key, body in zip(*(c.to_pylist() for c in piece.columns)):
+            before = len(rows)
+            rows.extend(_walk(_decode(body), kinds))
+            heads.append((*key, len(rows) - before))
+            if len(rows) >= _ROWS_PER_BATCH:
+                yield from emit(heads, rows)
+                heads, rows = [], []
         yield from emit(heads, rows)
 
+    def flatten(batches):
+        for batch in batches:
+            for piece in _pieces(batch, 3) if batch.num_rows else ():
+                if not set(columns) <= _TOGETHER:
+                    yield from walked(piece)
+                    continue
+                together, odd = _nodes_together(piece, columns, kinds)
+                for start in range(0, together.num_rows, _ROWS_PER_BATCH):
+                    yield together.slice(start, _ROWS_PER_BATCH)
+                if odd.any():
+                    yield from walked(piece.filter(pa.array(odd)))
+
     return flatten
 
 
+_TOGETHER = {"node_id", "k", "op", "name", "v", "v_type", "label", "under_pruned", "under_set_index", "is_doc"}
+
+
+def _nodes_together(piece, columns: list[str], kinds):
+    """The node rows of a piece of a batch, and which of its bodies are odd: these have no rows here."""
+    o = Opened(piece.column(3))
+    spans, made = {}, {}
+    if "k" in columns:
+        spans["k"] = o.kind[:3]
+    if "name" in columns:
+        spans["name"] = [np.zeros(len(o.doc), t) for t in (bool, np.int64, np.int64)]
+        for key in set(_NAME_KEYS.values()):
+            found = _spans(o, o.is_kind(*[k for k, named in _NAME_KEYS.items() if named == key]), key)
+            for whole, part in zip(spans["name"], found):
+                whole[found[0]] = part[found[0]]
+    if "v" in columns:
+        *spans["v"], other = o.values("v", numbers=True)
+        o.odd_where(other & ~o.holds_object("v"))
+    if "v_type" in columns:
+        has, start, _, other = o.values("v", numbers=True)
+        nested = o.holds_object("v")
+        o.odd_where(other & ~nested)
+        types = np.where(has, np.where(o.data[start - 1] == QUOTE, 0, 1), 2)
+        made["v_type"] = pa.array(["str", "int", "dict"]).take(pa.array(types, mask=~has & ~nested))
+    if "op" in columns:
+        *spans["op"], other = o.values("op", numbers=True)
+        o.odd_where(other | o.is_kind("isOp", "inOp"))
+    if "label" in columns:
+        *spans["label"], other = o.values("label")
+        o.odd_where(other)
+    if "is_doc" in columns:  # only a literal of the first statement opens a docstring run
+        third = np.zeros(len(o.odd), bool)
+        third[o.doc[(o.depth == 3) & o.is_kind("str")]] = True
+        o.odd_where((o.depth == 2) & o.is_kind("exprS") & third[o.doc])
+        made["is_doc"] = np.zeros(len(o.doc), bool)
+    if "under_pruned" in columns:
+        made["under_pruned"] = o.below(*rules.PRUNED_BELOW)
+    if "under_set_index" in columns:
+        made["under_set_index"] = o.below("setIndex")
+    if "node_id" in columns:
+        made["node_id"] = (np.arange(len(o.doc)) - o.first[o.doc]).astype(np.int32)
+    wanted = ~o.odd[o.doc] if kinds is None else ~o.odd[o.doc] & o.is_kind(*kinds)
+    of = lambda c: o.texts(*(x[wanted] for x in spans[c])) if c in spans else pa.array(made[c]).filter(pa.array(wanted))
+    owner = pa.array(o.doc[wanted])
+    arrays = [piece.column(i).cast(t).take(owner) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+    return pa.RecordBatch.from_arrays(arrays + [of(c) for c in columns], names=KEY + columns), o.odd
+
+
 def flatten_ast(functions: DataFrame, columns: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:
     """One row per object of every body, or per object of the named kinds. The only step that opens a tree in Python.
 

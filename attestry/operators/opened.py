@@ -119,6 +119,15 @@ class Opened:
         other[o] = True
         return has, start, length, other
 
+    def holds_object(self, key: str) -> np.ndarray:
+        """Objects whose only value under a key of one sign is an object."""
+        keys = self._short[self.data[self.starts[self._short] + 1] == ord(key)]
+        owner, value = self._owner(self.starts[keys]), self.stops[keys] + 2
+        value += self.data[value] == BLANK
+        found = np.zeros(len(self.opens), bool)
+        found[owner[self.data[value] == OPEN]] = True
+        return found & (np.bincount(owner, minlength=len(found)) == 1)
+
     def is_kind(self, *kinds: str) -> np.ndarray:
         has, start, length, _ = self.kind
         if not hasattr(self, "_codes"):

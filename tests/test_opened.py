@@ -15,7 +15,7 @@ BODIES = [
     json.dumps({"k": "seq", "a": {"k": "call", "f": None, "args": [{"k": "int", "v": -3}]}, "b": {"v": 1}}), json.dumps({"k": "call", "f": "spread"}, indent=1),
     '{"a":{"x":[{"k":"kwargE","n":"q","e":{"k":"mcall","m":"zz","recv":{"k":"name","v":"self"}}}]},"k":"setIndex","v":{"k":"field","f":"é","a":{"k":"int","v":7}}}',
     '[{"k":"call","f":"listed"}]', "{}", '{"k":3}', '{"args":[{"f":"y","k":"call"},[{"k":"hole"}]],"k":"call","f":7}', DEEP,
-    '{"k":"seq","a":{"k":"exprS","e":{"k":"str","v":"doc"}},"b":{"k":"raise","e":{"k":"float","v":1.5}}}', '{"k":"bool","v":true}', '{"k":"int","v":0}',
+    '{"k":"seq","a":{"k":"exprS","e":{"k":"str","v":"doc"}},"b":{"k":"raise","e":{"k":"float","v":1.5}}}', '{"k":"bool","v":true}', '{"k":"isOp","neg":true,"a":{"k":"binop","op":"+"}}', '{"k":"binop","op":"-","a":{"k":"unit"},"v":{"k":"int","v":10}}', '{"k":"int","v":0}',
 ]
 
 
@@ -32,3 +32,16 @@ def test_both_closures_open_each_body_once(spark, monkeypatch):
     monkeypatch.setattr(ast_tables, "function_facts", lambda functions: opened.append(1) or facts(functions))
     assert QUERIES["c_closure_agrees"](spark, "/root/testdata/sf0.001").count() == 0
     assert len(opened) == 1
+
+
+def test_nodes_together_are_those_of_the_walk():
+    columns = ["node_id", "k", "op", "name", "label", "v", "v_type", "under_pruned", "under_set_index", "is_doc"]
+    bodies = [b for b in BODIES if b != '{"k":3}']  # a kind that is a number is refused by the walk
+    n = len(bodies)
+    batch = pa.RecordBatch.from_arrays([pa.array(["m"] * n), pa.array([f"f{i}" for i in range(n)]), pa.array(range(n)), pa.array(bodies)], names=[*ast_tables.KEY, "body"])
+    for kinds in (None, frozenset(["call", "mcall"])):
+        got = [tuple(r.values()) for b in ast_tables._flatten_batches(columns, kinds)([batch]) for r in b.to_pylist()]
+        at = [ast_tables._WALK_COLUMNS.index(c) for c in columns]
+        want = [("m", f"f{i}", i, *(row[j] for j in at)) for i, b in enumerate(bodies) for row in ast_tables._walk(ast_tables._decode(b), kinds)]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert len(list(ast_tables._nodes_together(batch, columns, kinds)[1].nonzero()[0])) < n // 2 + 1
