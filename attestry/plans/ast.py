@@ -285,7 +285,7 @@ _REQUESTED = _REQUESTS + f" AND NOT ({_HOLE})"
 )
 def resolve_method(spark, sf):
     functions = corpus.functions(spark, sf).select("module", "name", "pos")
-    return graph.resolve_method(_requests(functions, corpus.nodes(spark, sf, ["k", "name"])), functions)
+    return graph.resolve_method(_requests(functions, corpus.nodes(spark, sf, ["k", "name"], ["call"])), functions)
 
 
 @query(
@@ -295,7 +295,7 @@ def resolve_method(spark, sf):
 )
 def class_defines(spark, sf):
     functions = corpus.functions(spark, sf).select("module", "name", "pos")
-    return graph.class_defines(_requests(functions, corpus.nodes(spark, sf, ["k", "name"])), functions)
+    return graph.class_defines(_requests(functions, corpus.nodes(spark, sf, ["k", "name"], ["call"])), functions)
 
 
 def _closing(spark, sf):
