@@ -304,29 +304,26 @@ def param_types(name, n_params):
 def boundary_domain(signatures: DataFrame, n: int = 8, seed: int = 20260819) -> DataFrame:
     """Up to n distinct typed argument vectors per function, drawn from the edges by a seeded hash.
 
-    Each of 4n attempts is one row made by a sequence, so the pool is never multiplied out. signatures(fn, n_params).
+    The 4n attempts of a function are one array of its row, so only rows of functions are grouped, and the pool is never multiplied
+    out. signatures(fn, n_params); arities of one name draw in turn.
     """
     ints = F.array(*[F.lit(f'["int",{i}]') for i in INT_EDGES])
     strs = F.array(*[F.lit(f'["str","{s}"]') for s in STR_EDGES])
     bools = F.array(F.lit('["bool",false]'), F.lit('["bool",true]'))
     every = F.concat(ints, strs, bools)
-    tries = signatures.select(
-        "fn", param_types(F.col("fn"), F.col("n_params")).alias("types"), F.explode(F.sequence(F.lit(0), F.lit(4 * n - 1))).alias("i")
-    )
 
-    def draw(t, j):
+    def draw(t, i, j):
         pool = F.when(t == "int", ints).when(t == "str", strs).when(t == "bool", bools).otherwise(every)
-        h = F.conv(F.substring(F.md5(F.concat_ws(":", "fn", F.col("i"), j, F.lit(seed))), 1, 8), 16, 10).cast("bigint")
+        h = F.conv(F.substring(F.md5(F.concat_ws(":", "fn", i, j, F.lit(seed))), 1, 8), 16, 10).cast("bigint")
         return F.element_at(pool, (h % F.size(pool) + 1).cast("int"))
 
-    drawn = tries.withColumn("args", F.transform("types", draw))
-    return (
-        drawn.groupBy("fn", "args")
-        .agg(F.min("i").alias("i"))
-        .withColumn("r", F.row_number().over(Window.partitionBy("fn").orderBy("i")))
-        .where(F.col("r") <= n)
-        .select("fn", F.col("r").alias("case_no"), "args")
-    )
+    attempts = F.sequence(F.lit(0), F.lit(4 * n - 1))
+    vector = lambda i: F.transform("arities", lambda p: F.transform(param_types(F.col("fn"), p), lambda t, j: draw(t, i, j)))
+    drawn = F.slice(F.array_distinct(F.flatten(F.transform(attempts, vector))), 1, n)
+    # Small rows that mean much work: a number of tasks of its own, which adaptive execution doesn't merge by bytes.
+    tasks = 4 * signatures.sparkSession.sparkContext.defaultParallelism
+    named = signatures.select("fn", "n_params").repartition(tasks, "fn").groupBy("fn").agg(F.sort_array(F.collect_set("n_params")).alias("arities"))
+    return named.select("fn", F.posexplode(drawn).alias("r", "args")).select("fn", (F.col("r") + 1).alias("case_no"), "args")
 
 
 def fuel_guard(laws: DataFrame, answers: DataFrame, flags: DataFrame) -> DataFrame:

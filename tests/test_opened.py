@@ -45,3 +45,12 @@ def test_nodes_together_are_those_of_the_walk():
         want = [("m", f"f{i}", i, *(row[j] for j in at)) for i, b in enumerate(bodies) for row in ast_tables._walk(ast_tables._decode(b), kinds)]
         assert sorted(got, key=str) == sorted(want, key=str)
         assert len(list(ast_tables._nodes_together(batch, columns, kinds)[1].nonzero()[0])) < n // 2 + 1
+
+
+def test_boundary_attempts_stay_in_the_row_of_their_function(spark):
+    from attestry.operators import laws
+
+    found = laws.boundary_domain(spark.createDataFrame([("f:int(int, bool)", 2), ("f:int(int, bool)", 2), ("g", 1)], "fn string, n_params int"))
+    assert found.groupBy("fn").count().where("count = 8").count() == 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.index("Generate") < plan.index("Aggregate")
