@@ -4,6 +4,7 @@ import json
 import random
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -429,3 +430,14 @@ def test_free_names_and_captures_by_walking_up(spark, seed):
 
     closures = graph.captures(methods, got, bind_df)
     assert rows(closures, "full_name", "is_closure") == [(s, any(captured(f, x) for f, x in free if f == s)) for s in kept]
+
+
+def test_batches_of_the_screening_are_bounded(spark):
+    """What a worker holds at once is bounded in rows and bytes: 20,000 short problems, and 64 of a megabyte."""
+    text = "-- é\n/- /- b -/ -/ y"
+    held = F.arrow_udf(lambda c: pa.array([len(c)] * len(c), pa.int64()), "bigint")
+    most = lambda df: df.select(held("spec").alias("n")).agg(F.max("n")).first()[0]
+    assert most(spark.range(0, 20_000, 1, 1).select(F.concat(F.lit(text), "id").alias("spec"))) <= 1_000
+    long = spark.range(0, 64, 1, 1).select(F.repeat(F.lit(text + "\n"), 50_000).alias("spec"))
+    assert most(long) <= 16
+    assert {r.bare for r in long.select(specs.without_comments("spec").alias("bare")).collect()} == {"\n y\n" * 50_000}
