@@ -204,14 +204,14 @@ class Machine:
         x, y = word.wrap(a).cast("bigint"), word.wrap(b).cast("bigint")
         bits = {"&": x.bitwiseAND(y), "|": x.bitwiseOR(y), "^": x.bitwiseXOR(y)}[op].cast(INT)
         too_wide = self.unbounded & ~(word.in_range(a) & word.in_range(b))
-        return F.when(too_wide, _result("unrepresentable")).otherwise(_ok(self.wrap(bits)))
+        return F.when(too_wide, _result("unrepresentable")).otherwise(let(bits, lambda x: _ok(self.wrap(x))))
 
     def invert(self, a):
-        return _ok(self.wrap((-a - 1).cast(INT)))
+        return let((-a - 1).cast(INT), lambda x: _ok(self.wrap(x)))
 
 
-def apply_int(op: Column, a: Column, b: Column, machine: Machine | None = None) -> Column:
-    """The integer operation named by `op`; NULL when the name is none of them."""
+def apply_int(op: Column, a: Column, b: Column, machine: Machine | None = None, only: list[str] | None = None) -> Column:
+    """The integer operation named by `op`, of those in `only` if given; NULL when the name is none of them."""
     m = machine or Machine()
     table = {
         "+": m.add(a, b), "-": m.sub(a, b), "*": m.mul(a, b), "/": m.div(a, b), "//": m.div(a, b), "%": m.mod(a, b),
@@ -221,5 +221,74 @@ def apply_int(op: Column, a: Column, b: Column, machine: Machine | None = None)
     }
     chosen = F
     for name, result in table.items():
-        chosen = chosen.when(op == name, result)
+        if only is None or name in only:
+            chosen = chosen.when(op == name, result)
     return chosen.otherwise(F.lit(None).cast(RESULT))
+
+
+# Operands whose product fits 64 bits.
+SHORT = 3_037_000_499
+
+
+def apply_rows(rows: DataFrame, ops: list[str]) -> DataFrame:
+    """rows(op, a, b, fields of a configuration): adds `outcome` and the value, as `short` (BIGINT) or as `wide` (DECIMAL).
+
+    Operands up to SHORT are computed in BIGINT by generated code, one plain expression a row; larger or missing ones, and left shifts
+    that may leave 64 bits, by `apply_int`. The value is in one of the two columns, and in none where the outcome isn't ok.
+    """
+    op, c = F.col("op"), F.col
+    # An operand beyond 64 bits is null here, so that its row goes to `apply_int`.
+    cells = rows.withColumn("_a", c("a").try_cast("bigint")).withColumn("_b", c("b").try_cast("bigint"))
+    a, b, unbounded = c("_a"), c("_b"), c("is_signed").isNull()
+    left, right = op == "<<", op.isin(">>", ">>>")
+    in_width = (b >= 0) & (unbounded | (b < c("bits")))
+    width = F.nullif("bits", F.lit(0))
+    masked = F.when(unbounded, 0).otherwise((b % width + width) % width)
+    cells = cells.withColumn("_n", F.when(left | right, F.when(in_width, b).when(c("on_shift") == "wrap", masked)))
+    n = c("_n")
+    wraps_64 = c("is_signed") & (c("bits") == 64) & ~c("on_overflow").isin("undefined", "trap")
+    kept = ~left | n.isNull() | (n <= 31) | F.coalesce(wraps_64, F.lit(False))
+    known = unbounded | (c("bits") < 64) | c("is_signed")
+    quick = F.coalesce(a.between(-SHORT, SHORT) & b.between(-SHORT, SHORT) & known & kept, F.lit(False))
+
+    cut = F.when(unbounded, 0).otherwise(64 - c("bits")).cast("int")
+    shift = lambda name, x, by: F.call_function(name, x, by.cast("int"))
+    logical = (a < 0) & ((op == ">>>") | F.coalesce(c("neg_shift") == "logical", F.lit(False)))
+    # A negative pattern of the width, moved to the top of the word and back by its missing bits and the count at once.
+    zero_filled = F.when(n + cut > 63, 0).otherwise(shift("shiftrightunsigned", shift("shiftleft", a, cut), n + cut))
+    shifted = F.when(logical, zero_filled).otherwise(shift("shiftright", a, F.least(n, F.lit(63))))
+    divisor = F.nullif(b, F.lit(0))
+    rest = F.when(c("rounding") == "floor", (a % divisor + divisor) % divisor).otherwise(a % divisor)
+    forms = {
+        "+": a + b, "-": a - b, "*": a * b, "neg": -a, "~": -a - 1, "&": a.bitwiseAND(b), "|": a.bitwiseOR(b), "^": a.bitwiseXOR(b),
+        "<<": shift("shiftleft", a, n), ">>": shifted, ">>>": shifted, "/": c("_q"), "//": c("_q"), "%": c("_rest"),
+    }
+    exact = F
+    for name, form in forms.items():
+        if name in ops:
+            exact = exact.when(op == name, form)
+    fast = cells.where(quick).withColumn("_cut", cut)
+    if {"/", "//", "%"} & set(ops):
+        fast = fast.withColumn("_rest", rest).withColumn("_q", F.call_function("div", a - c("_rest"), divisor))
+    fast = fast.withColumn("_x", exact.otherwise(F.lit(None).cast("bigint")))
+    within = lambda x: F.when(F.coalesce(c("is_signed"), F.lit(True)), shift("shiftright", shift("shiftleft", x, c("_cut")), c("_cut"))).otherwise(
+        shift("shiftrightunsigned", shift("shiftleft", x, c("_cut")), c("_cut"))
+    )
+    fast = fast.withColumn("_w", within(c("_x")))
+    tested = (F.when(op == "%", c("_q") != within(c("_q"))).otherwise(c("_x") != c("_w"))) if "%" in ops else c("_x") != c("_w")
+    leaves = F.coalesce(c("is_signed"), F.lit(False)) & op.isin("+", "-", "*", "neg", "<<", "/", "//", "%") & tested
+    by_policy = lambda policy, otherwise: F.when(policy == "undefined", "ub").when(policy == "trap", "trap").otherwise(otherwise)
+    refused = right & (a < 0) & F.when(op == ">>>", unbounded).otherwise((c("neg_shift") == "undefined") | logical & unbounded)
+    outcome = (
+        F.when(op.isin("/", "//", "%") & (b == 0), "divZero")
+        .when((left | right) & n.isNull(), by_policy(c("on_shift"), "ub"))
+        .when(F.coalesce(refused, F.lit(False)), "ub")
+        .when(leaves, by_policy(c("on_overflow"), "ok"))
+        .otherwise("ok")
+    )
+    none = lambda kind: F.lit(None).cast(kind)
+    fast = fast.withColumn("outcome", outcome).select(
+        *rows.columns, "outcome", F.when(c("outcome") == "ok", c("_w")).alias("short"), none(INT).alias("wide")
+    )
+    slow = cells.where(~quick).withColumn("_r", apply_int(op, c("a").cast(INT), c("b").cast(INT), only=ops))
+    return fast.unionByName(slow.select(*rows.columns, c("_r.outcome").alias("outcome"), none("bigint").alias("short"), c("_r.value").alias("wide")))

@@ -441,3 +441,16 @@ def test_batches_of_the_screening_are_bounded(spark):
     long = spark.range(0, 64, 1, 1).select(F.repeat(F.lit(text + "\n"), 50_000).alias("spec"))
     assert most(long) <= 16
     assert {r.bare for r in long.select(specs.without_comments("spec").alias("bare")).collect()} == {"\n y\n" * 50_000}
+
+
+def test_short_operands_agree_with_decimal_ones(spark):
+    """Every configuration and operation at the edges of 32 and 64 bits; most rows take the 64-bit way, and give what DECIMAL gives."""
+    edges = [0, 1, -1, 2, -7, 31, 32, 63, 64, 68, 2**31 - 1, -(2**31), 2**31, -(2**31) - 1, numeric.SHORT, -numeric.SHORT, numeric.SHORT + 1, 2**63 - 1, -(2**63), 2**70, None]
+    ops = ["+", "-", "*", "/", "//", "%", "&", "|", "^", "<<", ">>", ">>>", "neg", "~"]
+    cells = spark.createDataFrame([(None if x is None else Decimal(x),) for x in edges], "a decimal(38,0)")
+    cells = cells.crossJoin(cells.withColumnRenamed("a", "b")).crossJoin(numeric.configs(spark)).withColumn("op", F.explode(F.array(*map(F.lit, ops))))
+    found = numeric.apply_rows(cells, ops).select("config", "op", "a", "b", "outcome", F.coalesce(F.col("short").cast(numeric.INT), "wide").alias("v"), F.col("short").isNotNull().alias("quick"))
+    wanted = cells.select("config", "op", "a", "b", numeric.apply_int(F.col("op"), F.col("a"), F.col("b"), only=ops).alias("r")).select("config", "op", "a", "b", "r.outcome", F.col("r.value").alias("v"))
+    key = lambda r: tuple(str(r[c]) for c in ("config", "op", "a", "b", "outcome", "v"))
+    got = found.collect()
+    assert sorted(map(key, got)) == sorted(map(key, wanted.collect())) and sum(r.quick for r in got) > len(got) / 4
