@@ -18,8 +18,10 @@ BATCH_ROWS = 2000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings of these operators: bounded Arrow batches, adaptive joins that split hot keys."""
+    """Session settings of these operators: bounded Arrow batches, adaptive joins that split hot keys, and shuffles that are
+    removed when the query that made them ends, not when the driver next collects garbage. A frame that is run again shuffles again."""
     tune(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark

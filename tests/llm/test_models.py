@@ -157,3 +157,14 @@ def test_worker_caches_are_freed_for_the_next_operator():
     one = common.worker_cache("one")
     one["a"] = 1
     assert common.worker_cache("one") is one and common.worker_cache("two") == {} and common.worker_cache("one") == {}
+
+
+def test_lm_scores_ask_once_for_each_gram_of_a_chunk(spark):
+    words = [f"w{k % 70}" for k in range(500)]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i in range(40)], "doc_id long, text string").coalesce(1)
+    chunks = docs.mapInArrow(lm_scoring._chunks, lm_scoring.CHUNKS)
+    assert [(r.n_words, len(r.ids)) for r in chunks.collect()] == [(40 * 500, 40)]
+    asked = chunks.mapInArrow(lm_scoring._asked(None, 3, 7), lm_scoring.ASKED).collect()
+    grams = np.concatenate([np.cumsum(lm_scoring.unpacked(r.grams, r.n, np.uint64), dtype=np.uint64) for r in asked])
+    counts = np.concatenate([lm_scoring.unpacked(r.counts, r.n, np.int64) for r in asked])
+    assert len(grams) == len(set(grams.tolist())) == 3 * 70 and counts.sum() == 40 * (500 + 499 + 498)
