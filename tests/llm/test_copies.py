@@ -26,6 +26,13 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rounds_of_components_are_followed(spark):
+    rounds = [{1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 8: 7, 7: 7}, {1: 1, 3: 1, 5: 3}, {1: 1, 3: 1}]
+    tables = [spark.createDataFrame(list(r.items()), "node long, up long") for r in rounds]
+    got = sorted(map(tuple, components.followed(tables).collect()))
+    assert got == [(k, 1) for k in range(1, 7)] + [(7, 7), (8, 7)]
+
+
 @pytest.mark.parametrize("block_hash", [F.xxhash64, lambda b: F.crc32(b) % 5])
 def test_exact_dedup(spark, block_hash):
     rnd = random.Random(5)
