@@ -85,7 +85,10 @@ def line_components(lines: DataFrame, width: int, percent: int, sketch: int, ban
         shared = F.size(F.array_intersect(shingle_hashes(F.col("line_a"), width), shingle_hashes(F.col("line_b"), width)))
         return written(both.filter((100 + percent) * shared >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
 
-    return linked(index, verified)
+    def sets(classes: DataFrame) -> DataFrame:
+        return written(found.join(classes, "cls", "left_semi").select("cls", F.array_distinct(shingle_hashes(F.col("line"), width)).alias("items")))
+
+    return linked(index, verified, sets, percent)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -170,9 +170,8 @@ class _Join:
         enough = (100 + self.percent) * F.least("resta", "restb") >= self.percent * (F.col("na") + F.col("nb"))
         return pairs.filter(enough & (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")))
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """(cls, shingles) of the classes in `pairs`, from one text each."""
-        wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(cls, shingles) of the classes `wanted` (cls), from one text each."""
         ids = _sent(written(wanted.join(self.classes, "cls").select("doc_id").distinct()))
         found = self.rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(ids, "doc_id", "left_semi").select("doc_id", "text")
         return written(found.mapInArrow(_sets(self.width), "cls long, shingles array<long>").dropDuplicates(["cls"]))
@@ -182,7 +181,7 @@ class _Join:
         pairs = written(pairs.select("a", "b"))
         if pairs.isEmpty():
             return pairs
-        sets = self.sets(pairs)
+        sets = self.sets(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
         side = lambda x: sets.select(F.col("cls").alias(x), F.col("shingles").alias(f"s{x}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a")
         shared = F.size(F.array_intersect("sa", "sb"))
@@ -201,6 +200,8 @@ def _rooted(rows: DataFrame, width: int, percent: int, common_share: float, pair
     roots = linked(
         index,
         lambda pairs: work.verified(work.sized(pairs)),
+        lambda classes: work.sets(classes).withColumnRenamed("shingles", "items"),
+        percent,
         lambda star: work.sized(star).filter("20 * shared >= least(na, nb)"),
         lambda pairs: work.sized(pairs).filter((F.col("odd") > 0) | (F.col("shared") >= need)),
         small,

@@ -5,7 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from attestry.llm import components, decontamination, exact_dedup, line_dedup, ngram_join
+from attestry.llm import components, decontamination, exact_dedup, line_dedup, linking, ngram_join
 from pyspark.sql import functions as F
 
 from . import brute
@@ -33,6 +33,36 @@ def test_rounds_of_components_are_followed(spark):
     assert got == [(k, 1) for k in range(1, 7)] + [(7, 7), (8, 7)]
 
 
+@pytest.mark.parametrize("percent, turns", [(80, 3), (80, 1), (80, 0), (60, 3), (100, 3)])
+def test_near_copies_around_the_threshold(spark, percent, turns):
+    """One key of copies of which most are too far from each other: looked at are few pairs, and no link is lost."""
+    rnd = random.Random(percent)
+    base, fresh = list(range(100)), iter(range(1000, 100_000))
+    sets = {0: set(base), 1: {next(fresh) for _ in range(90)}}
+    for k in range(2, 250):
+        of = set(rnd.choice(list(sets.values())) if k % 5 == 0 else base)
+        for _ in range(rnd.choice([0, 1, 3, 4, 5, 5, 6, 9])):
+            at = rnd.randrange(100)
+            of = of - set(range(at, at + 4)) | {next(fresh) for _ in range(rnd.choice([0, 4, 4, 4]))}
+        sets[k] = of
+    sets[250] = set(base[:10])
+    looked = []
+
+    def verified(pairs):
+        rows = [(r.a, r.b) for r in pairs.collect()]
+        looked.extend(rows)
+        return spark.createDataFrame([(a, b) for a, b in rows if (100 + percent) * len(sets[a] & sets[b]) >= percent * (len(sets[a]) + len(sets[b]))], "a long, b long")
+
+    items = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "cls long, items array<long>")
+    index = spark.createDataFrame([(key, k, 1) for key in (5, 6) for k in sets], "key long, cls long, least long")
+    got = linking.linked(index, verified, lambda classes: items.join(classes, "cls", "left_semi"), percent, small=16, turns=turns)
+    links = [(a, b) for a in sets for b in sets if a < b and (100 + percent) * len(sets[a] & sets[b]) >= percent * (len(sets[a]) + len(sets[b]))]
+    root = {r.node: r.root for r in got.collect()}
+    assert {k: root.get(k, k) for k in sets} == {k: r for k, r in brute.roots(set(sets), links).items()}
+    if turns == 3:
+        assert len(looked) < 15 * len(sets)
+
+
 @pytest.mark.parametrize("block_hash", [F.xxhash64, lambda b: F.crc32(b) % 5])
 def test_exact_dedup(spark, block_hash):
     rnd = random.Random(5)
