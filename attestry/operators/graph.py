@@ -402,6 +402,36 @@ def captures(methods: DataFrame, free: DataFrame, binds: DataFrame) -> DataFrame
     )
 
 
+def closures(methods: DataFrame, uses: DataFrame, binds: DataFrame) -> DataFrame:
+    """`captures` of the `free_names`, in one pass over uses and binds.
+
+    All binders of a name around a use are as far up as the innermost one, or further. So where the name is free below that, all
+    binders of it are around, and the scopes in which it is free are closures if one of these is a function.
+    """
+    depth = lambda name: F.size(F.split(name, "[.]", -1))
+    known = methods.select("full_name").distinct()
+    # A use outside the methods counts nowhere, so no binder deeper than they are can hold one that does.
+    deepest = methods.agg(F.max(depth("full_name"))).first()[0] or 0
+    functions = methods.where(~F.col("name").startswith("<")).select("full_name").distinct().withColumn("fn", F.lit(True))
+    names = binds.select("full_name", "ident", F.lit(0).alias("use")).unionByName(uses.select("full_name", "ident", F.lit(1).alias("use"))).distinct()
+    events = names.join(functions, "full_name", "left")
+    walk = Window.partitionBy(F.substring_index("full_name", ".", 1), "ident").orderBy(F.translate("full_name", ".", "\x01"), "use")
+    so_far = walk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = [F.last(F.when((F.col("use") == 0) & (depth("full_name") == d), F.struct(F.col("full_name").alias("name"), "fn")), True).over(so_far).alias(f"at_{d}") for d in range(1, deepest + 1)]
+    seen = events.select("full_name", "use", *last).where("use = 1")
+    holds = [(F.col("full_name") == F.col(f"at_{d}.name")) | F.startswith("full_name", F.concat(F.col(f"at_{d}.name"), F.lit("."))) for d in range(1, deepest + 1)]
+    none = F.lit(None).cast("int")
+    bound_at = depth("full_name") - F.greatest(none, none, *[F.when(h, d) for d, h in enumerate(holds, 1)])
+    around = F.greatest(F.lit(False), F.lit(False), *[h & F.col(f"at_{d}.fn") for d, h in enumerate(holds, 1)])
+    farthest = seen.where(around).select("full_name", bound_at.alias("bound_at")).groupBy("full_name").agg(F.max("bound_at").alias("bound_at"))
+    chain = _prefix_chain(known, with_self=True).join(known.select(F.col("full_name").alias("ancestor"), F.lit(True).alias("exists")), "ancestor", "left")
+    gaps = chain.groupBy("full_name").agg(F.min(F.when(F.col("exists").isNull(), F.col("level"))).alias("gap"))
+    free = farthest.join(gaps, "full_name").withColumn("n", F.least("gap", "bound_at")).where("n > 0")
+    free = free.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    captured = free.select(_above(F.col("full_name"), F.col("level")).alias("full_name")).distinct().withColumn("is_closure", F.lit(True))
+    return known.join(captured, "full_name", "left").select("full_name", F.coalesce("is_closure", F.lit(False)).alias("is_closure"))
+
+
 def class_captures(classes: DataFrame, method_captures: DataFrame) -> DataFrame:
     """A class captures when any method below it does."""
     inside = (

@@ -188,7 +188,7 @@ def free_names(spark, sf):
 )
 def captures(spark, sf):
     methods, uses, binds = _scopes(spark, sf)
-    return graph.captures(methods, graph.free_names(methods, uses, binds), binds)
+    return graph.closures(methods, uses, binds)
 
 
 @query(
@@ -202,7 +202,7 @@ def captures(spark, sf):
 def class_captures(spark, sf):
     """The middle scopes stand for classes."""
     methods, uses, binds = _scopes(spark, sf)
-    found = graph.captures(methods, graph.free_names(methods, uses, binds), binds)
+    found = graph.closures(methods, uses, binds)
     return graph.class_captures(methods.where("name LIKE 'f%'"), found)
 
 

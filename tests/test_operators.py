@@ -454,3 +454,20 @@ def test_short_operands_agree_with_decimal_ones(spark):
     key = lambda r: tuple(str(r[c]) for c in ("config", "op", "a", "b", "outcome", "v"))
     got = found.collect()
     assert sorted(map(key, got)) == sorted(map(key, wanted.collect())) and sum(r.quick for r in got) > len(got) / 4
+
+
+def test_closures_in_one_pass(spark):
+    """The same as captures of the free names, but binders are sorted once; before, they were twice."""
+    rnd = random.Random(4)
+    scopes = ["m:<module>", *[f"m:<module>.f{i}" for i in range(3)], *[f"m:<module>.f{i}.g{j}" for i in range(3) for j in range(2)], "m:<module>.f0.g0.h", "m:<module>.f1.<lambda>.k", "m:<module>.f1.<lambda>", "m:<module>.q.r.s"]
+    methods = spark.createDataFrame([(x, x.split(".")[-1] if "." in x else "<module>") for x in scopes], "full_name string, name string")
+    row = lambda n: spark.createDataFrame([(rnd.choice([*scopes, "m:<module>.f1.g1.x.y"]), rnd.choice("abc")) for _ in range(n)], "full_name string, ident string")
+    closed = 0
+    for _ in range(3):
+        uses, binds = row(20), row(9)
+        got = graph.closures(methods, uses, binds)
+        rows = sorted(map(tuple, got.collect()))
+        assert rows == sorted(map(tuple, graph.captures(methods, graph.free_names(methods, uses, binds), binds).collect()))
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+        closed += sum(x[1] for x in rows)
+    assert closed > 0
