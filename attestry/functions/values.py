@@ -171,9 +171,12 @@ def code_point(text: Column) -> Column:
 
 
 def character(code: Column) -> Column:
-    """`chr` of a code point, through UTF-32 bytes: Spark's own `chr` wraps at 256. Surrogates are unanswered."""
+    """`chr` of a code point, through UTF-32 bytes: Spark's own `chr` wraps at 256. Surrogates are unanswered.
+
+    The bytes begin with a mark of their order, since the decoder takes the first U+FEFF for one.
+    """
     valid = (code >= 0) & (code < 1114112) & ~code.between(55296, 57343)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32"))
+    return F.when(valid, F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(F.when(valid, code)), 8, "0"))), "UTF-32"))
 
 
 def list_count(items: Column, x: Column) -> Column:

@@ -91,3 +91,15 @@ def test_all_rules_of_the_contract(spark, small):
     assert all(r.violations == (bad[r.module] if r.rule == "known_extension" else 0) for r in got)
     needed = {"required_fields", "int_exact", "hole_label", "label_namespaced", "known_kind", "unquoted_literals"}
     assert all(r.failed == (r.violations > 0 or r.checked == 0 and r.rule in needed) for r in got)
+
+
+def test_builtin_calls_on_odd_texts(spark, tmp_path):
+    """A byte order mark at the start, an empty text and no text at all, against the SQL."""
+    texts = ["\ufeffab c", "\ufeff", "", None, " ", "a\ufeff", "\x00b", "\U0001f468 x", "\u0301 y"]
+    folder = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").coalesce(1).write.parquet(folder)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/*.parquet'")
+    cursor = con.execute(ORACLE["k_builtin_calls"])
+    got = QUERIES["k_builtin_calls"](spark, str(tmp_path)).select(*[f"`{d[0]}`" for d in cursor.description]).collect()
+    assert sorted(tuple(r) for r in got) == sorted(cursor.fetchall())
