@@ -152,7 +152,7 @@ FACTS = ", ".join(f"{c} BIGINT" for c in COUNTS) + ", max_depth INT, calls ARRAY
 
 def _pieces(batch, column: int):
     """A batch in runs of rows with about a megabyte of bodies, so that the arrays over their signs stay small."""
-    sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy())
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
     cuts = np.flatnonzero(np.diff(sizes // _BYTES_PER_PIECE, prepend=0))
     edges = np.unique(np.concatenate([[0], cuts, [batch.num_rows]]))
     return (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]))
@@ -258,6 +258,13 @@ def _flatten_batches(columns: list[str], kinds: frozenset | None):
 _TOGETHER = {"node_id", "k", "op", "name", "v", "v_type", "label", "under_pruned", "under_set_index", "is_doc"}
 
 
+def _odd_where_documented(o: Opened) -> None:
+    """Bodies that may hold a docstring are odd: only a literal of the first statement opens a docstring run."""
+    third = np.zeros(len(o.odd), bool)
+    third[o.doc[(o.depth == 3) & o.is_kind("str")]] = True
+    o.odd_where((o.depth == 2) & o.is_kind("exprS") & third[o.doc])
+
+
 def _nodes_together(piece, columns: list[str], kinds):
     """The node rows of a piece of a batch, and which of its bodies are odd: these have no rows here."""
     o = Opened(piece.column(3))
@@ -285,10 +292,8 @@ def _nodes_together(piece, columns: list[str], kinds):
     if "label" in columns:
         *spans["label"], other = o.values("label")
         o.odd_where(other)
-    if "is_doc" in columns:  # only a literal of the first statement opens a docstring run
-        third = np.zeros(len(o.odd), bool)
-        third[o.doc[(o.depth == 3) & o.is_kind("str")]] = True
-        o.odd_where((o.depth == 2) & o.is_kind("exprS") & third[o.doc])
+    if "is_doc" in columns:
+        _odd_where_documented(o)
         made["is_doc"] = np.zeros(len(o.doc), bool)
     if "under_pruned" in columns:
         made["under_pruned"] = o.below(*rules.PRUNED_BELOW)
@@ -431,28 +436,49 @@ def docstrings(nodes: DataFrame) -> DataFrame:
     )
 
 
-def artifact_census(nodes: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per module: docstrings, doctests and raises from bodies; asserts, property tests, test files from text."""
-    zero = F.lit(0).cast("bigint")
-    raises = nodes.groupBy("module").agg(F.count_if(F.col("k") == "raise").alias("raises"))
-    docs = docstrings(nodes).groupBy("module").agg(
-        F.count("*").alias("docstrings"),
-        F.count_if(F.col("doc").rlike(r"(?m)^\s*>>> ")).alias("doctests"),
-    )
+def _census_together(bodies):
+    """Of each body of an array: its `raise` nodes and the last literal of its leading docstring run; the odd ones are walked."""
+    o = Opened(bodies)
+    _odd_where_documented(o)
+    raises, docs = np.bincount(o.doc[o.is_kind("raise")], minlength=len(bodies)), [None] * len(bodies)
+    k, v, is_doc = (_WALK_COLUMNS.index(c) for c in ("k", "v", "is_doc"))
+    for i in np.flatnonzero(o.odd).tolist():
+        nodes = list(_walk(_decode(bodies[i].as_py())))
+        raises[i] = sum(node[k] == "raise" for node in nodes)
+        docs[i] = next((node[v] for node in reversed(nodes) if node[is_doc]), None)
+    return pa.array(raises, pa.int64()), pa.array(docs, pa.string())
+
+
+def _census_batches(batches):
+    for batch in batches:
+        for piece in _pieces(batch, 1) if batch.num_rows else ():
+            bodies = pc.fill_null(piece.column(1), "{}")
+            yield pa.RecordBatch.from_arrays([piece.column(0), *_census_together(bodies)], names=["module", "raises", "doc"])
+
+
+def census_facts(functions: DataFrame) -> DataFrame:
+    """Of each function its `raise` nodes and its docstring, read where the body is opened: a row for each function leaves Python."""
+    return functions.select("module", "body").mapInArrow(_census_batches, "module STRING, raises BIGINT, doc STRING")
+
+
+def artifact_census(facts: DataFrame, sources: DataFrame) -> DataFrame:
+    """Per module: docstrings, doctests and raises from `census_facts`; asserts, property tests, test files from text.
+
+    A row for each module of either side, none (NULL) among them; asserts are NULL where no code was read.
+    """
+    one = lambda condition: F.when(condition, 1).otherwise(0).cast("bigint")
+    counts = ["docstrings", "doctests", "asserts", "raises", "pbt_files", "pbt_properties", "test_files"]
+    counted = lambda df, **found: df.select("module", *[found.get(c, F.lit(None)).cast("bigint").alias(c) for c in counts])
+    from_bodies = counted(facts, docstrings=one(F.col("doc") != ""), doctests=one(F.col("doc").rlike(r"(?m)^\s*>>> ")), raises=F.col("raises"))
     path, text = F.col("path"), F.col("text")
     code = sources.where(path.rlike(r"\.(py|c|cc|cpp|h|hpp)$") & ~path.contains(".git"))
     hypothesis = text.contains("hypothesis")
-    from_text = code.groupBy("module").agg(
-        F.count_if(path.rlike(r"(^|/)test[^/]*$") | path.contains("/tests")).alias("test_files"),
-        F.sum(F.regexp_count(text, F.lit(r"(?m)^\s*assert\b"))).cast("bigint").alias("asserts"),
-        F.count_if(hypothesis).alias("pbt_files"),
-        F.sum(F.when(hypothesis, F.regexp_count(text, F.lit(r"(?m)^\s*@given\b"))).otherwise(0))
-        .cast("bigint")
-        .alias("pbt_properties"),
+    from_text = counted(
+        code, test_files=one(path.rlike(r"(^|/)test[^/]*$") | path.contains("/tests")), asserts=F.regexp_count(text, F.lit(r"(?m)^\s*assert\b")), pbt_files=one(hypothesis),
+        pbt_properties=F.when(hypothesis, F.regexp_count(text, F.lit(r"(?m)^\s*@given\b"))),
     )
-    counts = ["docstrings", "doctests", "asserts", "raises", "pbt_files", "pbt_properties", "test_files"]
-    joined = raises.join(docs, "module", "full_outer").join(from_text, "module", "full_outer")
-    return joined.select("module", *[F.coalesce(c, zero).alias(c) for c in counts])
+    zero = lambda c: F.sum(c) if c == "asserts" else F.coalesce(F.sum(c), F.lit(0).cast("bigint"))
+    return from_bodies.unionByName(from_text).groupBy("module").agg(*[zero(c).alias(c) for c in counts])
 
 
 def dialect_vote(functions: DataFrame, ext_map: dict[str, str] | None = None, on_unknown: str = "default") -> DataFrame:

@@ -204,7 +204,7 @@ def census(spark, sf):
     sources = docs.select(
         F.col("lang").alias("module"), F.concat(F.col("source"), F.lit("/d"), F.col("doc_id"), ext).alias("path"), "text"
     )
-    return ast_tables.artifact_census(corpus.nodes(spark, sf, ["node_id", "k", "v", "is_doc"]), sources)
+    return ast_tables.artifact_census(ast_tables.census_facts(corpus.functions(spark, sf)), sources)
 
 
 @query(

@@ -6,6 +6,11 @@ Line kinds by word count, word kinds by length; the SQL side (`LINES`, `WORDS`,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,87 +20,110 @@ from attestry.session import spread
 
 HOLE_LENGTH = 19
 
-def _ident(word):
-    return F.regexp_replace(word, "[^A-Za-z0-9_]", "")
-
-
-def _choose(selector, branches: list[str], special: list[tuple] = ()):
-    """The branch numbered by `selector`, after the special conditions."""
-    conditions = [*special, *[(selector == i, b) for i, b in enumerate(branches)]]
-    chosen = F.when(*[x if i == 0 else F.lit(x) for i, x in enumerate(conditions[0])])
-    for condition, branch in conditions[1:]:
-        chosen = chosen.when(condition, F.lit(branch))
-    return chosen
-
-
-def _word_json(word):
-    """An expression by word length: the text before, between and after the identifier (or the number) in it."""
-    n, ident = F.length(word), _ident(word)
-    hole = n >= HOLE_LENGTH
-    before = _choose(
-        n % 7,
-        [
-            '{"k":"call","f":"', '{"k":"name","v":"', '{"k":"str","v":"', '{"k":"int","v":',
-            '{"k":"mcall","recv":{"k":"name","v":"self"},"m":"', '{"k":"field","a":{"k":"name","v":"self"},"f":"',
-            '{"k":"binop","op":"+","a":{"k":"name","v":"',
-        ],
-        [(hole, '{"k":"hole","label":"len:')],
-    )
-    middle = F.when(hole | (n % 7 == 3), n.cast("string")).otherwise(ident)
-    call_rest = F.concat(F.lit('","args":[{"k":"name","v":"'), ident, F.lit('"}]}'))
-    binop_rest = F.concat(F.lit('"},"b":{"k":"int","v":'), n, F.lit("}}"))
-    after = (
-        F.when(hole, '"}').when(n % 7 == 0, call_rest).when(n % 7 == 3, "}").when(n % 7 == 4, '","args":[]}')
-        .when(n % 7 == 6, binop_rest).otherwise('"}')
-    )
-    return F.concat(before, middle, after)
-
-
-def _line_json(words):
-    """A statement by word count; a line without words is a `skip`."""
-    m = F.size(words)
-    items = F.array_join(F.transform(words, _word_json), ",")
-    before = _choose(
-        m % 5,
-        [
-            '{"k":"exprS","e":{"k":"listE","items":[', '{"k":"assign","x":"l","e":{"k":"listE","items":[',
-            '{"k":"ret","e":{"k":"tupleE","items":[',
-            '{"k":"tryFinally","body":{"k":"exprS","e":{"k":"listE","items":[',
-            '{"k":"setIndex","r":{"k":"name","v":"self"},"i":{"k":"listE","items":[',
-        ],
+_BLANK, _LINE_FEED = 32, 10
+_IN_IDENT = np.isin(np.arange(256), [ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_"])
+# An expression by word length modulo 7, and a hole: text, the identifier or the length, text, either again or nothing, text.
+_WORD_PARTS = [
+    ('{"k":"call","f":"', '","args":[{"k":"name","v":"', '"}]}'), ('{"k":"name","v":"', '"}', ""), ('{"k":"str","v":"', '"}', ""), ('{"k":"int","v":', "}", ""),
+    ('{"k":"mcall","recv":{"k":"name","v":"self"},"m":"', '","args":[]}', ""), ('{"k":"field","a":{"k":"name","v":"self"},"f":"', '"}', ""),
+    ('{"k":"binop","op":"+","a":{"k":"name","v":"', '"},"b":{"k":"int","v":', "}}"), ('{"k":"hole","label":"len:', '"}', ""),
+]
+_CALL, _INT, _BINOP, _HOLE = 0, 3, 6, 7
+# A statement by word count modulo 5, and a `skip` for a line without words: text, its words, text, the word count or nothing, text.
+_LINE_PARTS = [
+    ('{"k":"exprS","e":{"k":"listE","items":[', "]}}", ""), ('{"k":"assign","x":"l","e":{"k":"listE","items":[', "]}}", ""), ('{"k":"ret","e":{"k":"tupleE","items":[', "]}}", ""),
+    ('{"k":"tryFinally","body":{"k":"exprS","e":{"k":"listE","items":[', ']}},"fin":{"k":"skip"}}', ""),
+    ('{"k":"setIndex","r":{"k":"name","v":"self"},"i":{"k":"listE","items":[', ']},"v":{"k":"int","v":', "}}"), ('{"k":"skip"}', "", ""),
+]
+_SET_INDEX, _SKIP = 4, 5
+
+
+class _Words:
+    """The words of an array of texts: code points, identifier and text of each, its line among all lines; lines of each text."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        edges, upto = offsets - offsets[0], lambda mask: np.concatenate([[0], np.cumsum(mask)])
+        blank = (data == _BLANK) | (data == _LINE_FEED)
+        first, last = np.ones(len(data) + 1, bool), np.ones(len(data) + 1, bool)
+        first[1:], last[1:-1] = blank, blank[1:]
+        first[edges[:-1]] = last[edges[1:]] = True  # words end with their text
+        starts, stops = np.flatnonzero(~blank & first[:-1]), np.flatnonzero(~blank & last[1:]) + 1
+        characters, feeds, kept = upto((data & 0xC0) != 0x80), upto(data == _LINE_FEED), _IN_IDENT[data]
+        self.length = characters[stops] - characters[starts]
+        self.text = np.searchsorted(edges, starts, "right") - 1
+        self.line = feeds[starts] + self.text
+        self.lines = np.diff(feeds[edges]) + 1
+        places = upto(kept)
+        bounds = np.append(places[starts], places[-1]).astype(np.int32)  # no sign of an identifier stands between words
+        self.ident = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data[kept]))
+
+
+def _joined(numbers: np.ndarray, parts: list[tuple], *between) -> pa.Array:
+    """The three texts of each number with two arrays between them."""
+    at = pa.array(numbers)
+    before, inside, after = (pa.array([p[i] for p in parts], pa.string()).take(at) for i in range(3))
+    return pc.binary_join_element_wise(before, between[0], inside, between[1], after, "")
+
+
+def _in_lists(items: pa.Array, sizes: np.ndarray, comma: str) -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), items), comma)
+
+
+def _bodies_together(texts: pa.Array) -> pa.Array:
+    words, text = _Words(pc.fill_null(texts, "")), lambda numbers: pa.array(numbers).cast(pa.string())
+    kind = np.where(words.length >= HOLE_LENGTH, _HOLE, words.length % 7)
+    only = lambda mask, found, other="": pc.if_else(pa.array(mask), found, other)
+    length = text(words.length)
+    expressions = _joined(
+        kind, _WORD_PARTS, only((kind == _INT) | (kind == _HOLE), length, words.ident), only(kind == _CALL, words.ident, only(kind == _BINOP, length))
     )
-    after = (
-        F.when(m % 5 == 3, ']}},"fin":{"k":"skip"}}')
-        .when(m % 5 == 4, F.concat(F.lit(']},"v":{"k":"int","v":'), m, F.lit("}}")))
-        .otherwise("]}}")
-    )
-    return F.when(m == 0, '{"k":"skip"}').otherwise(F.concat(before, items, after))
+    count = np.bincount(words.line, minlength=int(words.lines.sum()))
+    shape = np.where(count == 0, _SKIP, count % 5)
+    statements = _joined(shape, _LINE_PARTS, _in_lists(expressions, count, ","), only(shape == _SET_INDEX, text(count)))
+    statements = pc.binary_join_element_wise('{"k":"seq","a":', statements, ',"b":', "")
+    bodies = pc.binary_join_element_wise(_in_lists(statements, words.lines, ""), '{"k":"skip"}', pc.binary_repeat("}", pa.array(words.lines)), "")
+    return pc.if_else(texts.is_valid(), bodies, None)
+
+
+def _bodies(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The body of each text, made of about a megabyte of texts at a time."""
+    for texts in batches:
+        for piece in ast_tables._pieces(pa.RecordBatch.from_arrays([texts], names=["text"]), 0):
+            yield _bodies_together(piece.column(0))
+
+
+def _last_names(texts: pa.Array) -> pa.Array:
+    """The identifier of the first word that reads as a call and has one."""
+    words = _Words(pc.fill_null(texts, ""))
+    named = np.flatnonzero((words.length % 7 == 0) & (pc.binary_length(words.ident).to_numpy() > 0))
+    at = np.full(len(texts), -1)
+    held, first = np.unique(words.text[named], return_index=True)
+    at[held] = named[first]
+    return words.ident.take(pa.array(at, mask=at < 0))
 
 
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """functions(module, name, file, params, body, pos): lang is the module, doc_id the table order."""
+    """functions(module, name, file, params, body, pos): lang is the module, doc_id the table order.
+
+    Bodies and names are made by array operations, as columns that Catalyst drops where nobody asks for them. Calling them not
+    deterministic keeps it from making them twice, once for a filter above.
+    """
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    lines = F.transform(
-        F.split("text", "\n", -1), lambda l: F.filter(F.split(l, " ", -1), lambda w: w != "")
-    )
-    statements = F.transform(
-        "lines", lambda ws: F.concat(F.lit('{"k":"seq","a":'), _line_json(ws), F.lit(',"b":'))
-    )
-    body = F.concat(F.array_join(statements, ""), F.lit('{"k":"skip"}'), F.expr("repeat('}', size(lines))"))
-    named = F.filter(F.flatten("lines"), lambda w: (F.length(w) % 7 == 0) & (_ident(w) != ""))
+    bodies, last_names = (F.arrow_udf(f, "string").asNondeterministic() for f in (_bodies, _last_names))
     ext = F.expr("CASE doc_id % 4 WHEN 2 THEN '.c' WHEN 3 THEN '.txt' ELSE '.py' END")
-    last = F.coalesce(_ident(F.try_element_at(named, F.lit(1))), F.lit("f"))
-    return (
-        docs.withColumn("lines", lines)
-        .withColumn("file", F.concat(F.col("source"), F.lit("/d"), F.col("doc_id"), ext))
-        .select(
-            F.col("lang").alias("module"),
-            F.concat(F.col("file"), F.lit(":<module>.C"), F.col("doc_id") % 97, F.lit("."), last).alias("name"),
-            "file",
-            F.array(F.lit("self")).alias("params"),
-            body.alias("body"),
-            F.col("doc_id").alias("pos"),
-        )
+    made = docs.select(
+        F.col("lang").alias("module"), F.concat(F.col("source"), F.lit("/d"), F.col("doc_id"), ext).alias("file"), last_names("text").alias("last"), bodies("text").alias("body"), "doc_id"
+    )
+    return made.select(
+        "module",
+        F.concat(F.col("file"), F.lit(":<module>.C"), F.col("doc_id") % 97, F.lit("."), F.coalesce("last", F.lit("f"))).alias("name"),
+        "file",
+        F.array(F.lit("self")).alias("params"),
+        "body",
+        F.col("doc_id").alias("pos"),
     )
 
 

@@ -54,3 +54,60 @@ def test_boundary_attempts_stay_in_the_row_of_their_function(spark):
     assert found.groupBy("fn").count().where("count = 8").count() == 2
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1 and plan.index("Generate") < plan.index("Aggregate")
+
+
+def test_bodies_are_those_of_their_texts_and_made_once(spark):
+    texts = [
+        "", None, " ", "\n", "\n\n a\n", "to be or not", "x" * 19 + " " + "y" * 18 + "\u00e9", "dddd  eeeeee\nsix six six six six", "\u65e5\u672c\u8a9e a\tb\r \u00e9\u00e9\u00e9\u00e9\u00e9\u00e9!",
+        'q"uo\\te {br}ace a_b-c', "a bb ccc dddd eeeee ffffff ggggggg", "z", "\ufeffseven- sevens7",
+    ]
+
+    def word(w):
+        n, i = len(w), "".join(c for c in w if c.isascii() and (c.isalnum() or c == "_"))
+        name, own = (lambda x: {"k": "name", "v": x}), {"k": "name", "v": "self"}
+        if n >= corpus.HOLE_LENGTH:
+            return {"k": "hole", "label": f"len:{n}"}
+        return [
+            {"k": "call", "f": i, "args": [name(i)]}, name(i), {"k": "str", "v": i}, {"k": "int", "v": n}, {"k": "mcall", "recv": own, "m": i, "args": []},
+            {"k": "field", "a": own, "f": i}, {"k": "binop", "op": "+", "a": name(i), "b": {"k": "int", "v": n}},
+        ][n % 7]
+
+    def line(ws):
+        listed, m = (lambda k: {"k": k, "items": [word(w) for w in ws]}), len(ws)
+        if not ws:
+            return {"k": "skip"}
+        return [
+            {"k": "exprS", "e": listed("listE")}, {"k": "assign", "x": "l", "e": listed("listE")}, {"k": "ret", "e": listed("tupleE")},
+            {"k": "tryFinally", "body": {"k": "exprS", "e": listed("listE")}, "fin": {"k": "skip"}}, {"k": "setIndex", "r": {"k": "name", "v": "self"}, "i": listed("listE"), "v": {"k": "int", "v": m}},
+        ][m % 5]
+
+    def body(text):
+        found = {"k": "skip"}
+        for ws in reversed([[w for w in x.split(" ") if w] for x in text.split("\n")]):
+            found = {"k": "seq", "a": line(ws), "b": found}
+        return json.dumps(found, separators=(",", ":"))
+
+    want = [None if t is None else body(t) for t in texts]
+    sliced = pa.array(["before"] + texts).slice(1)
+    assert corpus._bodies_together(sliced).to_pylist() == want == [b for a in corpus._bodies(iter([sliced, pa.array([], pa.string())])) for b in a.to_pylist()]
+    assert corpus._last_names(sliced).to_pylist()[-3:] == ["ggggggg", None, "seven"]
+    plan = corpus.nodes(spark, "/root/testdata/sf0.001", ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text") + plan.count("_bodies(text") == 1
+
+
+def test_census_facts_are_those_of_the_walk():
+    doc = lambda v: {"k": "exprS", "e": {"k": "str", "v": v}}
+    documented = {"k": "seq", "a": doc("one"), "b": {"k": "seq", "a": doc(">>> two"), "b": {"k": "raise", "e": {"k": "raise"}}}}
+    bodies = [b for b in BODIES if b != '{"k":3}'] + [json.dumps(documented), '{"a":{"e":{"v":"last","k":"str"},"k":"exprS"},"k":"seq"}', '{"k":"raise"}']
+    raises, docs = (c.to_pylist() for c in ast_tables._census_together(pa.array(bodies)))
+    k, v, is_doc = (ast_tables._WALK_COLUMNS.index(c) for c in ("k", "v", "is_doc"))
+    for body, n, found in zip(bodies, raises, docs, strict=True):
+        nodes = list(ast_tables._walk(ast_tables._decode(body)))
+        assert (n, found) == (sum(x[k] == "raise" for x in nodes), [None, *(x[v] for x in nodes if x[is_doc])][-1])
+    assert raises[-3:] == [2, 0, 1] and docs[-3:] == [">>> two", "last", None]
+
+
+def test_census_is_counted_where_bodies_are_opened(spark):
+    for name in ("b_census",):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan

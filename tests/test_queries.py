@@ -103,3 +103,12 @@ def test_builtin_calls_on_odd_texts(spark, tmp_path):
     cursor = con.execute(ORACLE["k_builtin_calls"])
     got = QUERIES["k_builtin_calls"](spark, str(tmp_path)).select(*[f"`{d[0]}`" for d in cursor.description]).collect()
     assert sorted(tuple(r) for r in got) == sorted(cursor.fetchall())
+
+
+def test_census_of_a_missing_language(spark, small):
+    """One row for the documents without a language, and no count of asserts where no code is read, against the SQL."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small[0]}/documents.parquet/*.parquet'")
+    cursor = con.execute(ORACLE["b_census"])
+    got = QUERIES["b_census"](spark, small[0]).select(*[d[0] for d in cursor.description]).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(cursor.fetchall(), key=str)
