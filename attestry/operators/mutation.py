@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.operators import ast_tables
 from attestry.operators.ast_tables import KEY, identified
+from attestry.operators.opened import Opened
 
 # Swaps stay inside a class of operators so the mutant is a behavioural bug, not a syntax error.
 BINOP_SWAPS = {
@@ -60,8 +67,8 @@ def _alternates(nodes: DataFrame, functions: DataFrame) -> DataFrame:
     )
 
 
-def generate_mutants(nodes: DataFrame, functions: DataFrame) -> DataFrame:
-    """One row per applicable rewrite of a node. Replacement names and fields come from the same function."""
+def _rewrites():
+    """The mutants of a node with the first names and fields of its function beside it."""
     k, op, name, v = F.col("k"), F.col("op"), F.col("name"), F.col("v")
     binop, unop = _swap(BINOP_SWAPS, op), _swap(UNOP_SWAPS, op)
     flipped = lambda c: F.when(F.lower(c) == "true", "false").otherwise("true")
@@ -69,7 +76,7 @@ def generate_mutants(nodes: DataFrame, functions: DataFrame) -> DataFrame:
     other = lambda pool: F.when(F.col(f"{pool}_1") != name, F.col(f"{pool}_1")).otherwise(F.col(f"{pool}_2"))
     field_alt = F.coalesce(other("field"), F.concat(name, F.lit("__mutated")))
     name_alt = other("name")
-    rewrites = F.array_compact(
+    return F.array_compact(
         F.array(
             _mutant("ast-binop:", op, binop, (k == "binop") & binop.isNotNull()),
             _mutant("ast-unop:", op, unop, (k == "unop") & unop.isNotNull()),
@@ -89,15 +96,110 @@ def generate_mutants(nodes: DataFrame, functions: DataFrame) -> DataFrame:
             ),
         )
     )
+
+
+def generate_mutants(nodes: DataFrame, functions: DataFrame) -> DataFrame:
+    """One row per applicable rewrite of a node. Replacement names and fields come from the same function."""
     found = _alternates(nodes, functions)
     found = found.select(F.struct(*KEY).alias("of"), *[c for c in found.columns if c not in KEY])
     return (
         nodes.join(found, F.struct(*[nodes[c] for c in KEY]).eqNullSafe(found["of"]), "left")  # a module may be null
-        .select("module", F.col("fn").alias("decl"), "node_id", F.explode(rewrites).alias("m"))
+        .select("module", F.col("fn").alias("decl"), "node_id", F.explode(_rewrites()).alias("m"))
         .select("module", "decl", "node_id", "m.op", "m.before", "m.after")
     )
 
 
+# Kinds that a rewrite applies to; by these columns the rewrites tell nodes of one body apart.
+REWRITTEN = ["binop", "unop", "isOp", "inOp", "int", "bool", "field", "setField", "name", *DELETABLE]
+_ALIKE = ["module", "k", "op", "v", "name", "name_1", "name_2"]
+
+
+def _nodes_to_rewrite(bodies: pa.Array) -> tuple[pa.Table, np.ndarray]:
+    """(doc, k, op, v, name) of the nodes with these kinds in the order of their bodies, and the odd bodies, which have none here."""
+    o = Opened(bodies)
+    *values, other = o.values("v", numbers=True)
+    o.odd_where((o.is_kind("name", "int", "bool") & other) | o.is_kind("isOp", "inOp"))
+    names, assigned = [x.copy() for x in values], ast_tables._spans(o, o.is_kind("assign"), "x")
+    names[0] &= o.is_kind("name")
+    values[0] &= o.is_kind("int", "bool")
+    for whole, part in zip(names, assigned):
+        whole[assigned[0]] = part[assigned[0]]
+    spans = {"k": o.kind[:3], "op": ast_tables._spans(o, o.is_kind("binop", "unop"), "op"), "v": values, "name": names}
+    wanted = o.is_kind(*REWRITTEN) & ~o.odd[o.doc]
+    texts = {c: o.texts(*(x[wanted] for x in span)) for c, span in spans.items()}
+    return pa.table({"doc": pa.array(o.doc[wanted], pa.int64()), **texts}), o.odd
+
+
+def _walked_to_rewrite(bodies: pa.Array, odd: np.ndarray) -> pa.Table:
+    at = [ast_tables._WALK_COLUMNS.index(c) for c in ("k", "op", "v", "name")]
+    rows = [(i, *(node[j] for j in at)) for i in np.flatnonzero(odd).tolist() for node in ast_tables._walk(ast_tables._decode(bodies[i].as_py()), frozenset(REWRITTEN))]
+    columns = list(zip(*rows)) or [()] * 5
+    return pa.table({c: pa.array(x, pa.string() if i else pa.int64()) for i, (c, x) in enumerate(zip(("doc", "k", "op", "v", "name"), columns))})
+
+
+def _first_names(nodes: pa.Table, params: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Of each function the first name among its parameters and `name` nodes, and the first that differs from it.
+
+    A name that is missing is one of its own, as it is to `_alternates`; it is told from no name at all by neither.
+    """
+    named = pc.equal(nodes["k"], "name").combine_chunks()
+    owner, name = nodes["doc"].combine_chunks().filter(named), nodes["name"].combine_chunks().filter(named)
+    of_params = pa.array(np.repeat(np.arange(len(params)), pc.fill_null(pc.list_value_length(params), 0).to_numpy()))
+    owner = np.concatenate([of_params.to_numpy(), owner.to_numpy()]).astype(np.int64)
+    names = pa.concat_arrays([params.flatten().cast(pa.string()), name])
+    order = np.argsort(owner, kind="stable")
+    owner, code = owner[order], pc.fill_null(names.dictionary_encode("encode").indices, -1).to_numpy()[order]
+    place = [np.full(len(params), -1), np.full(len(params), -1)]
+    held, first = np.unique(owner, return_index=True)
+    start = np.zeros(len(params), np.int64)
+    start[held] = first
+    place[0][held] = order[first]
+    differs = np.flatnonzero(code != code[start[owner]])
+    held, second = np.unique(owner[differs], return_index=True)
+    place[1][held] = order[differs[second]]
+    return tuple(names.take(pa.array(p, mask=p < 0)) for p in place)
+
+
+def _alike(piece: pa.RecordBatch) -> pa.Table:
+    """How many nodes of a piece of a batch (module, body, params) are alike to the rewrites, names by their numbers in the body."""
+    bodies, parts = pc.fill_null(piece.column(1), "{}"), []
+    together, odd = _nodes_to_rewrite(bodies)
+    for nodes in (together, _walked_to_rewrite(bodies, odd)) if odd.any() else (together,):
+        nodes = nodes.combine_chunks()
+        owner = nodes["doc"].combine_chunks()
+        firsts = [names.take(owner) for names in _first_names(nodes, piece.column(2))]
+        k, name = nodes["k"].combine_chunks(), nodes["name"].combine_chunks()
+        missing, none = pa.scalar(None, pa.string()), pa.nulls(len(k), pa.string())
+        only = lambda kinds, c: pc.if_else(pc.fill_null(pc.is_in(k, pa.array(kinds)), False), c, none)
+        number = lambda c, n: pc.if_else(c.is_valid(), n, missing)
+        same = pc.fill_null(pc.equal(name, firsts[0]), False)
+        parts.append(pa.table({
+            "module": piece.column(0).cast(pa.string()).take(owner), "k": k, "op": only(["binop", "unop", "isOp", "inOp"], nodes["op"].combine_chunks()),
+            "v": only(["int", "bool"], nodes["v"].combine_chunks()), "name": only(["name", "assign"], number(name, pc.if_else(same, "1", "2"))),
+            "name_1": number(firsts[0], "1"), "name_2": number(firsts[1], "2"),
+        }))
+    return pa.concat_tables(parts).group_by(_ALIKE, use_threads=False).aggregate([([], "count_all")])
+
+
+def _alike_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in ast_tables._pieces(batch, 1) if batch.num_rows else ():
+            yield from _alike(piece).rename_columns([*_ALIKE, "n"]).combine_chunks().to_batches()
+
+
+def count_mutants(functions: DataFrame) -> DataFrame:
+    """(module, family, n): how many mutants `generate_mutants` makes, by the text of their `op` before a colon.
+
+    The same rewrites, applied once to nodes that are alike: their number doesn't hang on what a name is, only on which names of a
+    body are the same, nor on fields, which always have a replacement.
+    """
+    counted = functions.select("module", "body", "params").mapInArrow(_alike_batches, ", ".join(f"{c} STRING" for c in _ALIKE) + ", n BIGINT")
+    alike = counted.groupBy(*_ALIKE).agg(F.sum("n").alias("n"))
+    no_field = F.lit(None).cast("string")
+    mutants = alike.select("*", no_field.alias("field_1"), no_field.alias("field_2")).select("module", "n", F.explode(_rewrites()).alias("m"))
+    return mutants.groupBy("module", F.split("m.op", ":", -1).getItem(0).alias("family")).agg(F.sum("n").alias("n"))
+
+
 def decl_ranges(lines: DataFrame, bucket: int = BUCKET_LINES) -> DataFrame:
     """Declarations with 1-based inclusive line ranges: lines(file, line, text).
 

@@ -3,8 +3,9 @@
 import json
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from attestry.operators import ast_tables
+from attestry.operators import ast_tables, mutation
 from attestry.plans import corpus
 from attestry.plans.registry import QUERIES
 
@@ -107,7 +108,21 @@ def test_census_facts_are_those_of_the_walk():
     assert raises[-3:] == [2, 0, 1] and docs[-3:] == [">>> two", "last", None]
 
 
-def test_census_is_counted_where_bodies_are_opened(spark):
-    for name in ("b_census",):
+def test_census_and_mutants_are_counted_where_bodies_are_opened(spark):
+    for name in ("b_census", "g_generate_mutants"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_mutants_of_alike_nodes_are_all_mutants(spark):
+    named = [
+        '{"k":"assign","x":"a","e":{"k":"name","v":"a"}}', '{"k":"assign","x":"p","e":{"k":"name","v":"p"}}', '{"k":"name"}', '{"k":"seq","a":{"k":"name"},"b":{"k":"name","v":"z"}}', '{"k":"del","x":"y"}',
+        '{"k":"seq","a":{"k":"int","v":"12"},"b":{"k":"int","v":"1x"}}', '{"k":"int","v":-4}', '{"k":"unop","op":"!","e":{"k":"bool","v":true}}', '{"k":"setField","r":{"k":"name","v":"q"},"f":"g"}', '{"k":"raise"}', None,
+    ]
+    bodies = [b for b in BODIES if b != '{"k":3}'] + named
+    rows = [(m, f"f{i}", params, body, i) for i, body in enumerate(bodies) for m, params in (("none", []), ("one", ["p"]), ("two", ["p", "q"]), (None, None))]
+    functions = spark.createDataFrame(rows, "module STRING, name STRING, params ARRAY<STRING>, body STRING, pos BIGINT")
+    made = mutation.generate_mutants(ast_tables.flatten_ast(functions), functions).select("module", F.split("op", ":").getItem(0).alias("family"))
+    want = {(r.module, r.family): r["count"] for r in made.groupBy("module", "family").count().collect()}
+    assert {(r.module, r.family): r.n for r in mutation.count_mutants(functions).collect()} == want
+    assert {f for _, f in want} >= {"ast-name", "ast-assign", "ast-int", "ast-unop", "ast-polarity", "ast-bool", "ast-setfield", "ast-seq-delete"}
