@@ -150,10 +150,10 @@ COUNTS = ["ledger_nodes", "matrix_nodes", "shape_nodes", "holes", "risk"]
 FACTS = ", ".join(f"{c} BIGINT" for c in COUNTS) + ", max_depth INT, calls ARRAY<STRUCT<is_method: BOOLEAN, callee: STRING>>"
 
 
-def _pieces(batch, column: int):
+def _pieces(batch, column: int, size: int = _BYTES_PER_PIECE):
     """A batch in runs of rows with about a megabyte of bodies, so that the arrays over their signs stay small."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
-    cuts = np.flatnonzero(np.diff(sizes // _BYTES_PER_PIECE, prepend=0))
+    cuts = np.flatnonzero(np.diff(sizes // size, prepend=0))
     edges = np.unique(np.concatenate([[0], cuts, [batch.num_rows]]))
     return (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]))
 

@@ -21,6 +21,7 @@ from attestry.session import spread
 HOLE_LENGTH = 19
 
 _BLANK, _LINE_FEED = 32, 10
+_BYTES_PER_PIECE = 1 << 18  # of texts; their bodies are some seven times as long
 _IN_IDENT = np.isin(np.arange(256), [ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_"])
 # An expression by word length modulo 7, and a hole: text, the identifier or the length, text, either again or nothing, text.
 _WORD_PARTS = [
@@ -36,10 +37,12 @@ _LINE_PARTS = [
     ('{"k":"setIndex","r":{"k":"name","v":"self"},"i":{"k":"listE","items":[', ']},"v":{"k":"int","v":', "}}"), ('{"k":"skip"}', "", ""),
 ]
 _SET_INDEX, _SKIP = 4, 5
+# The first word of seven, fourteen, ... characters with one of an identifier among them.
+_CALLED_WORD = r"(?<![^ \n])(?=[^ \nA-Za-z0-9_]*[A-Za-z0-9_])((?:[^ \n]{7})++)(?![^ \n])"
 
 
 class _Words:
-    """The words of an array of texts: code points, identifier and text of each, its line among all lines; lines of each text."""
+    """The words of an array of texts: code points and identifier of each, its line among all lines; lines of each text."""
 
     def __init__(self, texts: pa.Array):
         texts = texts.cast(pa.string())
@@ -53,8 +56,7 @@ class _Words:
         starts, stops = np.flatnonzero(~blank & first[:-1]), np.flatnonzero(~blank & last[1:]) + 1
         characters, feeds, kept = upto((data & 0xC0) != 0x80), upto(data == _LINE_FEED), _IN_IDENT[data]
         self.length = characters[stops] - characters[starts]
-        self.text = np.searchsorted(edges, starts, "right") - 1
-        self.line = feeds[starts] + self.text
+        self.line = feeds[starts] + np.searchsorted(edges, starts, "right") - 1
         self.lines = np.diff(feeds[edges]) + 1
         places = upto(kept)
         bounds = np.append(places[starts], places[-1]).astype(np.int32)  # no sign of an identifier stands between words
@@ -89,37 +91,28 @@ def _bodies_together(texts: pa.Array) -> pa.Array:
 
 
 def _bodies(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The body of each text, made of about a megabyte of texts at a time."""
+    """The body of each text, made of few texts at a time."""
     for texts in batches:
-        for piece in ast_tables._pieces(pa.RecordBatch.from_arrays([texts], names=["text"]), 0):
+        for piece in ast_tables._pieces(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, _BYTES_PER_PIECE):
             yield _bodies_together(piece.column(0))
 
 
-def _last_names(texts: pa.Array) -> pa.Array:
-    """The identifier of the first word that reads as a call and has one."""
-    words = _Words(pc.fill_null(texts, ""))
-    named = np.flatnonzero((words.length % 7 == 0) & (pc.binary_length(words.ident).to_numpy() > 0))
-    at = np.full(len(texts), -1)
-    held, first = np.unique(words.text[named], return_index=True)
-    at[held] = named[first]
-    return words.ident.take(pa.array(at, mask=at < 0))
-
-
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """functions(module, name, file, params, body, pos): lang is the module, doc_id the table order.
 
-    Bodies and names are made by array operations, as columns that Catalyst drops where nobody asks for them. Calling them not
-    deterministic keeps it from making them twice, once for a filter above.
+    Bodies are made by array operations, as a column that Catalyst drops where nobody asks for it. Calling it not deterministic
+    keeps it from being made twice, once for a filter above. A function is named after the first word that reads as a call.
     """
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    bodies, last_names = (F.arrow_udf(f, "string").asNondeterministic() for f in (_bodies, _last_names))
     ext = F.expr("CASE doc_id % 4 WHEN 2 THEN '.c' WHEN 3 THEN '.txt' ELSE '.py' END")
+    called = F.regexp_replace(F.regexp_extract("text", _CALLED_WORD, 1), "[^A-Za-z0-9_]", "")
     made = docs.select(
-        F.col("lang").alias("module"), F.concat(F.col("source"), F.lit("/d"), F.col("doc_id"), ext).alias("file"), last_names("text").alias("last"), bodies("text").alias("body"), "doc_id"
+        F.col("lang").alias("module"), F.concat(F.col("source"), F.lit("/d"), F.col("doc_id"), ext).alias("file"),
+        F.coalesce(F.nullif(called, F.lit("")), F.lit("f")).alias("last"), F.arrow_udf(_bodies, "string").asNondeterministic()("text").alias("body"), "doc_id",
     )
     return made.select(
         "module",
-        F.concat(F.col("file"), F.lit(":<module>.C"), F.col("doc_id") % 97, F.lit("."), F.coalesce("last", F.lit("f"))).alias("name"),
+        F.concat(F.col("file"), F.lit(":<module>.C"), F.col("doc_id") % 97, F.lit("."), "last").alias("name"),
         "file",
         F.array(F.lit("self")).alias("params"),
         "body",

@@ -57,7 +57,7 @@ def test_boundary_attempts_stay_in_the_row_of_their_function(spark):
     assert plan.count("Aggregate") == 1 and plan.index("Generate") < plan.index("Aggregate")
 
 
-def test_bodies_are_those_of_their_texts_and_made_once(spark):
+def test_bodies_are_those_of_their_texts_and_made_once(spark, tmp_path):
     texts = [
         "", None, " ", "\n", "\n\n a\n", "to be or not", "x" * 19 + " " + "y" * 18 + "\u00e9", "dddd  eeeeee\nsix six six six six", "\u65e5\u672c\u8a9e a\tb\r \u00e9\u00e9\u00e9\u00e9\u00e9\u00e9!",
         'q"uo\\te {br}ace a_b-c', "a bb ccc dddd eeeee ffffff ggggggg", "z", "\ufeffseven- sevens7",
@@ -91,7 +91,11 @@ def test_bodies_are_those_of_their_texts_and_made_once(spark):
     want = [None if t is None else body(t) for t in texts]
     sliced = pa.array(["before"] + texts).slice(1)
     assert corpus._bodies_together(sliced).to_pylist() == want == [b for a in corpus._bodies(iter([sliced, pa.array([], pa.string())])) for b in a.to_pylist()]
-    assert corpus._last_names(sliced).to_pylist()[-3:] == ["ggggggg", None, "seven"]
+    rows = [(i, t, "en", "web", 0) for i, t in enumerate([*texts, "------- \u00e9\u00e9\u00e9\u00e9\u00e9\u00e9 dddd seven.\U0001f468", "a" * 70_000 + " b"])]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT").write.parquet(f"{tmp_path}/documents.parquet")
+    made = corpus.functions(spark, str(tmp_path)).orderBy("pos").collect()
+    firsts = [next((i for w in (t or "").replace("\n", " ").split(" ") if len(w) % 7 == 0 and (i := "".join(c for c in w if c.isascii() and (c.isalnum() or c == "_")))), "f") for _, t, *_ in rows]
+    assert [f.name.rsplit(".", 1)[1] for f in made] == firsts and [f.body for f in made[:-2]] == want
     plan = corpus.nodes(spark, "/root/testdata/sf0.001", ["k"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(text") + plan.count("_bodies(text") == 1
 
